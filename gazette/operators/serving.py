@@ -12,6 +12,7 @@ from gazette.functions.text import contains_pattern
 from gazette.operators.ranking import first_per_group, ordered_index
 from gazette.operators.skew import skew_join
 from gazette.schemas import ARTICLE_COLS
+from gazette.session import cut_lineage
 from gazette.sources.dimensions import categories
 
 
@@ -153,7 +154,7 @@ def unseen_all_users(
     free = F.slice(F.array_except(listed, F.coalesce("read", F.array().cast("array<bigint>"))), 1, limit)
     unread = wanted.join(read_there, ["auth_id", "block"], "left").select("auth_id", F.explode(free).alias("place"))
     page = Window.partitionBy("auth_id").orderBy("place")
-    shown = unread.withColumn("position", F.row_number().over(page)).filter(F.col("position") <= limit)
+    shown = cut_lineage(unread.withColumn("position", F.row_number().over(page)).filter(F.col("position") <= limit))
     # Every user may want the newest articles: those places are the hot keys here.
     return skew_join(shown, ranked, "place").select("auth_id", "position", "id", "created_at")
 
