@@ -46,40 +46,48 @@ def _offset_minutes(zone: Column) -> Column:
     return F.when(zone.contains("-"), -size).otherwise(size)
 
 
-def _read(text: Column, pattern: str, year: int, month: int, day: int, kind: str) -> Column:
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, pattern, i)
-
-    if kind == "named":
-        y, m, d = _full_year(F.nullif(part(year), F.lit(""))), _month_number(part(month)), _number(part(day))
-    elif kind == "slashed":
-        first, second = _number(part(month)), _number(part(day))
-        y = _number(part(year))
-        m = F.when(first > 12, second).otherwise(first)
-        d = F.when(first > 12, first).otherwise(second)
-    else:
-        y, m, d = _number(part(year)), _number(part(month)), _number(part(day))
-    hour, half = _number(part(4), 0), F.lower(part(8))
+# Each form is rewritten to: form, year, month, day, hour, minute, second, fraction, half of the day, zone.
+_FORMS = [
+    (_YEAR_FIRST, "plain|$1|$2|$3|$4|$5|$6|$7|$8|$9"),
+    (_DAY_FIRST, "named|$3|$2|$1|$4|$5|$6|$7|$8|$9"),
+    (_MONTH_FIRST, "named|$3|$1|$2|$4|$5|$6|$7|$8|$9"),
+    (_SLASHED, "slashed|$3|$1|$2|$4|$5|$6|$7|$8|$9"),
+]
+
+
+def _timestamp(part: Column) -> Column:
+    """The UTC timestamp of the rewritten parts."""
+    form, first, second = part[0], part[2], part[3]
+    day_first = (form == "slashed") & (_number(first) > 12)
+    month = (
+        F.when(form == "named", _month_number(first)).when(day_first, _number(second)).otherwise(_number(first))
+    )
+    day = F.when(day_first, _number(first)).otherwise(_number(second))
+    hour, half = _number(part[4], 0), F.lower(part[8])
     hour = (
         F.when((half == "pm") & (hour < 12), hour + 12)
         .when((half == "am") & (hour == 12), 0)
         .otherwise(hour)
     )
-    second = F.concat(F.coalesce(F.nullif(part(6), F.lit("")), F.lit("0")), F.lit("."), F.rpad(part(7), 6, "0"))
-    local = F.try_make_timestamp_ntz(y, m, d, hour, _number(part(5), 0), second.cast("decimal(16,6)"))
-    shift = F.make_dt_interval(F.lit(0), F.lit(0), _offset_minutes(part(9)))
-    return F.when(F.regexp_like(text, F.lit(pattern)), local - shift)
+    seconds = F.concat(F.coalesce(F.nullif(part[6], F.lit("")), F.lit("0")), F.lit("."), F.rpad(part[7], 6, "0"))
+    local = F.try_make_timestamp_ntz(
+        _full_year(part[1]), month, day, hour, _number(part[5], 0), seconds.cast("decimal(16,6)")
+    )
+    return local - F.make_dt_interval(F.lit(0), F.lit(0), _offset_minutes(part[9]))
 
 
 def parse_date(raw: Column) -> Column:
     """One date text as a UTC timestamp, null when it is in none of the known forms."""
     text = F.regexp_replace(strip(raw), r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", "")
-    return F.coalesce(
-        _read(text, _YEAR_FIRST, 1, 2, 3, "plain"),
-        _read(text, _DAY_FIRST, 3, 2, 1, "named"),
-        _read(text, _MONTH_FIRST, 3, 1, 2, "named"),
-        _read(text, _SLASHED, 3, 1, 2, "slashed"),
-    )
+    # The one-element arrays bind a value to a name, so that it is computed once.
+    def rewritten(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for pattern, order in reversed(_FORMS):
+            out = F.when(F.regexp_like(t, F.lit(pattern)), F.regexp_replace(t, pattern, order)).otherwise(out)
+        return F.split(out, r"\|")
+
+    parts = F.transform(F.array(text), rewritten)
+    return F.get(F.transform(parts, lambda p: F.when(p.isNotNull(), _timestamp(p))), F.lit(0))
 
 
 def parse_publish_date(*raw: Column, as_of: Column) -> Column:

@@ -22,6 +22,7 @@ character-count signature allow the score; the score itself decides afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +47,9 @@ STEPS = 8
 PER_WORD = 64 // STEPS
 WORDS = (len(CLASSES) + 1) // PER_WORD
 SIGNATURE = [f"sig{w}" for w in range(WORDS)]
+# Parity sketch of a title's character pairs.
+SKETCH_WORDS = 4
+SKETCH = [f"sketch{w}" for w in range(SKETCH_WORDS)]
 
 
 def token_key(normalised_title: Column) -> Column:
@@ -70,12 +74,10 @@ def _signature(text: Column, word: int) -> Column:
     return bits
 
 
-def title_keys(batch: DataFrame, recent: DataFrame, title: str = "norm") -> DataFrame:
-    """Distinct token keys of both sides with their origin, lengths and signatures."""
+def title_keys(batch: DataFrame, recent: DataFrame) -> DataFrame:
+    """Distinct token keys ``k`` of both sides with their origin, lengths and signatures."""
     def side(rows: DataFrame, in_batch: bool) -> DataFrame:
-        return rows.select(
-            token_key(F.col(title)).alias("k"), F.lit(in_batch).alias("in_batch"), F.lit(not in_batch).alias("in_store")
-        )
+        return rows.select("k", F.lit(in_batch).alias("in_batch"), F.lit(not in_batch).alias("in_store"))
 
     both = side(batch, True).unionByName(side(recent, False)).filter(F.col("k") != "")
     keys = both.groupBy("k").agg(F.max("in_batch").alias("in_batch"), F.max("in_store").alias("in_store"))
@@ -108,8 +110,12 @@ def _renamed(df: DataFrame, suffix: str, keep: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keep else c + suffix) for c in df.columns])
 
 
-def _bits(mask) -> Column:
-    return reduce(Column.__add__, [F.bit_count(mask(F.col(f"{s}_a"), F.col(f"{s}_b"))) for s in SIGNATURE])
+def _bits(mask: Callable[[Column, Column], Column], words: list[str]) -> Column:
+    return reduce(Column.__add__, [F.bit_count(mask(F.col(f"{s}_a"), F.col(f"{s}_b"))) for s in words])
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def containment_candidates(keys: DataFrame, threshold: int, within_batch: bool) -> DataFrame:
@@ -120,12 +126,11 @@ def containment_candidates(keys: DataFrame, threshold: int, within_batch: bool)
     )
     w = Window.partitionBy("k").orderBy("freq", "t").rowsBetween(Window.unboundedPreceding, -1)
     weight_before = F.coalesce(F.sum("weight").over(w), F.lit(0))
-    lookups = tokens.withColumn("before", weight_before).filter(
-        F.col("before") * whole < (F.col("len") + 1) * missing
-    )
+    tokens = cut_lineage(tokens.withColumn("before", weight_before))
+    lookups = tokens.filter(F.col("before") * whole < (F.col("len") + 1) * missing)
     a = _renamed(lookups.select("t", *_CARRIED), "_a", ["t"])
     b = _renamed(tokens.select("t", *_CARRIED), "_b", ["t"])
-    extra = _bits(lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
+    extra = _bits(lambda x, y: x.bitwiseAND(F.bitwise_not(y)), SIGNATURE)
     possible = (
         (F.col("k_a") != F.col("k_b"))
         & _compared(within_batch)
@@ -133,7 +138,8 @@ def containment_candidates(keys: DataFrame, threshold: int, within_batch: bool)
         & (extra * whole < (F.col("len_a") + 1) * missing)
     )
     # Every title lists all its tokens, so the hot tokens are on the b side; the lookups are the small side.
-    return skew_join(b, a, "t", condition=possible, spread=F.xxhash64("k_b")).select("k_a", "k_b")
+    joined = skew_join(b, a, "t", condition=possible, spread=F.xxhash64("k_b"), partitions=_partitions(keys))
+    return joined.select("k_a", "k_b")
 
 
 def indel_candidates(keys: DataFrame, threshold: int, within_batch: bool) -> DataFrame:
@@ -150,9 +156,15 @@ def indel_candidates(keys: DataFrame, threshold: int, within_batch: bool) -> Dat
         F.concat("gram", F.col("nth").cast("string")).alias("e"),
         *_CARRIED,
     )
-    ranked = _by_rarity(elements, "e").withColumn(
-        "place", F.row_number().over(Window.partitionBy("k").orderBy("freq", "e"))
-    ).drop("freq")
+    per_title = Window.partitionBy("k")
+    spot = F.pmod(F.xxhash64("e"), F.lit(64 * SKETCH_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (spot % 64).cast("int"))
+    ranked = _by_rarity(elements, "e").select(
+        "e", *_CARRIED,
+        F.row_number().over(per_title.orderBy("freq", "e")).alias("place"),
+        *[F.bit_xor(F.when(F.floor(spot / 64) == w, bit).otherwise(F.lit(0).cast("bigint"))).over(per_title)
+          .alias(name) for w, name in enumerate(SKETCH)],
+    )
 
     def needed(total: Column) -> Column:
         """Hundredths of the least number of shared elements for the added lengths ``total``, times two."""
@@ -161,7 +173,7 @@ def indel_candidates(keys: DataFrame, threshold: int, within_batch: bool) -> Dat
     # The partner of a title has at least (100 - loss) / (100 + loss) of its length; more length needs more sharing.
     least_partner = F.ceil(F.col("len") * (100 - loss) / (100 + loss))
     fits_any = (F.col("len") + 1 - F.col("place") + 1) * 200 >= needed(F.col("len") + least_partner)
-    prefix = ranked.filter(fits_any)
+    prefix = cut_lineage(ranked.filter(fits_any))
     a, b = _renamed(prefix, "_a", ["e"]), _renamed(prefix, "_b", ["e"])
     total = F.col("len_a") + F.col("len_b")
     possible = (
@@ -170,9 +182,12 @@ def indel_candidates(keys: DataFrame, threshold: int, within_batch: bool) -> Dat
         & (F.abs(F.col("len_a") - F.col("len_b")) * 100 <= total * loss)
         & ((F.col("len_a") + 2 - F.col("place_a")) * 200 >= needed(total))
         & ((F.col("len_b") + 2 - F.col("place_b")) * 200 >= needed(total))
-        & (_bits(lambda x, y: x.bitwiseXOR(y)) * 100 <= total * loss)
+        & (_bits(lambda x, y: x.bitwiseXOR(y), SIGNATURE) * 100 <= total * loss)
+        # Each element that only one title has flips one bit of the sketch, and d edits make at most 3d of them.
+        & (_bits(lambda x, y: x.bitwiseXOR(y), SKETCH) * 100 <= total * loss * 3)
     )
-    return skew_join(a, b, "e", condition=possible, spread=F.xxhash64("k_a")).select("k_a", "k_b")
+    joined = skew_join(a, b, "e", condition=possible, spread=F.xxhash64("k_a"), partitions=_partitions(keys))
+    return joined.select("k_a", "k_b")
 
 
 def similar_keys(keys: DataFrame, threshold: int = TITLE_THRESHOLD, within_batch: bool = True) -> DataFrame:
@@ -182,8 +197,12 @@ def similar_keys(keys: DataFrame, threshold: int = TITLE_THRESHOLD, within_batch
     found = containment_candidates(keys, threshold, within_batch).unionByName(
         indel_candidates(keys, threshold, within_batch)
     )
-    pairs = found.select(F.least("k_a", "k_b").alias("k_a"), F.greatest("k_a", "k_b").alias("k_b")).distinct()
-    return pairs.withColumn("score", token_set_score("k_a", "k_b")).filter(F.col("score") >= threshold)
+    pairs = found.select(F.least("k_a", "k_b").alias("k_a"), F.greatest("k_a", "k_b").alias("k_b"))
+    # A fixed number of partitions, as scoring takes long for the few bytes a pair has.
+    pairs = pairs.repartition(_partitions(keys), "k_a", "k_b").distinct()
+    # A filter on a plain function would be pushed below the distinct and score every pair several times.
+    score = token_set_score.asNondeterministic()
+    return pairs.withColumn("score", score("k_a", "k_b")).filter(F.col("score") >= threshold)
 
 
 def recent_titles(articles: DataFrame, as_of: Column, hours: int = TITLE_LOOKBACK_HOURS) -> DataFrame:
@@ -197,11 +216,14 @@ def fuzzy_title_join(
     batch: DataFrame, articles: DataFrame, as_of: Column, threshold: int = TITLE_THRESHOLD
 ) -> DataFrame:
     """For each batch row, the most similar recent stored title if it reaches the threshold: (pos, url, title, match, score)."""
-    rows = batch.withColumn("norm", normalize_title(F.col("original_title"))).filter(F.col("norm") != "")
-    recent = recent_titles(articles, as_of)
-    keys = cut_lineage(title_keys(rows, recent))
+    norm = normalize_title(F.col("original_title"))
+    keyed = batch.select("pos", "url", norm.alias("norm"), token_key(norm).alias("k")).filter(F.col("norm") != "")
     # A stored key is represented by its first title.
-    stored = recent.groupBy(token_key(F.col("norm")).alias("k_stored")).agg(F.min("norm").alias("match"))
+    stored = cut_lineage(
+        recent_titles(articles, as_of).groupBy(token_key(F.col("norm")).alias("k_stored"))
+        .agg(F.min("norm").alias("match"))
+    )
+    keys = cut_lineage(title_keys(keyed, stored.select(F.col("k_stored").alias("k"))))
     pairs = cut_lineage(similar_keys(keys, threshold, within_batch=False))
     both_ways = pairs.select(F.col("k_a").alias("k"), F.col("k_b").alias("k_stored"), "score").unionByName(
         pairs.select(F.col("k_b").alias("k"), F.col("k_a").alias("k_stored"), "score")
@@ -209,45 +231,36 @@ def fuzzy_title_join(
     same = stored.select(F.col("k_stored").alias("k"), "k_stored", F.lit(100.0).alias("score"))
     scored = both_ways.unionByName(same).join(stored, "k_stored")
     best = first_per_group(scored, ["k"], [F.desc("score"), F.asc("match")])
-    keyed = rows.withColumn("k", token_key(F.col("norm")))
     return skew_join(keyed, best.select("k", "match", "score"), "k").select(
         "pos", "url", F.col("norm").alias("title"), "match", "score"
     )
 
 
 def _walk(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """URLs that the walk over ``rows`` (pos, url, k, blocked) makes duplicates.
+    """URLs that the walk over ``rows`` (pos, url, k, blocked, several) makes duplicates.
 
-    ``edges`` (k, other) holds the similar keys, both ways. ``blocked`` marks keys similar to a stored title.
-    Rows of one URL matter only until the first of them is a duplicate; then the URL is one and the rest is skipped.
+    ``edges`` (k, other) holds the similar keys, both ways. ``blocked`` marks keys similar to a stored title, and
+    ``several`` URLs with more than one row. Rows of one URL matter only until the first of them is a duplicate;
+    then the URL is one and the rest is skipped.
     """
-    per_url = rows.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
-    several = per_url.filter(F.col("n") > 1).select("url", F.lit(True).alias("several"))
-    tagged = cut_lineage(skew_join(rows, several, "url", "left", spread=F.col("pos")).fillna(False, ["several"]))
     # A URL that occurs once: the first such row of a key is accepted or a duplicate, the others are duplicates then.
     # A URL that occurs again: two rows per key tell all, as the second is a duplicate of the first.
-    group = F.when(F.col("several"), F.col("url"))
-    w = Window.partitionBy("k", "group").orderBy("pos")
-    numbered = tagged.withColumn("group", group).withColumn("nth", F.row_number().over(w))
-    first = numbered.filter(F.col("nth") <= 2)
-    kept = first.filter(F.col("several") | (F.col("nth") == 1))
-    # `nth <= 2` bounds every group before the shuffle; the single-URL copies are found by their key's first row.
-    singles = tagged.filter(~F.col("several"))
-    lead = kept.filter(~F.col("several")).select("k", F.col("pos").alias("lead"))
-    copies = skew_join(singles, lead, "k", spread=F.col("pos")).filter(F.col("pos") > F.col("lead")).select("url")
-
+    # The limit of two rows applies before the shuffle, so many copies of a title are no hot group.
+    numbered = rows.withColumn("group", F.when(F.col("several"), F.col("url"))).withColumn(
+        "nth", F.row_number().over(Window.partitionBy("k", "group").orderBy("pos"))
+    )
+    kept = numbered.filter(F.col("nth") <= 2).filter(F.col("several") | (F.col("nth") == 1))
     nodes = cut_lineage(kept.select("pos", "url", "k", "blocked", "several"))
-    linked = edges.select("k").distinct()
-    # Free rows are accepted at once: no similar key, one row for the URL, and no other row of the key to wait for.
-    repeated = nodes.filter(F.col("several")).select("k").distinct()
-    busy = nodes.join(linked, "k", "left_semi").unionByName(
-        nodes.join(linked, "k", "left_anti").filter(F.col("several") | F.col("blocked"))
-    ).unionByName(
-        nodes.join(linked, "k", "left_anti").filter(~F.col("several") & ~F.col("blocked"))
-        .join(repeated, "k", "left_semi")
+    copies = rows.filter(~F.col("several")).join(nodes.select("pos"), "pos", "left_anti").select("url")
+
+    # Other rows are accepted at once: no similar key, one row for the URL, and no other row of the key to wait for.
+    linked = edges.select("k").unionByName(nodes.filter(F.col("several")).select("k")).distinct()
+    busy = nodes.join(linked.withColumn("_linked", F.lit(True)), "k", "left").filter(
+        F.col("_linked") | F.col("blocked") | F.col("several")
     )
-    state = cut_lineage(busy.withColumn("status", F.when(F.col("blocked"), F.lit("hit")).otherwise(F.lit("open"))))
-    around = edges.unionByName(state.select("k", F.col("k").alias("other")).distinct())
+    status = F.when(F.col("blocked"), F.lit("hit")).otherwise(F.lit("open"))
+    state = cut_lineage(busy.select("pos", "url", "k", "several", status.alias("status")))
+    around = cut_lineage(edges.unionByName(state.select("k", F.col("k").alias("other")).distinct()))
     while not state.filter(F.col("status") == "open").isEmpty():
         state = cut_lineage(_round(state, around))
     hits = state.filter(F.col("status") == "hit").select("url")
@@ -255,7 +268,10 @@ def _walk(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _round(state: DataFrame, around: DataFrame) -> DataFrame:
-    """Decide every row whose earlier neighbours, by key and by URL, allow it."""
+    """Decide every row whose earlier neighbours, by key and by URL, allow it.
+
+    ``state`` holds one row per key for URLs that occur once; adaptive execution splits what is left of skew.
+    """
     is_open, accepted = F.col("status") == "open", F.col("status") == "accepted"
     per_key = state.groupBy("k").agg(
         F.min(F.when(accepted, F.col("pos"))).alias("taken"), F.min(F.when(is_open, F.col("pos"))).alias("waiting")
@@ -265,7 +281,7 @@ def _round(state: DataFrame, around: DataFrame) -> DataFrame:
         .groupBy("k")
         .agg(F.min("taken").alias("taken"), F.min("waiting").alias("waiting"))
     )
-    seen = skew_join(state, nearby, "k", "left", spread=F.col("pos"))
+    seen = state.join(nearby, "k", "left")
     hit = F.when(is_open & (F.col("taken") < F.col("pos")), F.lit("hit")).otherwise(F.col("status"))
     found = seen.withColumn("status", hit)
     ready = (F.col("status") == "open") & (F.col("waiting") >= F.col("pos"))
@@ -274,11 +290,11 @@ def _round(state: DataFrame, around: DataFrame) -> DataFrame:
         F.min(F.when(F.col("status") == "hit", F.col("pos"))).alias("first_hit"),
         F.min(F.when((F.col("status") == "open") & ~F.col("ready"), F.col("pos"))).alias("first_wait"),
     )
-    known = skew_join(found, per_url, "url", "left", spread=F.col("pos"))
+    known = found.join(per_url, "url", "left")
     skipped = (F.col("status") == "open") & (F.col("first_hit") < F.col("pos"))
     free = F.col("ready") & (F.col("first_wait").isNull() | (F.col("first_wait") > F.col("pos")))
     status = F.when(skipped, F.lit("skipped")).when(free, F.lit("accepted")).otherwise(F.col("status"))
-    return known.select("pos", "url", "k", "blocked", "several", status.alias("status"))
+    return known.select("pos", "url", "k", "several", status.alias("status"))
 
 
 def dedupe_urls(
@@ -286,25 +302,24 @@ def dedupe_urls(
 ) -> DataFrame:
     """The duplicate URLs of a batch (pos, url, original_title): stored ones, and those the title walk finds."""
     stored = cut_lineage(known_urls(batch, articles))
-    rows = batch.select("pos", "url", normalize_title(F.col("original_title")).alias("norm")).filter(
-        (F.col("url") != "") & (F.col("norm") != "")
-    )
-    new = skew_join(rows, stored, "url", "left_anti", spread=F.col("pos"))
-    recent = recent_titles(articles, as_of)
-    keys = cut_lineage(title_keys(new, recent))
-    pairs = cut_lineage(similar_keys(keys, threshold))
+    norm = normalize_title(F.col("original_title"))
+    rows = batch.select("pos", "url", token_key(norm).alias("k")).filter((F.col("url") != "") & (F.col("k") != ""))
+    new = cut_lineage(rows.join(stored, "url", "left_anti"))
+    stored_keys = cut_lineage(recent_titles(articles, as_of).select(token_key(F.col("norm")).alias("k")).distinct())
+    pairs = cut_lineage(similar_keys(cut_lineage(title_keys(new, stored_keys)), threshold))
     both_ways = pairs.select(F.col("k_a").alias("k"), F.col("k_b").alias("other")).unionByName(
         pairs.select(F.col("k_b").alias("k"), F.col("k_a").alias("other"))
     )
-    stored_keys = recent.select(token_key(F.col("norm")).alias("k")).distinct()
     near_stored = both_ways.join(stored_keys.withColumnRenamed("k", "other"), "other", "left_semi").select("k")
-    blocked = near_stored.unionByName(stored_keys).distinct().withColumn("blocked", F.lit(True))
-    keyed = new.select("pos", "url", token_key(F.col("norm")).alias("k"))
-    marked = cut_lineage(skew_join(keyed, blocked, "k", "left", spread=F.col("pos")).fillna(False, ["blocked"]))
-    # Only edges between batch keys that are still open take part in the walk.
-    open_keys = marked.filter(~F.col("blocked")).select("k").distinct()
-    edges = both_ways.join(open_keys, "k", "left_semi").join(
-        open_keys.withColumnRenamed("k", "other"), "other", "left_semi"
+    blocked = cut_lineage(near_stored.unionByName(stored_keys).distinct())
+    several = new.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(
+        "url", F.lit(True).alias("several")
+    )
+    marked = skew_join(new, blocked.withColumn("blocked", F.lit(True)), "k", "left", spread=F.col("pos"))
+    marked = cut_lineage(skew_join(marked, several, "url", "left", spread=F.col("pos")).fillna(False))
+    # Only similar keys that are both not blocked take part in the walk.
+    edges = both_ways.join(blocked, "k", "left_anti").join(
+        blocked.withColumnRenamed("k", "other"), "other", "left_anti"
     )
     found = _walk(marked, cut_lineage(edges.select("k", "other")))
     return stored.select("url").unionByName(found)

@@ -59,9 +59,13 @@ def first_per_url(rows: DataFrame, url: str = "url", order: str = "pos") -> Data
 
 
 def known_urls(batch: DataFrame, articles: DataFrame, url: str = "url") -> DataFrame:
-    """URLs of the batch that are stored already, each once."""
-    stored = articles.select(F.col("source_url").alias(url))
-    return batch.select(url).filter(F.col(url).isNotNull()).distinct().join(stored, url, "left_semi")
+    """URLs of the batch that are stored already, each once, as stored URLs are unique.
+
+    The stored table is the side that is read through; the distinct URLs of the batch are the side to look up, which
+    Spark broadcasts as long as its size allows.
+    """
+    wanted = batch.select(url).filter(F.col(url).isNotNull()).distinct()
+    return articles.select(F.col("source_url").alias(url)).join(wanted, url, "left_semi")
 
 
 def batch_minus_duplicates(batch: DataFrame, duplicate_urls: DataFrame, url: str = "url") -> DataFrame:
@@ -72,7 +76,7 @@ def batch_minus_duplicates(batch: DataFrame, duplicate_urls: DataFrame, url: str
 def ingest_insert(new_articles: DataFrame, stored: DataFrame, order: str = "pos") -> DataFrame:
     """The rows to append: first row per URL, unless the URL is stored. Running it again inserts nothing."""
     first = first_per_url(new_articles, "source_url", order)
-    return first.join(stored.select("source_url"), "source_url", "left_anti").select(*ARTICLE_COLS, order)
+    return first.join(known_urls(first, stored, "source_url"), "source_url", "left_anti").select(*ARTICLE_COLS, order)
 
 
 def ingest_stats(scraped: DataFrame, saved: DataFrame, group: list[str]) -> DataFrame:

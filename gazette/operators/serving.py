@@ -116,47 +116,59 @@ def unseen_all_users(
 
     # One user may have read a third of everything and one article may be read by a third of the users.
     read = seen.select(F.col("user_auth_id").alias("auth_id"), F.col("article_id").alias("id")).distinct()
-    places = skew_join(read, ranked.select("id", "place"), "id").select(
-        "auth_id", "place", F.floor((F.col("place") - 1) / width).alias("block")
+    places = cut_lineage(
+        skew_join(read, ranked.select("id", "place"), "id").select(
+            "auth_id", "place", F.floor((F.col("place") - 1) / width).alias("block")
+        )
     )
 
     counts = places.groupBy("auth_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("auth_id").orderBy("block")
+    per_user = Window.partitionBy("auth_id")
+    in_order = per_user.orderBy("block")
     # From a counted block on, the first block by whose end `limit` unseen places have gone by. It is the right one
     # when the next counted block comes later.
-    full = F.greatest(F.col("block"), F.ceil((F.lit(limit) + F.sum("n").over(w)) / width) - 1)
-    following = F.lead("block").over(w)
-    walk = counts.withColumn("full", F.when(following.isNull() | (full < following), full)).withColumn(
-        "first_block", F.min("block").over(Window.partitionBy("auth_id"))
+    full = F.greatest(F.col("block"), F.ceil((F.lit(limit) + F.sum("n").over(in_order)) / width) - 1)
+    following = F.lead("block").over(in_order)
+    walk = counts.withColumn("full", F.when(following.isNull() | (full < following), full))
+    last = F.when(F.min("block").over(per_user) > 0, F.lit(0)).otherwise(F.min("full").over(per_user))
+    still_open = (F.col("n") < width) & (F.col("block") <= F.col("last"))
+    # At most `limit` blocks per user are open before the last one.
+    pages = walk.withColumn("last", last.cast("long")).groupBy("auth_id").agg(
+        F.collect_set(F.when(still_open, F.col("block"))).alias("open"), F.max("last").alias("last")
     )
-    end = walk.groupBy("auth_id").agg(
-        F.when(F.min("first_block") > 0, F.lit(0)).otherwise(F.min("full")).cast("long").alias("last")
+    none = F.array().cast("array<bigint>")
+    wanted = users.select("auth_id").distinct().join(pages, "auth_id", "left").select(
+        "auth_id",
+        F.explode(F.array_union(F.coalesce("open", none), F.array(F.coalesce("last", F.lit(0))))).alias("block"),
     )
-    open_blocks = (
-        walk.join(end, "auth_id")
-        .filter((F.col("n") < width) & (F.col("block") <= F.col("last")))
-        .select("auth_id", "block")
-    )
-    first_pages = users.select("auth_id").distinct().join(end, "auth_id", "left").select(
-        "auth_id", F.coalesce("last", F.lit(0)).alias("block")
-    )
-    wanted = open_blocks.join(users.select("auth_id").distinct(), "auth_id", "left_semi").union(first_pages).distinct()
 
-    # At most `width` places per user and block, and at most `limit` + 1 blocks per user.
-    read_there = (
-        places.join(wanted, ["auth_id", "block"], "left_semi")
-        .groupBy("auth_id", "block")
-        .agg(F.collect_list("place").alias("read"))
+    # A user and block hold at most `width` places.
+    there = wanted.join(places, ["auth_id", "block"], "left").groupBy("auth_id", "block").agg(
+        F.collect_list("place").alias("read")
     )
     start = F.col("block") * width + 1
     stop = F.least((F.col("block") + 1) * width, F.coalesce(total, F.lit(0)))
-    listed = F.when(stop >= start, F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>"))
-    free = F.slice(F.array_except(listed, F.coalesce("read", F.array().cast("array<bigint>"))), 1, limit)
-    unread = wanted.join(read_there, ["auth_id", "block"], "left").select("auth_id", F.explode(free).alias("place"))
+    listed = F.when(stop >= start, F.sequence(start, stop)).otherwise(none)
+    free = F.slice(F.array_except(listed, F.col("read")), 1, limit)
     page = Window.partitionBy("auth_id").orderBy("place")
-    shown = cut_lineage(unread.withColumn("position", F.row_number().over(page)).filter(F.col("position") <= limit))
-    # Every user may want the newest articles: those places are the hot keys here.
-    return skew_join(shown, ranked, "place").select("auth_id", "position", "id", "created_at")
+    shown = (
+        there.select("auth_id", F.explode(free).alias("place"))
+        .withColumn("position", F.row_number().over(page))
+        .filter(F.col("position") <= limit)
+    )
+    # Nearly every user is shown some of the newest articles. Those are a fixed number of rows and are broadcast; the
+    # other places are looked up by a shuffle, in which the rows already served are spread by user.
+    newest_places = ranked.filter(F.col("place") <= width).select(
+        "place", F.col("id").alias("near_id"), F.col("created_at").alias("near_at")
+    )
+    served = shown.join(F.broadcast(newest_places), "place", "left").withColumn(
+        "far", F.when(F.col("place") > width, F.col("place")).otherwise(-1 - F.pmod(F.xxhash64("auth_id"), F.lit(4096)))
+    )
+    older = ranked.filter(F.col("place") > width).withColumnRenamed("place", "far")
+    return served.join(older, "far", "left").select(
+        "auth_id", "position", F.coalesce("near_id", "id").alias("id"),
+        F.coalesce("near_at", "created_at").alias("created_at"),
+    )
 
 
 def topk_per_category(
@@ -222,3 +234,35 @@ def bundled_articles(
     return bundle.withColumn("_one", F.lit(1)).join(trending.withColumn("_one", F.lit(1)), "_one").select(
         "categories", "trending", "total_categories", F.lit(limit_per_category).alias("limit_per_category")
     )
+
+
+def write_bundles(
+    articles: DataFrame, path: str, limit_per_category: int = DEFAULT_PER_CATEGORY
+) -> None:
+    """Store the bundle rows of every language and of all languages together, partitioned by scope.
+
+    The all-language bundle has a scope of its own, ``all``. One pass ranks each language; the newest of all
+    languages are among the newest of each.
+    """
+    check_page(limit_per_category, maximum=MAX_PER_CATEGORY)
+    dim = F.broadcast(categories(articles.sparkSession))
+    rows = article_projection(articles)
+    per_language = first_per_group(rows, ["language", "category"], newest(), limit_per_category)
+    overall = first_per_group(per_language, ["category"], newest(), limit_per_category)
+    top = per_language.withColumn("scope", F.col("language")).unionByName(overall.withColumn("scope", F.lit("all")))
+    rank = Window.partitionBy("scope", "category").orderBy(*newest())
+    top = top.withColumn("rn", F.row_number().over(rank))
+    counts = rows.groupBy("language", "category").agg(F.count(F.lit(1)).alias("n"))
+    totals = (
+        counts.withColumn("scope", F.explode(F.array("language", F.lit("all"))))
+        .groupBy("scope", "category").agg(F.sum("n").alias("total"))
+    )
+    # Every scope lists every category: the categories are a fixed list, so this is one row times seven.
+    every = totals.select("scope").distinct().withColumn(
+        "category", F.explode(F.array(*[F.lit(c) for c in CATEGORIES]))
+    )
+    shown = every.join(dim, "category").join(totals, ["scope", "category"], "left").join(
+        top, ["scope", "category"], "left"
+    )
+    out = shown.withColumn("total", F.coalesce("total", F.lit(0))).withColumn("limit", F.lit(limit_per_category))
+    out.write.mode("errorifexists").partitionBy("scope").parquet(path)

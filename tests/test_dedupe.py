@@ -67,7 +67,7 @@ def random_titles(rng, n, low=1, high=8):
 def test_similar_keys_finds_every_pair(spark, seed):
     rng = random.Random(seed)
     titles = sorted({" ".join(sorted(set(t.split()))) for t in random_titles(rng, 500)} - {""})
-    rows = spark.createDataFrame([(t,) for t in titles], "norm string")
+    rows = spark.createDataFrame([(t,) for t in titles], "k string")
     keys = dedupe.title_keys(rows, rows.limit(0))
     got = {(r.k_a, r.k_b) for r in dedupe.similar_keys(keys).collect()}
     want = {(a, b) for i, a in enumerate(titles) for b in titles[i + 1:] if token_set_ratio(a, b) >= 85}
