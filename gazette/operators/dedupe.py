@@ -16,8 +16,14 @@ are. With W(t) = length of the joined tokens + 1 as the weight of a token set, a
   share at least (len A + len B + 2 - 3d) / 2 pairs, and one of them is among the rarest |A| - that + 1 pairs of
   each title.
 
-Both are exact bounds: no candidate is lost and none is capped. A pair is emitted only when the lengths and a
-character-count signature allow the score; the score itself decides afterwards.
+Both are exact bounds: no candidate is lost and none is capped. A pair is emitted only when the lengths, a
+character-count signature and a sketch of the character pairs allow the score; the score itself decides afterwards.
+
+A large group of near copies would still be all pairs of that group. So each title is first compared with the few
+earliest titles of its hash buckets. A title that has a similar earlier one there is held back: it is not matched
+with everything, only with the titles that are not held back. As soon as one of those is accepted, the copies
+similar to it are duplicates and gone. Buckets only decide who is held back; titles that stay undecided go through
+the next pass, so the result does not depend on them.
 """
 
 from __future__ import annotations
@@ -47,6 +53,8 @@ STEPS = 8
 PER_WORD = 64 // STEPS
 WORDS = (len(CLASSES) + 1) // PER_WORD
 SIGNATURE = [f"sig{w}" for w in range(WORDS)]
+# Titles of a bucket that the others are compared with first.
+LEADERS = 2
 # Parity sketch of a title's character pairs.
 SKETCH_WORDS = 4
 SKETCH = [f"sketch{w}" for w in range(SKETCH_WORDS)]
@@ -74,26 +82,24 @@ def _signature(text: Column, word: int) -> Column:
     return bits
 
 
-def title_keys(batch: DataFrame, recent: DataFrame) -> DataFrame:
-    """Distinct token keys ``k`` of both sides with their origin, lengths and signatures."""
-    def side(rows: DataFrame, in_batch: bool) -> DataFrame:
-        return rows.select("k", F.lit(in_batch).alias("in_batch"), F.lit(not in_batch).alias("in_store"))
-
-    both = side(batch, True).unionByName(side(recent, False)).filter(F.col("k") != "")
-    keys = both.groupBy("k").agg(F.max("in_batch").alias("in_batch"), F.max("in_store").alias("in_store"))
+def with_signatures(keys: DataFrame) -> DataFrame:
+    """Token keys (k, ...) with their lengths and signatures."""
     return keys.select(
-        "k", "in_batch", "in_store", F.length("k").alias("len"),
+        *keys.columns, F.length("k").alias("len"),
         *[_signature(F.col("k"), w).alias(name) for w, name in enumerate(SIGNATURE)],
     )
 
 
-_CARRIED = ["k", "in_batch", "in_store", "len", *SIGNATURE]
+def two_sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The keys of two sets, each once, with flags that tell where they are from."""
+    both = left.select("k", F.lit(True).alias("in_left"), F.lit(False).alias("in_right")).unionByName(
+        right.select("k", F.lit(False).alias("in_left"), F.lit(True).alias("in_right"))
+    )
+    merged = both.groupBy("k").agg(F.max("in_left").alias("in_left"), F.max("in_right").alias("in_right"))
+    return with_signatures(merged)
 
 
-def _compared(within_batch: bool) -> Column:
-    """Pairs of a batch title with a stored one, and on request those of two batch titles."""
-    across = (F.col("in_batch_a") & F.col("in_store_b")) | (F.col("in_store_a") & F.col("in_batch_b"))
-    return across | (F.col("in_batch_a") & F.col("in_batch_b")) if within_batch else across
+_CARRIED = ["k", "in_left", "in_right", "len", *SIGNATURE]
 
 
 def _by_rarity(elements: DataFrame, element: str) -> DataFrame:
@@ -118,7 +124,7 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def containment_candidates(keys: DataFrame, threshold: int, within_batch: bool) -> DataFrame:
+def containment_candidates(keys: DataFrame, threshold: int) -> DataFrame:
     """Pairs (k_a, k_b) in which the tokens of k_a may be contained in k_b to the share the threshold asks for."""
     missing, whole = 2 * (100 - threshold), 200 - threshold
     tokens = _by_rarity(
@@ -133,7 +139,7 @@ def containment_candidates(keys: DataFrame, threshold: int, within_batch: bool)
     extra = _bits(lambda x, y: x.bitwiseAND(F.bitwise_not(y)), SIGNATURE)
     possible = (
         (F.col("k_a") != F.col("k_b"))
-        & _compared(within_batch)
+        & ((F.col("in_left_a") & F.col("in_right_b")) | (F.col("in_right_a") & F.col("in_left_b")))
         & ((F.col("len_b") + 1) * whole >= (F.col("len_a") + 1) * (whole - missing))
         & (extra * whole < (F.col("len_a") + 1) * missing)
     )
@@ -142,7 +148,7 @@ def containment_candidates(keys: DataFrame, threshold: int, within_batch: bool)
     return joined.select("k_a", "k_b")
 
 
-def indel_candidates(keys: DataFrame, threshold: int, within_batch: bool) -> DataFrame:
+def indel_candidates(keys: DataFrame, threshold: int) -> DataFrame:
     """Pairs (k_a, k_b), each once, whose edit distance may be small enough for the threshold."""
     loss = 100 - threshold
     padded = F.concat(F.lit(" "), F.col("k"), F.lit(" "))
@@ -174,11 +180,15 @@ def indel_candidates(keys: DataFrame, threshold: int, within_batch: bool) -> Dat
     least_partner = F.ceil(F.col("len") * (100 - loss) / (100 + loss))
     fits_any = (F.col("len") + 1 - F.col("place") + 1) * 200 >= needed(F.col("len") + least_partner)
     prefix = cut_lineage(ranked.filter(fits_any))
-    a, b = _renamed(prefix, "_a", ["e"]), _renamed(prefix, "_b", ["e"])
+    a = _renamed(prefix.filter("in_left"), "_a", ["e"])
+    b = _renamed(prefix.filter("in_right"), "_b", ["e"])
+    # A pair of titles that are on both sides would come twice.
+    once = (F.col("k_a") < F.col("k_b")) | (
+        (F.col("k_a") != F.col("k_b")) & ~(F.col("in_right_a") & F.col("in_left_b"))
+    )
     total = F.col("len_a") + F.col("len_b")
     possible = (
-        (F.col("k_a") < F.col("k_b"))
-        & _compared(within_batch)
+        once
         & (F.abs(F.col("len_a") - F.col("len_b")) * 100 <= total * loss)
         & ((F.col("len_a") + 2 - F.col("place_a")) * 200 >= needed(total))
         & ((F.col("len_b") + 2 - F.col("place_b")) * 200 >= needed(total))
@@ -190,21 +200,66 @@ def indel_candidates(keys: DataFrame, threshold: int, within_batch: bool) -> Dat
     return joined.select("k_a", "k_b")
 
 
-def similar_keys(keys: DataFrame, threshold: int = TITLE_THRESHOLD, within_batch: bool = True) -> DataFrame:
-    """All pairs (k_a, k_b, score), each once with k_a < k_b, of different token keys with at least that score."""
+def similar_keys(keys: DataFrame, threshold: int = TITLE_THRESHOLD) -> DataFrame:
+    """All pairs (k_a, k_b, score), each once with k_a < k_b, of a left and another, right key with at least that score.
+
+    ``keys`` comes from ``two_sides``.
+    """
     if not 67 <= threshold <= 100:
         raise ValueError("the bounds hold for thresholds from 67 to 100")
-    found = containment_candidates(keys, threshold, within_batch).unionByName(
-        indel_candidates(keys, threshold, within_batch)
-    )
-    pairs = found.select(F.least("k_a", "k_b").alias("k_a"), F.greatest("k_a", "k_b").alias("k_b"))
+    found = containment_candidates(keys, threshold).unionByName(indel_candidates(keys, threshold))
+    return _scored(found, threshold)
+
+
+def _scored(candidates: DataFrame, threshold: int) -> DataFrame:
+    pairs = candidates.select(F.least("k_a", "k_b").alias("k_a"), F.greatest("k_a", "k_b").alias("k_b"))
     # A fixed number of partitions, as scoring takes long for the few bytes a pair has.
-    pairs = pairs.repartition(_partitions(keys), "k_a", "k_b").distinct()
+    pairs = pairs.repartition(_partitions(pairs), "k_a", "k_b").distinct()
     # A filter on a plain function would be pushed below the distinct and score every pair several times.
     score = token_set_score.asNondeterministic()
     return pairs.withColumn("score", score("k_a", "k_b")).filter(F.col("score") >= threshold)
 
 
+def _buckets(keys: DataFrame) -> DataFrame:
+    """Hash buckets of each key: minimum hashes of its tokens, two at a time, and of its character pairs, three."""
+    padded = F.concat(F.lit(" "), F.col("k"), F.lit(" "))
+    grams = F.transform(F.sequence(F.lit(1), F.length("k") + 1), lambda i: F.substring(padded, i, F.lit(2)))
+
+    def least(parts: Column, seed: int) -> Column:
+        return F.array_min(F.transform(parts, lambda p: F.xxhash64(p, F.lit(seed))))
+
+    bands = [F.xxhash64(F.lit(i), *[least(F.split("k", " "), 10 * i + j) for j in range(2)]) for i in range(4)]
+    bands += [F.xxhash64(F.lit(i), *[least(grams, 10 * i + j) for j in range(3)]) for i in range(4, 7)]
+    return keys.withColumn("bucket", F.explode(F.array(*bands)))
+
+
+def near_leaders(keys: DataFrame, leaders: DataFrame, threshold: int, earlier: bool) -> DataFrame:
+    """Keys (k) similar to one of the first ``LEADERS`` leaders of a bucket; with ``earlier`` to one of lower ``first``.
+
+    Both sides have k, first, len and the signature. Each key meets at most a fixed number of leaders.
+    """
+    cheap = ["bucket", "k", "first", "len", *SIGNATURE]
+    rows = _renamed(_buckets(keys).select(*cheap), "_b", ["bucket"])
+    top = first_per_group(_buckets(leaders).select(*cheap), ["bucket"], [F.col("first"), F.col("k")], LEADERS)
+    total, loss = F.col("len_a") + F.col("len_b"), 100 - threshold
+    differing = _bits(lambda x, y: x.bitwiseXOR(y), SIGNATURE)
+    missing_a = _bits(lambda x, y: x.bitwiseAND(F.bitwise_not(y)), SIGNATURE)
+    missing_b = _bits(lambda x, y: y.bitwiseAND(F.bitwise_not(x)), SIGNATURE)
+    share = F.lit(2 * loss)
+    possible = (
+        (differing * 100 <= total * loss)
+        | (missing_a * (100 + loss) < (F.col("len_a") + 1) * share)
+        | (missing_b * (100 + loss) < (F.col("len_b") + 1) * share)
+    ) & (F.col("k_a") != F.col("k_b"))
+    if earlier:
+        possible = possible & (F.col("first_a") < F.col("first_b"))
+    met = skew_join(rows, _renamed(top, "_a", ["bucket"]), "bucket", condition=possible, spread=F.xxhash64("k_b"))
+    pairs = met.select("k_a", "k_b").repartition(_partitions(keys), "k_a", "k_b").distinct()
+    score = token_set_score.asNondeterministic()
+    similar = pairs.withColumn("score", score("k_a", "k_b")).filter(F.col("score") >= threshold)
+    return similar.select(F.col("k_b").alias("k")).distinct()
+
+
 def recent_titles(articles: DataFrame, as_of: Column, hours: int = TITLE_LOOKBACK_HOURS) -> DataFrame:
     """Normalised titles (``norm``) of stored articles created in the look-back, whatever their language."""
     start = as_of - F.make_dt_interval(F.lit(0), F.lit(hours))
@@ -223,12 +278,14 @@ def fuzzy_title_join(
         recent_titles(articles, as_of).groupBy(token_key(F.col("norm")).alias("k_stored"))
         .agg(F.min("norm").alias("match"))
     )
-    keys = cut_lineage(title_keys(keyed, stored.select(F.col("k_stored").alias("k"))))
-    pairs = cut_lineage(similar_keys(keys, threshold, within_batch=False))
+    same = stored.select(F.col("k_stored").alias("k"), "k_stored", F.lit(100.0).alias("score"))
+    # A title that is stored word for word cannot find a better match.
+    others = keyed.select("k").distinct().join(same.select("k"), "k", "left_anti")
+    keys = cut_lineage(two_sides(others, stored.select(F.col("k_stored").alias("k"))))
+    pairs = cut_lineage(similar_keys(keys, threshold))
     both_ways = pairs.select(F.col("k_a").alias("k"), F.col("k_b").alias("k_stored"), "score").unionByName(
         pairs.select(F.col("k_b").alias("k"), F.col("k_a").alias("k_stored"), "score")
     )
-    same = stored.select(F.col("k_stored").alias("k"), "k_stored", F.lit(100.0).alias("score"))
     scored = both_ways.unionByName(same).join(stored, "k_stored")
     best = first_per_group(scored, ["k"], [F.desc("score"), F.asc("match")])
     return skew_join(keyed, best.select("k", "match", "score"), "k").select(
@@ -236,10 +293,10 @@ def fuzzy_title_join(
     )
 
 
-def _walk(rows: DataFrame, edges: DataFrame) -> DataFrame:
+def _walk(rows: DataFrame, keys: DataFrame, threshold: int) -> DataFrame:
     """URLs that the walk over ``rows`` (pos, url, k, blocked, several) makes duplicates.
 
-    ``edges`` (k, other) holds the similar keys, both ways. ``blocked`` marks keys similar to a stored title, and
+    ``keys`` holds the keys that are not blocked, with signatures. ``blocked`` marks keys similar to a stored title,
     ``several`` URLs with more than one row. Rows of one URL matter only until the first of them is a duplicate;
     then the URL is one and the rest is skipped.
     """
@@ -250,27 +307,62 @@ def _walk(rows: DataFrame, edges: DataFrame) -> DataFrame:
         "nth", F.row_number().over(Window.partitionBy("k", "group").orderBy("pos"))
     )
     kept = numbered.filter(F.col("nth") <= 2).filter(F.col("several") | (F.col("nth") == 1))
-    nodes = cut_lineage(kept.select("pos", "url", "k", "blocked", "several"))
-    copies = rows.filter(~F.col("several")).join(nodes.select("pos"), "pos", "left_anti").select("url")
+    status = F.when(F.col("blocked"), F.lit("hit")).otherwise(F.lit("open"))
+    state = cut_lineage(kept.select("pos", "url", "k", "several", status.alias("status")))
+    copies = rows.filter(~F.col("several")).join(state.select("pos"), "pos", "left_anti").select("url")
+    hits = [copies]
+    while not state.isEmpty():
+        state, found = _pass(state, keys, threshold)
+        hits.append(found)
+    return reduce(DataFrame.unionByName, hits).distinct()
+
 
-    # Other rows are accepted at once: no similar key, one row for the URL, and no other row of the key to wait for.
-    linked = edges.select("k").unionByName(nodes.filter(F.col("several")).select("k")).distinct()
-    busy = nodes.join(linked.withColumn("_linked", F.lit(True)), "k", "left").filter(
-        F.col("_linked") | F.col("blocked") | F.col("several")
+def _pass(state: DataFrame, keys: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(rows that are still undecided with their URL's other rows, URLs found to be duplicates).
+
+    Titles that no earlier one in their buckets is similar to are matched with all open titles and decided.
+    """
+    first = state.filter(F.col("status") == "open").groupBy("k").agg(F.min("pos").alias("first"))
+    open_keys = cut_lineage(keys.join(first, "k"))
+    held = near_leaders(open_keys, open_keys, threshold, earlier=True)
+    marked = open_keys.join(held.withColumn("held", F.lit(True)), "k", "left")
+    flagged = cut_lineage(marked.select(
+        "k", F.col("held").isNull().alias("in_left"), F.lit(True).alias("in_right"), "len", *SIGNATURE
+    ))
+    pairs = cut_lineage(similar_keys(flagged, threshold))
+    edges = pairs.select(F.col("k_a").alias("k"), F.col("k_b").alias("other")).unionByName(
+        pairs.select(F.col("k_b").alias("k"), F.col("k_a").alias("other"))
     )
-    status = F.when(F.col("blocked"), F.lit("hit")).otherwise(F.lit("open"))
-    state = cut_lineage(busy.select("pos", "url", "k", "several", status.alias("status")))
-    around = cut_lineage(edges.unionByName(state.select("k", F.col("k").alias("other")).distinct()))
-    while not state.filter(F.col("status") == "open").isEmpty():
-        state = cut_lineage(_round(state, around))
-    hits = state.filter(F.col("status") == "hit").select("url")
-    return hits.unionByName(copies).distinct()
+    # Rows without a similar key, in a URL of their own, are accepted and matter to nobody else.
+    linked = edges.select("k").unionByName(state.filter("several").select("k")).distinct()
+    busy = (
+        state.join(linked.withColumn("_linked", F.lit(True)), "k", "left")
+        .join(flagged.select("k", F.col("in_left").alias("full")), "k", "left")
+        .filter(F.col("_linked") | (F.col("status") != "open") | F.col("several") | ~F.col("full"))
+        .select(*state.columns, F.coalesce("full", F.lit(False)).alias("full"))
+    )
+    current = cut_lineage(busy)
+    around = cut_lineage(edges.unionByName(current.select("k", F.col("k").alias("other")).distinct()))
+    before, left = -1, current.filter(F.col("status") == "open").count()
+    while left and left != before:
+        current = cut_lineage(_round(current, around))
+        before, left = left, current.filter(F.col("status") == "open").count()
+    found = current.filter(F.col("status") == "hit").select("url")
+    if not left:
+        return current.limit(0), found
+    # A later pass needs the open rows, and what is known of their URLs.
+    waiting = current.filter((F.col("status") == "open") & F.col("several")).select("url").distinct()
+    rest = current.filter((F.col("status") == "open") & ~F.col("several")).unionByName(
+        current.filter("several").join(waiting, "url", "left_semi")
+    )
+    return cut_lineage(rest.drop("full")), found
 
 
 def _round(state: DataFrame, around: DataFrame) -> DataFrame:
     """Decide every row whose earlier neighbours, by key and by URL, allow it.
 
-    ``state`` holds one row per key for URLs that occur once; adaptive execution splits what is left of skew.
+    Only keys matched with all open ones (``full``) can be accepted. ``state`` holds one row per key for URLs that
+    occur once; adaptive execution splits what is left of skew.
     """
     is_open, accepted = F.col("status") == "open", F.col("status") == "accepted"
     per_key = state.groupBy("k").agg(
@@ -284,7 +376,7 @@ def _round(state: DataFrame, around: DataFrame) -> DataFrame:
     seen = state.join(nearby, "k", "left")
     hit = F.when(is_open & (F.col("taken") < F.col("pos")), F.lit("hit")).otherwise(F.col("status"))
     found = seen.withColumn("status", hit)
-    ready = (F.col("status") == "open") & (F.col("waiting") >= F.col("pos"))
+    ready = (F.col("status") == "open") & F.col("full") & (F.col("waiting") >= F.col("pos"))
     found = found.withColumn("ready", F.coalesce(ready, F.lit(False)))
     per_url = found.filter("several").groupBy("url").agg(
         F.min(F.when(F.col("status") == "hit", F.col("pos"))).alias("first_hit"),
@@ -294,7 +386,7 @@ def _round(state: DataFrame, around: DataFrame) -> DataFrame:
     skipped = (F.col("status") == "open") & (F.col("first_hit") < F.col("pos"))
     free = F.col("ready") & (F.col("first_wait").isNull() | (F.col("first_wait") > F.col("pos")))
     status = F.when(skipped, F.lit("skipped")).when(free, F.lit("accepted")).otherwise(F.col("status"))
-    return known.select("pos", "url", "k", "several", status.alias("status"))
+    return known.select("pos", "url", "k", "several", status.alias("status"), "full")
 
 
 def dedupe_urls(
@@ -306,23 +398,29 @@ def dedupe_urls(
     rows = batch.select("pos", "url", token_key(norm).alias("k")).filter((F.col("url") != "") & (F.col("k") != ""))
     new = cut_lineage(rows.join(stored, "url", "left_anti"))
     stored_keys = cut_lineage(recent_titles(articles, as_of).select(token_key(F.col("norm")).alias("k")).distinct())
-    pairs = cut_lineage(similar_keys(cut_lineage(title_keys(new, stored_keys)), threshold))
-    both_ways = pairs.select(F.col("k_a").alias("k"), F.col("k_b").alias("other")).unionByName(
-        pairs.select(F.col("k_b").alias("k"), F.col("k_a").alias("other"))
-    )
-    near_stored = both_ways.join(stored_keys.withColumnRenamed("k", "other"), "other", "left_semi").select("k")
-    blocked = cut_lineage(near_stored.unionByName(stored_keys).distinct())
+    blocked = _blocked_keys(new, stored_keys, threshold)
     several = new.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(
         "url", F.lit(True).alias("several")
     )
     marked = skew_join(new, blocked.withColumn("blocked", F.lit(True)), "k", "left", spread=F.col("pos"))
     marked = cut_lineage(skew_join(marked, several, "url", "left", spread=F.col("pos")).fillna(False))
-    # Only similar keys that are both not blocked take part in the walk.
-    edges = both_ways.join(blocked, "k", "left_anti").join(
-        blocked.withColumnRenamed("k", "other"), "other", "left_anti"
+    free = marked.filter(~F.col("blocked")).select("k").distinct()
+    found = _walk(marked, cut_lineage(with_signatures(free)), threshold)
+    return stored.select("url").unionByName(found).distinct()
+
+
+def _blocked_keys(new: DataFrame, stored_keys: DataFrame, threshold: int) -> DataFrame:
+    """Batch keys that are equal or similar to a stored key."""
+    batch_keys = cut_lineage(
+        with_signatures(new.select("k").distinct().join(stored_keys, "k", "left_anti")).withColumn("first", F.lit(0))
     )
-    found = _walk(marked, cut_lineage(edges.select("k", "other")))
-    return stored.select("url").unionByName(found)
+    leaders = with_signatures(stored_keys).withColumn("first", F.lit(0))
+    quick = cut_lineage(near_leaders(batch_keys, leaders, threshold, earlier=False))
+    rest = cut_lineage(two_sides(batch_keys.join(quick, "k", "left_anti"), stored_keys))
+    pairs = cut_lineage(similar_keys(rest, threshold))
+    slow = pairs.select(F.explode(F.array("k_a", "k_b")).alias("k"))
+    # The pairs name stored keys as well; those are in the list anyway.
+    return cut_lineage(stored_keys.unionByName(quick).unionByName(slow).distinct())
 
 
 def dedupe_articles(

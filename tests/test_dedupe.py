@@ -68,7 +68,7 @@ def test_similar_keys_finds_every_pair(spark, seed):
     rng = random.Random(seed)
     titles = sorted({" ".join(sorted(set(t.split()))) for t in random_titles(rng, 500)} - {""})
     rows = spark.createDataFrame([(t,) for t in titles], "k string")
-    keys = dedupe.title_keys(rows, rows.limit(0))
+    keys = dedupe.two_sides(rows, rows)
     got = {(r.k_a, r.k_b) for r in dedupe.similar_keys(keys).collect()}
     want = {(a, b) for i, a in enumerate(titles) for b in titles[i + 1:] if token_set_ratio(a, b) >= 85}
     assert len(want) > 200
@@ -97,6 +97,21 @@ def test_duplicate_urls_equal_the_walk(spark, seed):
     assert got == walk(batch, {u for u, _, _ in stored}, recent)
 
 
+def test_one_large_group_of_near_copies(spark):
+    """A third of the rows are variants of one title; a burst of another comes late. Few pairs are kept of them."""
+    rng = random.Random(5)
+    titles = [f"daily horoscope for {rng.choice(VOCABULARY)} readers edition {i}" for i in range(150)]
+    titles += random_titles(rng, 150, 3) + [f"live updates number {i} from the match tonight" for i in range(150)]
+    batch = [(i, f"u{i}", t) for i, t in enumerate(titles)]
+    b, a = frames(spark, batch, [])
+    as_of = F.lit(AS_OF).cast("timestamp_ntz")
+    assert {r.url for r in dedupe.dedupe_urls(b, a, as_of).collect()} == walk(batch, set(), [])
+
+    keys = dedupe.with_signatures(spark.createDataFrame(
+        [(" ".join(sorted(set(t.split()))), i) for i, t in enumerate(titles[300:])], "k string, first long"))
+    assert dedupe.near_leaders(keys, keys, 85, earlier=True).count() > 140
+
+
 def test_surviving_rows_keep_the_first_row_of_a_url(spark):
     batch = [(0, "a", "Storm hits the coast tonight"), (1, "a", "Storm hits the coast"), (2, "b", "Other news entirely")]
     b, a = frames(spark, batch, [])
