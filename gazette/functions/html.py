@@ -49,9 +49,10 @@ def body_text(html: Column) -> Column:
 
 
 def article_content(html: Column) -> Column:
-    """The first extractor result that is long enough, null when neither is."""
+    """The first extractor result that is long enough, null when neither is. The second one runs only if needed."""
     def long_enough(text: Column) -> Column:
-        return F.when(F.length(text) >= MIN_CONTENT_CHARS, text)
+        # A one-element array binds the text, so that it is extracted once.
+        return F.get(F.filter(F.array(text), lambda t: F.length(t) >= MIN_CONTENT_CHARS), F.lit(0))
 
     return F.coalesce(long_enough(article_element_text(html)), long_enough(body_text(html)))
 

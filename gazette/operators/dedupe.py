@@ -83,8 +83,11 @@ def _signature(text: Column, word: int) -> Column:
 
 
 def with_signatures(keys: DataFrame) -> DataFrame:
-    """Token keys (k, ...) with their lengths and signatures."""
-    return keys.select(
+    """Token keys (k, ...) with their lengths and signatures.
+
+    All that follows computes much per title and the titles are few bytes, so the number of partitions is fixed.
+    """
+    return keys.repartition(_partitions(keys), "k").select(
         *keys.columns, F.length("k").alias("len"),
         *[_signature(F.col("k"), w).alias(name) for w, name in enumerate(SIGNATURE)],
     )
@@ -220,7 +223,7 @@ def _scored(candidates: DataFrame, threshold: int) -> DataFrame:
     return pairs.withColumn("score", score("k_a", "k_b")).filter(F.col("score") >= threshold)
 
 
-def _buckets(keys: DataFrame) -> DataFrame:
+def buckets_of(keys: DataFrame) -> DataFrame:
     """Hash buckets of each key: minimum hashes of its tokens, two at a time, and of its character pairs, three."""
     padded = F.concat(F.lit(" "), F.col("k"), F.lit(" "))
     grams = F.transform(F.sequence(F.lit(1), F.length("k") + 1), lambda i: F.substring(padded, i, F.lit(2)))
@@ -233,14 +236,14 @@ def _buckets(keys: DataFrame) -> DataFrame:
     return keys.withColumn("bucket", F.explode(F.array(*bands)))
 
 
-def near_leaders(keys: DataFrame, leaders: DataFrame, threshold: int, earlier: bool) -> DataFrame:
+def near_leaders(rows: DataFrame, leaders: DataFrame, threshold: int, earlier: bool) -> DataFrame:
     """Keys (k) similar to one of the first ``LEADERS`` leaders of a bucket; with ``earlier`` to one of lower ``first``.
 
-    Both sides have k, first, len and the signature. Each key meets at most a fixed number of leaders.
+    Both sides come from ``buckets_of`` and have k, first, len and the signature. Each key meets at most a fixed
+    number of leaders.
     """
     cheap = ["bucket", "k", "first", "len", *SIGNATURE]
-    rows = _renamed(_buckets(keys).select(*cheap), "_b", ["bucket"])
-    top = first_per_group(_buckets(leaders).select(*cheap), ["bucket"], [F.col("first"), F.col("k")], LEADERS)
+    top = first_per_group(leaders.select(*cheap), ["bucket"], [F.col("first"), F.col("k")], LEADERS)
     total, loss = F.col("len_a") + F.col("len_b"), 100 - threshold
     differing = _bits(lambda x, y: x.bitwiseXOR(y), SIGNATURE)
     missing_a = _bits(lambda x, y: x.bitwiseAND(F.bitwise_not(y)), SIGNATURE)
@@ -253,8 +256,11 @@ def near_leaders(keys: DataFrame, leaders: DataFrame, threshold: int, earlier: b
     ) & (F.col("k_a") != F.col("k_b"))
     if earlier:
         possible = possible & (F.col("first_a") < F.col("first_b"))
-    met = skew_join(rows, _renamed(top, "_a", ["bucket"]), "bucket", condition=possible, spread=F.xxhash64("k_b"))
-    pairs = met.select("k_a", "k_b").repartition(_partitions(keys), "k_a", "k_b").distinct()
+    met = skew_join(
+        _renamed(rows.select(*cheap), "_b", ["bucket"]), _renamed(top, "_a", ["bucket"]), "bucket",
+        condition=possible, spread=F.xxhash64("k_b"),
+    )
+    pairs = met.select("k_a", "k_b").repartition(_partitions(rows), "k_a", "k_b").distinct()
     score = token_set_score.asNondeterministic()
     similar = pairs.withColumn("score", score("k_a", "k_b")).filter(F.col("score") >= threshold)
     return similar.select(F.col("k_b").alias("k")).distinct()
@@ -293,10 +299,10 @@ def fuzzy_title_join(
     )
 
 
-def _walk(rows: DataFrame, keys: DataFrame, threshold: int) -> DataFrame:
+def _walk(rows: DataFrame, bucketed: DataFrame, threshold: int) -> DataFrame:
     """URLs that the walk over ``rows`` (pos, url, k, blocked, several) makes duplicates.
 
-    ``keys`` holds the keys that are not blocked, with signatures. ``blocked`` marks keys similar to a stored title,
+    ``bucketed`` holds the keys that are not blocked in their buckets. ``blocked`` marks keys similar to a stored title,
     ``several`` URLs with more than one row. Rows of one URL matter only until the first of them is a duplicate;
     then the URL is one and the rest is skipped.
     """
@@ -312,23 +318,24 @@ def _walk(rows: DataFrame, keys: DataFrame, threshold: int) -> DataFrame:
     copies = rows.filter(~F.col("several")).join(state.select("pos"), "pos", "left_anti").select("url")
     hits = [copies]
     while not state.isEmpty():
-        state, found = _pass(state, keys, threshold)
+        state, found = _pass(state, bucketed, threshold)
         hits.append(found)
     return reduce(DataFrame.unionByName, hits).distinct()
 
 
-def _pass(state: DataFrame, keys: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+def _pass(state: DataFrame, bucketed: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(rows that are still undecided with their URL's other rows, URLs found to be duplicates).
 
     Titles that no earlier one in their buckets is similar to are matched with all open titles and decided.
     """
     first = state.filter(F.col("status") == "open").groupBy("k").agg(F.min("pos").alias("first"))
-    open_keys = cut_lineage(keys.join(first, "k"))
-    held = near_leaders(open_keys, open_keys, threshold, earlier=True)
-    marked = open_keys.join(held.withColumn("held", F.lit(True)), "k", "left")
-    flagged = cut_lineage(marked.select(
-        "k", F.col("held").isNull().alias("in_left"), F.lit(True).alias("in_right"), "len", *SIGNATURE
-    ))
+    in_buckets = cut_lineage(bucketed.join(first, "k"))
+    held = near_leaders(in_buckets, in_buckets, threshold, earlier=True).withColumn("held", F.lit(True))
+    open_keys = in_buckets.select("k", "len", *SIGNATURE).distinct()
+    flagged = cut_lineage(
+        open_keys.join(held, "k", "left").repartition(_partitions(bucketed), "k")
+        .select("k", F.col("held").isNull().alias("in_left"), F.lit(True).alias("in_right"), "len", *SIGNATURE)
+    )
     pairs = cut_lineage(similar_keys(flagged, threshold))
     edges = pairs.select(F.col("k_a").alias("k"), F.col("k_b").alias("other")).unionByName(
         pairs.select(F.col("k_b").alias("k"), F.col("k_a").alias("other"))
@@ -398,28 +405,26 @@ def dedupe_urls(
     rows = batch.select("pos", "url", token_key(norm).alias("k")).filter((F.col("url") != "") & (F.col("k") != ""))
     new = cut_lineage(rows.join(stored, "url", "left_anti"))
     stored_keys = cut_lineage(recent_titles(articles, as_of).select(token_key(F.col("norm")).alias("k")).distinct())
-    blocked = _blocked_keys(new, stored_keys, threshold)
+    bucketed = cut_lineage(buckets_of(with_signatures(new.select("k").distinct())))
+    blocked = _blocked_keys(bucketed, stored_keys, threshold)
     several = new.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(
         "url", F.lit(True).alias("several")
     )
     marked = skew_join(new, blocked.withColumn("blocked", F.lit(True)), "k", "left", spread=F.col("pos"))
     marked = cut_lineage(skew_join(marked, several, "url", "left", spread=F.col("pos")).fillna(False))
     free = marked.filter(~F.col("blocked")).select("k").distinct()
-    found = _walk(marked, cut_lineage(with_signatures(free)), threshold)
+    found = _walk(marked, bucketed.join(free, "k", "left_semi"), threshold)
     return stored.select("url").unionByName(found).distinct()
 
 
-def _blocked_keys(new: DataFrame, stored_keys: DataFrame, threshold: int) -> DataFrame:
-    """Batch keys that are equal or similar to a stored key."""
-    batch_keys = cut_lineage(
-        with_signatures(new.select("k").distinct().join(stored_keys, "k", "left_anti")).withColumn("first", F.lit(0))
-    )
-    leaders = with_signatures(stored_keys).withColumn("first", F.lit(0))
-    quick = cut_lineage(near_leaders(batch_keys, leaders, threshold, earlier=False))
-    rest = cut_lineage(two_sides(batch_keys.join(quick, "k", "left_anti"), stored_keys))
-    pairs = cut_lineage(similar_keys(rest, threshold))
+def _blocked_keys(bucketed: DataFrame, stored_keys: DataFrame, threshold: int) -> DataFrame:
+    """Batch keys that are equal or similar to a stored key, with the stored keys."""
+    rows = bucketed.join(stored_keys, "k", "left_anti").withColumn("first", F.lit(0))
+    leaders = buckets_of(with_signatures(stored_keys)).withColumn("first", F.lit(0))
+    quick = cut_lineage(near_leaders(rows, leaders, threshold, earlier=False))
+    rest = rows.select("k").distinct().join(quick, "k", "left_anti")
+    pairs = cut_lineage(similar_keys(cut_lineage(two_sides(rest, stored_keys)), threshold))
     slow = pairs.select(F.explode(F.array("k_a", "k_b")).alias("k"))
-    # The pairs name stored keys as well; those are in the list anyway.
     return cut_lineage(stored_keys.unionByName(quick).unionByName(slow).distinct())
 
 

@@ -38,11 +38,37 @@ def by_filters(articles: DataFrame, category: str | None = None, language: str |
     return reduce(lambda df, kv: df.filter(F.col(kv[0]) == kv[1]) if kv[1] else df, wanted.items(), articles)
 
 
+_NARROW = ["id", "created_at"]
+
+
+def fetch(articles: DataFrame, page: DataFrame, extra: list[str] | None = None, small: bool = False) -> DataFrame:
+    """The whole rows of the articles on a page (id, created_at, extra columns).
+
+    Ranking reads only narrow columns. The contents are then read only from the oldest article of the page on, which
+    skips the other row groups and day folders, instead of carrying every content through the ranking. The page is
+    kept, so that the ranking runs once. ``small`` says that its size is bounded by a constant.
+    """
+    extra = extra or []
+    kept = cut_lineage(page.select(*_NARROW, *extra))
+    oldest = kept.agg(F.min("created_at")).scalar()
+    rows = articles.filter(F.col("created_at") >= oldest)
+    if "created_date" in articles.columns:
+        rows = rows.filter(F.col("created_date") >= F.to_date(oldest))
+    keys = kept.select("id", *extra)
+    return article_projection(rows).join(F.broadcast(keys) if small else keys, "id").select(*ARTICLE_COLS, *extra)
+
+
+def _fetch_page(articles: DataFrame, page: DataFrame) -> DataFrame:
+    """``fetch`` for a page of at most ``MAX_LIMIT`` rows, newest first."""
+    return fetch(articles, page, small=True).orderBy(*newest())
+
+
 def latest_articles(
     articles: DataFrame, limit: int = DEFAULT_LIMIT, category: str | None = None, language: str | None = None
 ) -> DataFrame:
     check_page(limit)
-    return by_filters(article_projection(articles), category, language).orderBy(*newest()).limit(limit)
+    page = by_filters(articles, category, language).select(*_NARROW).orderBy(*newest()).limit(limit)
+    return _fetch_page(articles, page)
 
 
 def articles_by_category(
@@ -50,8 +76,8 @@ def articles_by_category(
 ) -> DataFrame:
     """One page of a category. The category is mandatory, so an empty one matches no article."""
     check_page(limit, offset)
-    rows = by_filters(article_projection(articles).filter(F.col("category") == category), language=language)
-    return rows.orderBy(*newest()).offset(offset).limit(limit)
+    rows = by_filters(articles.filter(F.col("category") == category), language=language).select(*_NARROW)
+    return _fetch_page(articles, rows.orderBy(*newest()).offset(offset).limit(limit))
 
 
 def search_articles(
@@ -75,8 +101,8 @@ def search_articles(
 def recent_window(articles: DataFrame, as_of: Column, minutes_back: int) -> DataFrame:
     """The newest article created in the last minutes, both ends included; no row or one."""
     start = as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes_back))
-    rows = article_projection(articles).filter((F.col("created_at") >= start) & (F.col("created_at") <= as_of))
-    return rows.orderBy(*newest()).limit(1)
+    rows = articles.filter((F.col("created_at") >= start) & (F.col("created_at") <= as_of)).select(*_NARROW)
+    return _fetch_page(articles, rows.orderBy(*newest()).limit(1))
 
 
 def unseen_articles(
@@ -90,8 +116,8 @@ def unseen_articles(
     """Newest articles that one user has not seen."""
     check_page(limit)
     mine = seen.filter(F.col("user_auth_id") == auth_id).select(F.col("article_id").alias("id"))
-    rows = by_filters(article_projection(articles), category, language)
-    return rows.join(mine, "id", "left_anti").select(*ARTICLE_COLS).orderBy(*newest()).limit(limit)
+    rows = by_filters(articles, category, language).select(*_NARROW).join(mine, "id", "left_anti")
+    return _fetch_page(articles, rows.orderBy(*newest()).limit(limit))
 
 
 def unseen_all_users(
@@ -109,8 +135,8 @@ def unseen_all_users(
     into blocks of ``width``. Counting a user's seen places per block tells by arithmetic in which block the
     page is full, and only the places of the few blocks up to there that still hold unseen articles are listed.
     """
-    check_page(limit)
-    rows = by_filters(article_projection(articles), category, language).select("id", "created_at")
+    check_page(limit, maximum=min(MAX_LIMIT, width))
+    rows = by_filters(articles, category, language).select(*_NARROW)
     ranked = ordered_index(rows, newest(), name="place")
     total = ranked.agg(F.max("place")).scalar()
 
@@ -171,14 +197,19 @@ def unseen_all_users(
     )
 
 
+def _top_narrow(articles: DataFrame, k: int, language: str | None) -> DataFrame:
+    """(id, created_at, category, position) of the newest ``k`` per category. Hot categories are cut before the shuffle."""
+    w = Window.partitionBy("category").orderBy(*newest())
+    rows = by_filters(articles, language=language).select("id", "created_at", "category")
+    return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
+
+
 def topk_per_category(
     articles: DataFrame, k: int = DEFAULT_PER_CATEGORY, language: str | None = None
 ) -> DataFrame:
     """The newest ``k`` articles of each category with their position."""
     check_page(k, maximum=MAX_PER_CATEGORY)
-    w = Window.partitionBy("category").orderBy(*newest())
-    rows = by_filters(article_projection(articles), language=language)
-    return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
+    return fetch(articles, _top_narrow(articles, k, language), ["position"])
 
 
 def category_counts(articles: DataFrame, language: str | None = None) -> DataFrame:
@@ -203,10 +234,10 @@ def bundled_rows(
 
 def trending_articles(articles: DataFrame, language: str | None = None) -> DataFrame:
     """The newest article of each permanent category that has one, in category order."""
-    rows = by_filters(article_projection(articles), language=language)
-    top = first_per_group(rows, ["category"], newest())
     dim = F.broadcast(categories(articles.sparkSession))
-    return top.join(dim, "category").select("position", *ARTICLE_COLS).orderBy("position")
+    # One row per permanent category at most.
+    top = _top_narrow(articles, 1, language).drop("position").join(dim, "category")
+    return fetch(articles, top, ["position"], small=True).select("position", *ARTICLE_COLS).orderBy("position")
 
 
 def bundled_articles(

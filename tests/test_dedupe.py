@@ -107,8 +107,8 @@ def test_one_large_group_of_near_copies(spark):
     as_of = F.lit(AS_OF).cast("timestamp_ntz")
     assert {r.url for r in dedupe.dedupe_urls(b, a, as_of).collect()} == walk(batch, set(), [])
 
-    keys = dedupe.with_signatures(spark.createDataFrame(
-        [(" ".join(sorted(set(t.split()))), i) for i, t in enumerate(titles[300:])], "k string, first long"))
+    keys = dedupe.buckets_of(dedupe.with_signatures(spark.createDataFrame(
+        [(" ".join(sorted(set(t.split()))), i) for i, t in enumerate(titles[300:])], "k string, first long")))
     assert dedupe.near_leaders(keys, keys, 85, earlier=True).count() > 140
 
 
