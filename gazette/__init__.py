@@ -1 +1,8 @@
 """News analytics on Spark: ingest, near-duplicate removal, enrichment, serving queries and state tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run in tasks travel with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -80,7 +80,7 @@ def _(spark, sf):
     feeds.write_feed(items, path)
     rows = feeds.feed_scan(spark, path)
     return rows.select(
-        F.regexp_extract("file", r"feed=([^/]+)/", 1).alias("feed"), "position", "link",
+        "feed", "position", "link",
         F.coalesce("title", F.lit("")).alias("title"), F.coalesce("published", F.lit("")).alias("published"),
     )
 

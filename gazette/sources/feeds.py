@@ -12,9 +12,10 @@ _OPTIONS = {"rowTag": "item", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "
 
 
 def _rows(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("file", F.col("_metadata.file_path")).withColumn(
-        "feed", F.regexp_extract("file", r"([^/]+?)(?:\.xml|/[^/]*)?$", 1)
-    )
+    """Add the file and the feed: the name of the feed's folder (``feed=...``) or else of the file."""
+    folder = F.nullif(F.regexp_extract("file", r"/feed=([^/]+)/", 1), F.lit(""))
+    name = F.regexp_extract("file", r"([^/]+?)(?:\.xml)?$", 1)
+    return raw.withColumn("file", F.col("_metadata.file_path")).withColumn("feed", F.coalesce(folder, name))
 
 
 def feed_scan(spark: SparkSession, *paths: str) -> DataFrame:

@@ -13,11 +13,14 @@ from gazette.session import cut_lineage
 
 
 def arrival_rate(articles: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Articles per quarter hour and language, over a table or a stream."""
-    rows = articles.withWatermark("created_at", watermark) if watermark else articles
+    """Articles per quarter hour and language, over a table or a stream (UTC session)."""
+    # Watermarks exist for timestamps with a time zone only.
+    at = F.col("created_at").cast("timestamp") if watermark else F.col("created_at")
+    rows = articles.select(at.alias("created_at"), "language")
+    rows = rows.withWatermark("created_at", watermark) if watermark else rows
     window = F.window("created_at", f"{TICK_MINUTES} minutes")
     counts = rows.groupBy(window.alias("w"), "language").agg(F.count(F.lit(1)).alias("arrivals"))
-    return counts.select(F.col("w.start").alias("tick_start"), "language", "arrivals")
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("tick_start"), "language", "arrivals")
 
 
 def append_seen(events: DataFrame, path: str) -> None:
