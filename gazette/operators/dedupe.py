@@ -44,15 +44,20 @@ from gazette.session import cut_lineage
 
 # Elements beyond the most frequent ones count as equally rare; any total order of elements is correct.
 RANKED_ELEMENTS = 10_000
-# Character classes of the signature: frequent Latin letters, groups of rarer ASCII characters, and letters that
-# take the same place in the Bengali and the Odia block. All other characters are the last class.
-_LATIN = [*"eatoinsrhldcumfpgwyb", "kvjxqz", "0123456789", " ", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
-_INDIC_PLACES = [0x3E, 0x3F, 0x40, 0x41, 0x47, 0x4B, 0x4D, 0x15, 0x24, 0x26, 0x28, 0x2A, 0x2C, 0x2E, 0x30]
-CLASSES = [*_LATIN, *[chr(0x0980 + p) + chr(0x0B00 + p) for p in _INDIC_PLACES]]
+# Character classes of the signature: Latin letters by frequency, digits and blanks, each together with a letter that
+# takes the same place in the Bengali and the Odia block. All other characters are the last class.
+_LATIN = [*"eatoinsrhldcumfpg", "wvj", "ykq", "bxz", "0123456789", " ", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
+_INDIC = [0x3E, 0x3F, 0x40, 0x41, 0x47, 0x4B, 0x4D, 0x15, 0x24, 0x26, 0x28, 0x2A, 0x2C, 0x2E, 0x30, 0x32, 0x38]
+CLASSES = [
+    chars + "".join(chr(block + place) for place in _INDIC[i: i + 1] for block in (0x0980, 0x0B00))
+    for i, chars in enumerate(_LATIN)
+]
 STEPS = 8
 PER_WORD = 64 // STEPS
-WORDS = (len(CLASSES) + 1) // PER_WORD
+WORDS = (len(CLASSES) + PER_WORD) // PER_WORD
 SIGNATURE = [f"sig{w}" for w in range(WORDS)]
+# A batch and a look-back with at most so many titles are matched in one go; beyond that near copies are held back.
+SMALL = 2_000
 # Titles of a bucket that the others are compared with first.
 LEADERS = 2
 # Parity sketch of a title's character pairs.
@@ -299,12 +304,12 @@ def fuzzy_title_join(
     )
 
 
-def _walk(rows: DataFrame, bucketed: DataFrame, threshold: int) -> DataFrame:
+def _walk(rows: DataFrame, match: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame:
     """URLs that the walk over ``rows`` (pos, url, k, blocked, several) makes duplicates.
 
-    ``bucketed`` holds the keys that are not blocked in their buckets. ``blocked`` marks keys similar to a stored title,
-    ``several`` URLs with more than one row. Rows of one URL matter only until the first of them is a duplicate;
-    then the URL is one and the rest is skipped.
+    ``blocked`` marks keys similar to a stored title, ``several`` URLs with more than one row. Rows of one URL matter
+    only until the first of them is a duplicate; then the URL is one and the rest is skipped. ``match`` gives, for the
+    open keys (k, first), whether each was matched with all others (k, full), and the similar keys (k, other) of those.
     """
     # A URL that occurs once: the first such row of a key is accepted or a duplicate, the others are duplicates then.
     # A URL that occurs again: two rows per key tell all, as the second is a duplicate of the first.
@@ -316,37 +321,25 @@ def _walk(rows: DataFrame, bucketed: DataFrame, threshold: int) -> DataFrame:
     status = F.when(F.col("blocked"), F.lit("hit")).otherwise(F.lit("open"))
     state = cut_lineage(kept.select("pos", "url", "k", "several", status.alias("status")))
     copies = rows.filter(~F.col("several")).join(state.select("pos"), "pos", "left_anti").select("url")
-    hits = [copies]
-    while not state.isEmpty():
-        state, found = _pass(state, bucketed, threshold)
+    hits = [copies, state.filter(F.col("status") == "hit").select("url")]
+    while not state.filter(F.col("status") == "open").isEmpty():
+        state, found = _pass(state, match)
         hits.append(found)
     return reduce(DataFrame.unionByName, hits).distinct()
 
 
-def _pass(state: DataFrame, bucketed: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(rows that are still undecided with their URL's other rows, URLs found to be duplicates).
-
-    Titles that no earlier one in their buckets is similar to are matched with all open titles and decided.
-    """
+def _pass(state: DataFrame, match: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(rows that are still undecided with their URL's other rows, URLs found to be duplicates)."""
     first = state.filter(F.col("status") == "open").groupBy("k").agg(F.min("pos").alias("first"))
-    in_buckets = cut_lineage(bucketed.join(first, "k"))
-    held = near_leaders(in_buckets, in_buckets, threshold, earlier=True).withColumn("held", F.lit(True))
-    open_keys = in_buckets.select("k", "len", *SIGNATURE).distinct()
-    flagged = cut_lineage(
-        open_keys.join(held, "k", "left").repartition(_partitions(bucketed), "k")
-        .select("k", F.col("held").isNull().alias("in_left"), F.lit(True).alias("in_right"), "len", *SIGNATURE)
-    )
-    pairs = cut_lineage(similar_keys(flagged, threshold))
-    edges = pairs.select(F.col("k_a").alias("k"), F.col("k_b").alias("other")).unionByName(
-        pairs.select(F.col("k_b").alias("k"), F.col("k_a").alias("other"))
-    )
+    full, edges = match(first)
     # Rows without a similar key, in a URL of their own, are accepted and matter to nobody else.
     linked = edges.select("k").unionByName(state.filter("several").select("k")).distinct()
     busy = (
         state.join(linked.withColumn("_linked", F.lit(True)), "k", "left")
-        .join(flagged.select("k", F.col("in_left").alias("full")), "k", "left")
-        .filter(F.col("_linked") | (F.col("status") != "open") | F.col("several") | ~F.col("full"))
-        .select(*state.columns, F.coalesce("full", F.lit(False)).alias("full"))
+        .join(full, "k", "left")
+        .withColumn("full", F.coalesce("full", F.lit(False)))
+        .filter(F.col("_linked") | F.col("several") | ((F.col("status") == "open") & ~F.col("full")))
+        .select(*state.columns, "full")
     )
     current = cut_lineage(busy)
     around = cut_lineage(edges.unionByName(current.select("k", F.col("k").alias("other")).distinct()))
@@ -356,7 +349,7 @@ def _pass(state: DataFrame, bucketed: DataFrame, threshold: int) -> tuple[DataFr
         before, left = left, current.filter(F.col("status") == "open").count()
     found = current.filter(F.col("status") == "hit").select("url")
     if not left:
-        return current.limit(0), found
+        return current.drop("full").limit(0), found
     # A later pass needs the open rows, and what is known of their URLs.
     waiting = current.filter((F.col("status") == "open") & F.col("several")).select("url").distinct()
     rest = current.filter((F.col("status") == "open") & ~F.col("several")).unionByName(
@@ -365,6 +358,33 @@ def _pass(state: DataFrame, bucketed: DataFrame, threshold: int) -> tuple[DataFr
     return cut_lineage(rest.drop("full")), found
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("k_a").alias("k"), F.col("k_b").alias("other")).unionByName(
+        pairs.select(F.col("k_b").alias("k"), F.col("k_a").alias("other"))
+    )
+
+
+def _match_in_passes(bucketed: DataFrame, threshold: int) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """Match the titles that no earlier one in their buckets is similar to with all open titles."""
+    def match(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+        in_buckets = cut_lineage(bucketed.join(first, "k"))
+        held = near_leaders(in_buckets, in_buckets, threshold, earlier=True).withColumn("held", F.lit(True))
+        open_keys = in_buckets.select("k", "len", *SIGNATURE).distinct()
+        flagged = cut_lineage(
+            open_keys.join(held, "k", "left").repartition(_partitions(bucketed), "k")
+            .select("k", F.col("held").isNull().alias("in_left"), F.lit(True).alias("in_right"), "len", *SIGNATURE)
+        )
+        pairs = cut_lineage(similar_keys(flagged, threshold))
+        return flagged.select("k", F.col("in_left").alias("full")), _both_ways(pairs)
+
+    return match
+
+
+def _match_at_once(edges: DataFrame) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """All similar keys are known already."""
+    return lambda first: (first.select("k", F.lit(True).alias("full")), edges)
+
+
 def _round(state: DataFrame, around: DataFrame) -> DataFrame:
     """Decide every row whose earlier neighbours, by key and by URL, allow it.
 
@@ -397,24 +417,35 @@ def _round(state: DataFrame, around: DataFrame) -> DataFrame:
 
 
 def dedupe_urls(
-    batch: DataFrame, articles: DataFrame, as_of: Column, threshold: int = TITLE_THRESHOLD
+    batch: DataFrame, articles: DataFrame, as_of: Column, threshold: int = TITLE_THRESHOLD, small: int = SMALL
 ) -> DataFrame:
-    """The duplicate URLs of a batch (pos, url, original_title): stored ones, and those the title walk finds."""
+    """The duplicate URLs of a batch (pos, url, original_title): stored ones, and those the title walk finds.
+
+    ``pos`` is the order of the walk and unique. ``small`` is the number of titles up to which near copies are not
+    held back; it has no influence on the result.
+    """
     stored = cut_lineage(known_urls(batch, articles))
     norm = normalize_title(F.col("original_title"))
     rows = batch.select("pos", "url", token_key(norm).alias("k")).filter((F.col("url") != "") & (F.col("k") != ""))
     new = cut_lineage(rows.join(stored, "url", "left_anti"))
     stored_keys = cut_lineage(recent_titles(articles, as_of).select(token_key(F.col("norm")).alias("k")).distinct())
-    bucketed = cut_lineage(buckets_of(with_signatures(new.select("k").distinct())))
-    blocked = _blocked_keys(bucketed, stored_keys, threshold)
+    keys = new.select("k").distinct()
+    if max(new.limit(small + 1).count(), stored_keys.limit(small + 1).count()) <= small:
+        both = cut_lineage(two_sides(keys, keys.unionByName(stored_keys)))
+        edges = _both_ways(cut_lineage(similar_keys(both, threshold)))
+        near = edges.join(stored_keys.withColumnRenamed("k", "other"), "other", "left_semi").select("k")
+        blocked = stored_keys.unionByName(near).distinct()
+        match = _match_at_once(edges)
+    else:
+        bucketed = cut_lineage(buckets_of(with_signatures(keys)))
+        blocked = _blocked_keys(bucketed, stored_keys, threshold)
+        match = _match_in_passes(bucketed, threshold)
     several = new.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(
         "url", F.lit(True).alias("several")
     )
     marked = skew_join(new, blocked.withColumn("blocked", F.lit(True)), "k", "left", spread=F.col("pos"))
     marked = cut_lineage(skew_join(marked, several, "url", "left", spread=F.col("pos")).fillna(False))
-    free = marked.filter(~F.col("blocked")).select("k").distinct()
-    found = _walk(marked, bucketed.join(free, "k", "left_semi"), threshold)
-    return stored.select("url").unionByName(found).distinct()
+    return stored.select("url").unionByName(_walk(marked, match)).distinct()
 
 
 def _blocked_keys(bucketed: DataFrame, stored_keys: DataFrame, threshold: int) -> DataFrame:
@@ -429,8 +460,8 @@ def _blocked_keys(bucketed: DataFrame, stored_keys: DataFrame, threshold: int) -
 
 
 def dedupe_articles(
-    batch: DataFrame, articles: DataFrame, as_of: Column, threshold: int = TITLE_THRESHOLD
+    batch: DataFrame, articles: DataFrame, as_of: Column, threshold: int = TITLE_THRESHOLD, small: int = SMALL
 ) -> DataFrame:
     """The batch rows that survive. The earliest row per URL is kept first, so a repeated URL does not drop itself."""
     single = first_per_url(batch.filter(F.col("url") != ""))
-    return batch_minus_duplicates(single, dedupe_urls(single, articles, as_of, threshold))
+    return batch_minus_duplicates(single, dedupe_urls(single, articles, as_of, threshold, small))
