@@ -40,7 +40,7 @@ from gazette.functions.text import normalize_title
 from gazette.operators.ingest import batch_minus_duplicates, first_per_url, known_urls
 from gazette.operators.ranking import first_per_group
 from gazette.operators.skew import skew_join
-from gazette.session import cut_lineage
+from gazette.session import cut_lineage, small_side
 
 # Elements beyond the most frequent ones count as equally rare; any total order of elements is correct.
 RANKED_ELEMENTS = 10_000
@@ -274,7 +274,10 @@ def near_leaders(rows: DataFrame, leaders: DataFrame, threshold: int, earlier: b
 def recent_titles(articles: DataFrame, as_of: Column, hours: int = TITLE_LOOKBACK_HOURS) -> DataFrame:
     """Normalised titles (``norm``) of stored articles created in the look-back, whatever their language."""
     start = as_of - F.make_dt_interval(F.lit(0), F.lit(hours))
-    titles = articles.filter(F.col("created_at") >= start).select(normalize_title(F.col("title")).alias("norm"))
+    recent = articles.filter(F.col("created_at") >= start)
+    if "created_date" in articles.columns:
+        recent = recent.filter(F.col("created_date") >= F.to_date(start))
+    titles = recent.select(normalize_title(F.col("title")).alias("norm"))
     return titles.filter(F.col("norm") != "").distinct()
 
 
@@ -427,7 +430,7 @@ def dedupe_urls(
     stored = cut_lineage(known_urls(batch, articles))
     norm = normalize_title(F.col("original_title"))
     rows = batch.select("pos", "url", token_key(norm).alias("k")).filter((F.col("url") != "") & (F.col("k") != ""))
-    new = cut_lineage(rows.join(stored, "url", "left_anti"))
+    new = cut_lineage(rows.join(small_side(stored), "url", "left_anti"))
     stored_keys = cut_lineage(recent_titles(articles, as_of).select(token_key(F.col("norm")).alias("k")).distinct())
     keys = new.select("k").distinct()
     if max(new.limit(small + 1).count(), stored_keys.limit(small + 1).count()) <= small:

@@ -12,7 +12,7 @@ from gazette.functions.text import contains_pattern
 from gazette.operators.ranking import first_per_group, ordered_index
 from gazette.operators.skew import skew_join
 from gazette.schemas import ARTICLE_COLS
-from gazette.session import cut_lineage
+from gazette.session import cut_lineage, small_side
 from gazette.sources.dimensions import categories
 
 
@@ -41,12 +41,12 @@ def by_filters(articles: DataFrame, category: str | None = None, language: str |
 _NARROW = ["id", "created_at"]
 
 
-def fetch(articles: DataFrame, page: DataFrame, extra: list[str] | None = None, small: bool = False) -> DataFrame:
+def fetch(articles: DataFrame, page: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """The whole rows of the articles on a page (id, created_at, extra columns).
 
     Ranking reads only narrow columns. The contents are then read only from the oldest article of the page on, which
     skips the other row groups and day folders, instead of carrying every content through the ranking. The page is
-    kept, so that the ranking runs once. ``small`` says that its size is bounded by a constant.
+    kept, so that the ranking runs once.
     """
     extra = extra or []
     kept = cut_lineage(page.select(*_NARROW, *extra))
@@ -54,13 +54,16 @@ def fetch(articles: DataFrame, page: DataFrame, extra: list[str] | None = None,
     rows = articles.filter(F.col("created_at") >= oldest)
     if "created_date" in articles.columns:
         rows = rows.filter(F.col("created_date") >= F.to_date(oldest))
-    keys = kept.select("id", *extra)
-    return article_projection(rows).join(F.broadcast(keys) if small else keys, "id").select(*ARTICLE_COLS, *extra)
+    keys = small_side(kept).select("id", *extra)
+    columns = [c for c in ARTICLE_COLS if c not in extra]
+    return article_projection(rows).select(*columns).join(keys, "id").select(*ARTICLE_COLS, *[
+        c for c in extra if c not in ARTICLE_COLS
+    ])
 
 
 def _fetch_page(articles: DataFrame, page: DataFrame) -> DataFrame:
-    """``fetch`` for a page of at most ``MAX_LIMIT`` rows, newest first."""
-    return fetch(articles, page, small=True).orderBy(*newest())
+    """``fetch`` for a page, newest first."""
+    return fetch(articles, page).orderBy(*newest())
 
 
 def latest_articles(
@@ -137,7 +140,7 @@ def unseen_all_users(
     """
     check_page(limit, maximum=min(MAX_LIMIT, width))
     rows = by_filters(articles, category, language).select(*_NARROW)
-    ranked = ordered_index(rows, newest(), name="place")
+    ranked = cut_lineage(ordered_index(rows, newest(), name="place"))
     total = ranked.agg(F.max("place")).scalar()
 
     # One user may have read a third of everything and one article may be read by a third of the users.
@@ -237,7 +240,7 @@ def trending_articles(articles: DataFrame, language: str | None = None) -> DataF
     dim = F.broadcast(categories(articles.sparkSession))
     # One row per permanent category at most.
     top = _top_narrow(articles, 1, language).drop("position").join(dim, "category")
-    return fetch(articles, top, ["position"], small=True).select("position", *ARTICLE_COLS).orderBy("position")
+    return fetch(articles, top, ["position"]).select("position", *ARTICLE_COLS).orderBy("position")
 
 
 def bundled_articles(
@@ -277,12 +280,12 @@ def write_bundles(
     """
     check_page(limit_per_category, maximum=MAX_PER_CATEGORY)
     dim = F.broadcast(categories(articles.sparkSession))
-    rows = article_projection(articles)
+    rows = articles.select("id", "created_at", "language", "category")
     per_language = first_per_group(rows, ["language", "category"], newest(), limit_per_category)
     overall = first_per_group(per_language, ["category"], newest(), limit_per_category)
-    top = per_language.withColumn("scope", F.col("language")).unionByName(overall.withColumn("scope", F.lit("all")))
-    rank = Window.partitionBy("scope", "category").orderBy(*newest())
-    top = top.withColumn("rn", F.row_number().over(rank))
+    ranked = per_language.withColumn("scope", F.col("language")).unionByName(overall.withColumn("scope", F.lit("all")))
+    place = F.row_number().over(Window.partitionBy("scope", "category").orderBy(*newest()))
+    top = fetch(articles, ranked.withColumn("rn", place), ["scope", "rn"])
     counts = rows.groupBy("language", "category").agg(F.count(F.lit(1)).alias("n"))
     totals = (
         counts.withColumn("scope", F.explode(F.array("language", F.lit("all"))))

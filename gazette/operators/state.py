@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gazette.constants import RETENTION_DAYS
 from gazette.functions.text import empty_to_null
 from gazette.operators.skew import skew_join
+from gazette.session import cut_lineage, small_side
 
 
 def notification_tokens(users: DataFrame) -> DataFrame:
@@ -51,11 +52,21 @@ def clear_tokens(users: DataFrame, invalid_tokens: DataFrame) -> DataFrame:
     )
 
 
+def new_pairs(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    """The (user_auth_id, article_id) rows, unique in ``pairs``, that the seen table does not hold.
+
+    The table is read through once against the pairs, which are the smaller side, and is not shuffled for them when
+    they are few.
+    """
+    keys = ["user_auth_id", "article_id"]
+    known = seen.select(*keys).join(small_side(pairs.select(*keys)), keys, "left_semi").distinct()
+    return pairs.join(known, keys, "left_anti")
+
+
 def mark_seen(seen: DataFrame, page: DataFrame, as_of: Column) -> DataFrame:
     """Rows to append for articles shown to users (auth_id, id); pairs that are there already are left out."""
     shown = page.select(F.col("auth_id").alias("user_auth_id"), F.col("id").alias("article_id")).distinct()
-    new = shown.join(seen, ["user_auth_id", "article_id"], "left_anti")
-    return new.withColumn("seen_at", as_of)
+    return new_pairs(cut_lineage(shown), seen).withColumn("seen_at", as_of)
 
 
 def expired_articles(articles: DataFrame, as_of: Column, days: int | None = None) -> DataFrame:

@@ -22,6 +22,7 @@ from gazette.session import cut_lineage
 
 STORED = T.StructType([
     *schemas.ARTICLES.fields,
+    T.StructField("created_date", T.DateType()),
     T.StructField("run_id", T.LongType()),
     T.StructField("out_pos", T.StructType([
         T.StructField("batch_no", T.LongType()),
@@ -78,9 +79,8 @@ def run_once(run: Run, scraped: DataFrame, run_id: int) -> None:
         return
     as_of = F.lit(run.clock()).cast("timestamp_ntz")
     new = process_articles(rows, stored_articles(spark, run.articles), as_of, run.ask)
-    new.withColumn("run_id", F.lit(run_id).cast("long")).select(*STORED.fieldNames()).write.mode("append").parquet(
-        run.articles
-    )
+    stamped = new.withColumn("run_id", F.lit(run_id).cast("long")).withColumn("created_date", F.to_date("created_at"))
+    stamped.select(*STORED.fieldNames()).write.mode("append").partitionBy("created_date").parquet(run.articles)
     saved = stored_articles(spark, run.articles).filter(F.col("run_id") == run_id)
     runs = rows.select(F.lit(run_id).cast("long").alias("run_id"), "language").distinct()
     box = notification_outbox(runs, last_saved(saved, ["run_id", "language"], "out_pos"), ["run_id", "language"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gazette.constants import TICK_MINUTES
+from gazette.operators.state import new_pairs
 from gazette.schemas import SEEN
 from gazette.session import cut_lineage
 
@@ -32,9 +33,8 @@ def append_seen(events: DataFrame, path: str) -> None:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         seen = spark.createDataFrame([], SEEN)
-    first = events.groupBy("user_auth_id", "article_id").agg(F.min("seen_at").alias("seen_at"))
-    new = cut_lineage(first.join(seen, ["user_auth_id", "article_id"], "left_anti"))
-    new.write.mode("append").parquet(path)
+    first = cut_lineage(events.groupBy("user_auth_id", "article_id").agg(F.min("seen_at").alias("seen_at")))
+    cut_lineage(new_pairs(first, seen)).write.mode("append").parquet(path)
 
 
 def seen_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
