@@ -57,7 +57,7 @@ PER_WORD = 64 // STEPS
 WORDS = (len(CLASSES) + PER_WORD) // PER_WORD
 SIGNATURE = [f"sig{w}" for w in range(WORDS)]
 # A batch and a look-back with at most so many titles are matched in one go; beyond that near copies are held back.
-SMALL = 2_000
+SMALL = 10_000
 # Titles of a bucket that the others are compared with first.
 LEADERS = 2
 # Parity sketch of a title's character pairs.

@@ -123,8 +123,7 @@ select page_id, url, {v.PAGE_TITLE_SQL} as title,
 from pages where greatest(length({ARTICLE_TEXT_SQL}), length({_body_sql()})) >= 100
 """)
 def _(spark, sf):
-    pages = v.load(spark, sf, "pages").withColumn("content", fh.article_content(F.col("html")))
-    return pages.filter(F.col("content").isNotNull()).select(
+    return ingest.html_article(v.load(spark, sf, "pages")).select(
         "page_id", "url", fh.page_title(F.col("html")).alias("title"), "content",
         fh.resolve_image(F.col("html"), F.col("url")).alias("image_url"),
     )
@@ -180,7 +179,7 @@ def _(spark, sf):
 
 
 def _valid_items(items: DataFrame) -> DataFrame:
-    return ingest.feed_row_validity(items.withColumn("content", fh.article_content(F.col("html"))), url="link")
+    return ingest.feed_row_validity(ingest.html_article(items), url="link")
 
 
 @register("filter_by_date", """
@@ -979,7 +978,7 @@ def _feed_batch(pages: DataFrame) -> DataFrame:
     html, url = F.col("html"), F.col("url")
     domain = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+[.]([^./?#]+)", 1)
     language = F.when(domain == "net", "odia").when(domain == "org", "bengali").otherwise("english")
-    return pages.withColumn("content", fh.article_content(html)).filter(F.col("content").isNotNull()).select(
+    return ingest.html_article(pages).select(
         F.col("page_id").alias("pos"),
         "url",
         F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]+)", 1).alias("source_name"),

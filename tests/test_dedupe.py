@@ -75,7 +75,7 @@ def test_similar_keys_finds_every_pair(spark, seed):
     assert got == want
 
 
-@pytest.mark.parametrize("seed, small", [(11, 0), (12, 0), (13, 2000)])
+@pytest.mark.parametrize("seed, small", [(11, 0), (12, 0), (13, dedupe.SMALL)])
 def test_duplicate_urls_equal_the_walk(spark, seed, small):
     rng = random.Random(seed)
     titles = random_titles(rng, 260)
