@@ -44,7 +44,3 @@ def usable_pattern(pattern: str) -> str:
 def with_usable_patterns(spark: SparkSession, source_rows: list[tuple]) -> DataFrame:
     """``sources`` whose invalid patterns were replaced, for ``feed_url_filter``."""
     return sources(spark, [(*r[:5], [usable_pattern(p) for p in r[5]]) for r in source_rows])
-
-
-def host_of(url: str) -> F.Column:
-    return F.regexp_extract(F.col(url), r"^[a-zA-Z]+://([^/?#]+)", 1)
