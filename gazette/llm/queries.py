@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import decontaminate, lang_id, pieces, pii, secrets, simhash, tokens, toxicity
+from gazette.llm import decontaminate, lang_id, lm_score, neighbours, pieces, pii, secrets, simhash, tokens, toxicity
 from gazette.llm.common import held_out, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def _(spark, sf):
     return pieces.encode(documents, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+@register("op3_nearest_neighbours")
+def _(spark, sf):
+    return neighbours.nearest(load(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @register("op4_language_id")
 def _(spark, sf):
     documents = load(spark, sf, "documents")
@@ -51,6 +56,11 @@ def _(spark, sf):
     return secrets.scan_secrets(load(spark, sf, "documents"))
 
 
+@register("op6_lm_scores")
+def _(spark, sf):
+    return lm_score.score_documents(load(spark, sf, "documents"))
+
+
 @register("op7_simhash_near_duplicates")
 def _(spark, sf):
     return simhash.near_duplicates(load(spark, sf, "documents"), shingle=3, seed=42, distance=2)
