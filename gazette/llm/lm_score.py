@@ -93,7 +93,8 @@ def entries(chunk: int, ids: list[int | None], docs: list[np.ndarray], order: in
     ends = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
     used = np.flatnonzero(np.diff(ends))
     numbers = np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)
-    about = np.concatenate(([len(ids), len(vocabulary)], numbers, [i is not None for i in ids], [len(d) for d in docs])).astype(np.uint64)
+    sizes = [len(d) for d in docs]
+    about = np.concatenate([np.array(x, np.uint64) for x in ([len(ids), len(vocabulary)], numbers, [i is not None for i in ids], sizes)])
     rows = [(-1 - chunk, chunk, packed(about), sorted_packed(vocabulary), packed(codes), None)]
     rows += [(int(p), chunk, None, None, sorted_packed(keys[ends[p]:ends[p + 1]]), packed(counts[ends[p]:ends[p + 1]])) for p in used]
     kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
@@ -166,7 +167,7 @@ def scored(table: pa.Table, order: int, backoff: float, leave_one_out: bool) ->
         steps[here[~found]] += 1
     return pa.table({
         "doc_id": pa.array(numbers, pa.int64(), mask=~given), "n_words": pa.array(sizes),
-        "n_backoff": pa.array(np.bincount(owner, steps > 0, n).astype(np.int64)), "log_score": pa.array(np.bincount(owner, score, n)),
+        "n_backoff": pa.array(np.bincount(owner, steps > 0, n).astype(np.int64)), "log_score": pa.array(np.bincount(owner, score, n).astype(float)),
     })
 
 

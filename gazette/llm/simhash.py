@@ -291,14 +291,15 @@ def first_of_each(documents: DataFrame, shingle: int = 3, seed: int = 42, distan
     again = known.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
     later = known.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
     out = stored(again.union(later).distinct(), "left-out")
-    single = documents.filter(F.col("doc_id").isNotNull()).join(out, F.col("doc_id") == F.col("_id"), "left_anti")
-
     again = stored(again, "again")
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", "text")
-    rows = rows.join(again, F.col("doc_id") == F.col("_id"), "left").filter("doc_id is null or _id is not null")
-    rows = rows.select("row", F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    rows = rows.withColumn("_fp", _print_column("_text", shingle, seed))
+    # rows as one column, so that no name of theirs meets another
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    own = F.col("_row.doc_id")
+    single = rows.filter(own.isNotNull()).join(out, own == F.col("_id"), "left_anti")
+
+    rest = rows.join(again, own == F.col("_id"), "left").filter(own.isNull() | F.col("_id").isNotNull())
+    rest = rest.select("_row", F.col("_row.text").alias("_text")).withColumn("_fp", _print_column("_text", shingle, seed))
     firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "root").distinct()
-    rows = rows.join(firsts, (F.col("_fp") == F.col("fp")) & F.col("_doc").eqNullSafe(F.col("doc_id")))
-    picked = rows.groupBy("root").agg(F.min_by("row", F.struct(F.xxhash64("_text"), "_text")).alias("row"))
-    return single.unionByName(picked.select("row.*"))
+    rest = rest.join(firsts, (F.col("_fp") == F.col("fp")) & own.eqNullSafe(F.col("doc_id")))
+    picked = rest.groupBy("root").agg(F.min_by("_row", F.struct(F.xxhash64("_text"), "_text")).alias("_row"))
+    return single.select("_row.*").unionByName(picked.select("_row.*"))
