@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from gazette.llm.common import once
 
-FEATURES = 1 << 13
+FEATURES = 1 << 12
 CENTROIDS = 6
 #: Labelled rows per language that the classifier is fitted on at most, on average; drawn by a hash of doc_id.
-SAMPLE = 1_500
+SAMPLE = 600
 #: Share of the smallest training cosine of a language below which a text is rejected.
 REJECT = 0.25
 #: Code points of a text that are counted at once.
@@ -55,7 +55,7 @@ def features(text: str, letters: np.ndarray, size: int = FEATURES) -> tuple[np.n
 
 
 def normalised(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    weights = np.log1p(counts) * idf
+    weights = np.log1p(counts, dtype=np.float32) * idf
     norm = np.linalg.norm(weights, axis=-1, keepdims=True)
     return (weights / np.where(norm > 0, norm, 1)).astype(np.float32)
 
@@ -109,7 +109,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, s
     counts = np.zeros((len(langs), size), np.float32)
     for i, (at, n) in enumerate(zip(rows.column("at"), rows.column("n"), strict=True)):
         counts[i, at.values.to_numpy()] = n.values.to_numpy()
-    idf = np.log((1 + len(langs)) / (1 + (counts > 0).sum(axis=0))) + 1 if langs else np.ones(size)
+    idf = (np.log((1 + len(langs)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32) if langs else np.ones(size, np.float32)
     unit = normalised(counts, idf)
     names = sorted(set(langs))
     owner, centres, least = [], [], []
@@ -118,7 +118,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, s
         found = clusters(own, centroids)
         centres.append(found), owner.extend([i] * len(found)), least.append(float((own @ found.T).max(axis=1).min()))
     return {
-        "names": names, "owner": np.array(owner, int), "least": least, "idf": idf.astype(np.float32), "size": size,
+        "names": names, "owner": np.array(owner, int), "least": least, "idf": idf, "size": size,
         "centres": np.concatenate(centres) if centres else np.zeros((0, size), np.float32),
     }
 

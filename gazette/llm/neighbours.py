@@ -119,10 +119,10 @@ def fit(vectors: np.ndarray, top: float, total: int, k: int) -> dict:
     leaves = int(np.clip(round(total / LIST), 1, min(CENTROIDS, max(len(points) // 4, 1))))
     centres = np.stack([points[leaf].mean(axis=0) for leaf in halves(points, leaves, rng)])
     graph = make_graph(centres)
-    own = search(points, centres, graph, 4 * COPIES)
-    row, lists = chosen(own, SPREAD, COPIES)
     on = np.zeros((len(points), len(centres)), bool)
-    on[row, lists] = True
+    for at in range(0, len(points), 512):
+        row, lists = chosen(search(points[at:at + 512], centres, graph, 4 * COPIES), SPREAD, COPIES)
+        on[at + row, lists] = True
     picks = rng.permutation(len(points))[:TRIALS]
     asks = np.column_stack([vectors[picks], np.zeros(len(picks))])
     score = vectors[picks] @ vectors.T
@@ -133,7 +133,7 @@ def fit(vectors: np.ndarray, top: float, total: int, k: int) -> dict:
     truth = np.argpartition(-score, k - 1, axis=1)[:, :k]
     far = distances(asks, centres)
     # the ratio that reaches a true neighbour: the nearest list that holds it
-    reach = np.where(on[truth], far[:, None, :], np.inf).min(axis=2) / far.min(axis=1)[:, None]
+    reach = np.stack([np.where(on[t], f, np.inf).min(axis=1) / f.min() for t, f in zip(truth, far, strict=True)])
     ratio = float(np.quantile(reach, RECALL))
     width = int((far <= ratio * far.min(axis=1, keepdims=True)).sum(axis=1).max())
     return {"centres": centres, "graph": graph, "ratio": ratio, "width": width + width // 4 + 1, "top": top}
