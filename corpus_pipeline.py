@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm import decontaminate, lang_id, pieces, pii, simhash
-from gazette.llm.common import held_out, load, stored
+from gazette.llm.common import held_out, load, small_batches, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents without letters or far from every learned language."""
+    small_batches(spark)
     return lang_id.keep_identified(docs, learn_from=~held_out(F.col("doc_id"), 5, 0))
 
 

@@ -16,7 +16,18 @@ from gazette.session import scratch_path
 KEY = ["doc_id", "_digest", "_chars"]
 
 
+#: Rows that go to a Python worker at once. Whole texts are long; Spark's default of 10,000 is for narrow rows.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send rows to Python workers in batches that whole texts allow; a smaller setting stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from gazette.llm.common import file_bytes, list_array, worker_state
 
 SPACE = "▁"
-#: Distinct words whose pieces a Python worker remembers.
-CACHE = 400_000
+#: Distinct words whose pieces, and pairs of pieces whose standing, a Python worker remembers.
+CACHE = 200_000
 
 
 def model_type(proto: bytes) -> str:
@@ -134,7 +134,7 @@ class Model:
         key = left << 32 | right
         known = self.stands.get(key)
         if known is None:
-            if len(self.stands) > 2 * CACHE:
+            if len(self.stands) > CACHE:
                 self.stands.clear()
             if left in self.plain or right in self.plain:
                 known = self.merged(self.names[left] + self.names[right]) == [left, right]
