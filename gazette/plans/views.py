@@ -19,7 +19,9 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def _base_plus(minutes: Column, hours: Column | None = None) -> Column:
     hours = F.lit(0) if hours is None else hours.cast("int")
-    return F.lit(BASE).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hours, minutes.cast("int"))
+    day = 24 * 60  # days and minutes of the day, as minutes alone do not fit an int at 165 million documents
+    days, rest = F.floor(minutes / day).cast("int"), F.pmod(minutes, F.lit(day)).cast("int")
+    return F.lit(BASE).cast("timestamp_ntz") + F.make_dt_interval(days, hours, rest)
 
 
 # --- articles -------------------------------------------------------------------------------------------------
