@@ -40,7 +40,7 @@ from gazette.functions.text import normalize_title
 from gazette.operators.ingest import batch_minus_duplicates, first_per_url, known_urls
 from gazette.operators.ranking import first_per_group
 from gazette.operators.skew import skew_join
-from gazette.session import cut_lineage, small_side
+from gazette.session import cut_lineage, written
 
 # Elements beyond the most frequent ones count as equally rare; any total order of elements is correct.
 RANKED_ELEMENTS = 10_000
@@ -56,8 +56,6 @@ STEPS = 8
 PER_WORD = 64 // STEPS
 WORDS = (len(CLASSES) + PER_WORD) // PER_WORD
 SIGNATURE = [f"sig{w}" for w in range(WORDS)]
-# A batch and a look-back with at most so many titles are matched in one go; beyond that near copies are held back.
-SMALL = 10_000
 # Titles of a bucket that the others are compared with first.
 LEADERS = 2
 # Parity sketch of a title's character pairs.
@@ -383,11 +381,6 @@ def _match_in_passes(bucketed: DataFrame, threshold: int) -> Callable[[DataFrame
     return match
 
 
-def _match_at_once(edges: DataFrame) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
-    """All similar keys are known already."""
-    return lambda first: (first.select("k", F.lit(True).alias("full")), edges)
-
-
 def _round(state: DataFrame, around: DataFrame) -> DataFrame:
     """Decide every row whose earlier neighbours, by key and by URL, allow it.
 
@@ -419,30 +412,20 @@ def _round(state: DataFrame, around: DataFrame) -> DataFrame:
     return known.select("pos", "url", "k", "several", status.alias("status"), "full")
 
 
-def dedupe_urls(
-    batch: DataFrame, articles: DataFrame, as_of: Column, threshold: int = TITLE_THRESHOLD, small: int = SMALL
-) -> DataFrame:
+def dedupe_urls(batch: DataFrame, articles: DataFrame, as_of: Column, threshold: int = TITLE_THRESHOLD) -> DataFrame:
     """The duplicate URLs of a batch (pos, url, original_title): stored ones, and those the title walk finds.
 
-    ``pos`` is the order of the walk and unique. ``small`` is the number of titles up to which near copies are not
-    held back; it has no influence on the result.
+    ``pos`` is the order of the walk and unique.
     """
-    stored = cut_lineage(known_urls(batch, articles))
+    stored = written(known_urls(batch, articles), "known-urls")
     norm = normalize_title(F.col("original_title"))
     rows = batch.select("pos", "url", token_key(norm).alias("k")).filter((F.col("url") != "") & (F.col("k") != ""))
-    new = cut_lineage(rows.join(small_side(stored), "url", "left_anti"))
+    new = cut_lineage(rows.join(stored, "url", "left_anti"))
     stored_keys = cut_lineage(recent_titles(articles, as_of).select(token_key(F.col("norm")).alias("k")).distinct())
     keys = new.select("k").distinct()
-    if max(new.limit(small + 1).count(), stored_keys.limit(small + 1).count()) <= small:
-        both = cut_lineage(two_sides(keys, keys.unionByName(stored_keys)))
-        edges = _both_ways(cut_lineage(similar_keys(both, threshold)))
-        near = edges.join(stored_keys.withColumnRenamed("k", "other"), "other", "left_semi").select("k")
-        blocked = stored_keys.unionByName(near).distinct()
-        match = _match_at_once(edges)
-    else:
-        bucketed = cut_lineage(buckets_of(with_signatures(keys)))
-        blocked = _blocked_keys(bucketed, stored_keys, threshold)
-        match = _match_in_passes(bucketed, threshold)
+    bucketed = cut_lineage(buckets_of(with_signatures(keys)))
+    blocked = _blocked_keys(bucketed, stored_keys, threshold)
+    match = _match_in_passes(bucketed, threshold)
     several = new.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(
         "url", F.lit(True).alias("several")
     )
@@ -463,8 +446,8 @@ def _blocked_keys(bucketed: DataFrame, stored_keys: DataFrame, threshold: int) -
 
 
 def dedupe_articles(
-    batch: DataFrame, articles: DataFrame, as_of: Column, threshold: int = TITLE_THRESHOLD, small: int = SMALL
+    batch: DataFrame, articles: DataFrame, as_of: Column, threshold: int = TITLE_THRESHOLD
 ) -> DataFrame:
     """The batch rows that survive. The earliest row per URL is kept first, so a repeated URL does not drop itself."""
     single = first_per_url(batch.filter(F.col("url") != ""))
-    return batch_minus_duplicates(single, dedupe_urls(single, articles, as_of, threshold, small))
+    return batch_minus_duplicates(single, dedupe_urls(single, articles, as_of, threshold))

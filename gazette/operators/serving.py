@@ -12,7 +12,7 @@ from gazette.functions.text import contains_pattern
 from gazette.operators.ranking import first_per_group, ordered_index
 from gazette.operators.skew import skew_join
 from gazette.schemas import ARTICLE_COLS
-from gazette.session import cut_lineage, small_side
+from gazette.session import cut_lineage, written
 from gazette.sources.dimensions import categories
 
 
@@ -49,12 +49,12 @@ def fetch(articles: DataFrame, page: DataFrame, extra: list[str] | None = None)
     kept, so that the ranking runs once.
     """
     extra = extra or []
-    kept = cut_lineage(page.select(*_NARROW, *extra))
+    kept = written(page.select(*_NARROW, *extra), "page")
     oldest = kept.agg(F.min("created_at")).scalar()
     rows = articles.filter(F.col("created_at") >= oldest)
     if "created_date" in articles.columns:
         rows = rows.filter(F.col("created_date") >= F.to_date(oldest))
-    keys = small_side(kept).select("id", *extra)
+    keys = kept.select("id", *extra)
     columns = [c for c in ARTICLE_COLS if c not in extra]
     return article_projection(rows).select(*columns).join(keys, "id").select(*ARTICLE_COLS, *[
         c for c in extra if c not in ARTICLE_COLS

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gazette.constants import RETENTION_DAYS
 from gazette.functions.text import empty_to_null
 from gazette.operators.skew import skew_join
-from gazette.session import cut_lineage, small_side
+from gazette.session import written
 
 
 def notification_tokens(users: DataFrame) -> DataFrame:
@@ -59,14 +59,14 @@ def new_pairs(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     they are few.
     """
     keys = ["user_auth_id", "article_id"]
-    known = seen.select(*keys).join(small_side(pairs.select(*keys)), keys, "left_semi").distinct()
+    known = seen.select(*keys).join(pairs.select(*keys), keys, "left_semi").distinct()
     return pairs.join(known, keys, "left_anti")
 
 
 def mark_seen(seen: DataFrame, page: DataFrame, as_of: Column) -> DataFrame:
     """Rows to append for articles shown to users (auth_id, id); pairs that are there already are left out."""
     shown = page.select(F.col("auth_id").alias("user_auth_id"), F.col("id").alias("article_id")).distinct()
-    return new_pairs(cut_lineage(shown), seen).withColumn("seen_at", as_of)
+    return new_pairs(written(shown, "shown"), seen).withColumn("seen_at", as_of)
 
 
 def expired_articles(articles: DataFrame, as_of: Column, days: int | None = None) -> DataFrame:

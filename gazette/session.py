@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, app: str = "gazette") -> SparkSession:
@@ -51,14 +50,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df``, a result of ``cut_lineage`` with narrow rows, marked for broadcast if it has at most ``rows`` rows.
-
-    Spark knows no size of a materialised result and would shuffle the other side. Beyond the limit it does.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder for a table that a run writes and reads back; removed when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -66,3 +57,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again.
+
+    Like ``cut_lineage``, but Spark knows the bytes of the result and decides by them whether a join broadcasts it.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

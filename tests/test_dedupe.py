@@ -75,8 +75,8 @@ def test_similar_keys_finds_every_pair(spark, seed):
     assert got == want
 
 
-@pytest.mark.parametrize("seed, small", [(11, 0), (12, 0), (13, dedupe.SMALL)])
-def test_duplicate_urls_equal_the_walk(spark, seed, small):
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_duplicate_urls_equal_the_walk(spark, seed):
     rng = random.Random(seed)
     titles = random_titles(rng, 260)
     # Some URLs come several times, one holds many rows, and one title is copied often.
@@ -91,7 +91,7 @@ def test_duplicate_urls_equal_the_walk(spark, seed, small):
     stored += [("u3", "unlike anything else here", AS_OF - timedelta(days=90))]
     recent = [t for _, t, at in stored if at >= AS_OF - timedelta(hours=24) and t]
     b, a = frames(spark, batch, stored)
-    rows = dedupe.dedupe_urls(b, a, F.lit(AS_OF).cast("timestamp_ntz"), small=small).collect()
+    rows = dedupe.dedupe_urls(b, a, F.lit(AS_OF).cast("timestamp_ntz")).collect()
     got = {r.url for r in rows}
     assert len(rows) == len(got)
     assert got == walk(batch, {u for u, _, _ in stored}, recent)
@@ -105,7 +105,7 @@ def test_one_large_group_of_near_copies(spark):
     batch = [(i, f"u{i}", t) for i, t in enumerate(titles)]
     b, a = frames(spark, batch, [])
     as_of = F.lit(AS_OF).cast("timestamp_ntz")
-    assert {r.url for r in dedupe.dedupe_urls(b, a, as_of, small=0).collect()} == walk(batch, set(), [])
+    assert {r.url for r in dedupe.dedupe_urls(b, a, as_of).collect()} == walk(batch, set(), [])
 
     keys = dedupe.buckets_of(dedupe.with_signatures(spark.createDataFrame(
         [(" ".join(sorted(set(t.split()))), i) for i, t in enumerate(titles[300:])], "k string, first long")))
