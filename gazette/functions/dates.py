@@ -1,7 +1,7 @@
 """Publish dates in the forms feeds use, as time-zone free UTC timestamps.
 
 Parsing is a set of regular expressions over the parts of a date and does not depend on the session time zone.
-Numeric offsets are applied; zone names, known or not, count as UTC.
+Numeric offsets are applied; zone names, known or not, count as UTC. Of numbers alone the month comes first, where it can.
 """
 
 from __future__ import annotations
@@ -15,14 +15,25 @@ from gazette.functions.text import strip
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
 
+_OFFSET = r"[+-](?:\d{1,2}:\d{2}|\d{4}|\d{1,2})"
+_ZONE = r"\s*(z|[a-z]{1,5}(?:" + _OFFSET + r")?|" + _OFFSET + r")?(?:\s*\([^)]*\))?"
+_SECONDS = r"(?::(\d{2})(?:[.,](\d{1,9}))?)?"
+# an hour alone needs a T before it or its half of the day behind it
 _TIME = (
-    r"(?:(?:\s*t\s*|\s*,?\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*([ap]m)?"
-    r"\s*(z|[a-z]{1,5}|(?:utc|gmt)?[+-]\d{2}:?\d{2}|[+-]\d{2})?(?:\s*\([^)]*\))?)?$"
+    r"(?:(?:\s*t\s*|\s*,?\s+(?:-\s+|at\s+)?(?=\d{1,2}(?::|\s*[ap]m)))(\d{1,2})(?::(\d{2})" + _SECONDS + r")?\s*([ap]m)?"
+    + _ZONE + r")?$"
 )
 _YEAR_FIRST = r"(?i)^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TIME
-_DAY_FIRST = r"(?i)^(\d{1,2})[\s-](" + _MONTH + r"),?[\s-](\d{4}|\d{2})" + _TIME
-_MONTH_FIRST = r"(?i)^(" + _MONTH + r")\s(\d{1,2}),?\s(\d{4})" + _TIME
-_SLASHED = r"(?i)^(\d{1,2})/(\d{1,2})/(\d{4})" + _TIME
+_COMPACT = (
+    r"(?i)^(\d{4})(\d{2})(\d{2})(?:(?:\s*t\s*|\s+|(?=\d{4}(?:\d{2})?$))(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)?)?()"
+    + _ZONE + r")?$"
+)
+_DAY_FIRST = r"(?i)^(\d{1,2})(?:st|nd|rd|th)?(?:\s+|-)(" + _MONTH + r"),?(?:\s+|-)(\d{4}|\d{2})" + _TIME
+_MONTH_FIRST = r"(?i)^(" + _MONTH + r")\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})" + _TIME
+_YEAR_LAST = (
+    r"(?i)^(" + _MONTH + r")\s+(\d{1,2})\s+(\d{1,2}):(\d{2})" + _SECONDS + r"\s*([ap]m)?" + _ZONE + r"\s+(\d{4})$"
+)
+_NUMBERS = r"(?i)^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + _TIME
 
 
 def _number(text: Column, default: int | None = None) -> Column:
@@ -40,25 +51,27 @@ def _full_year(text: Column) -> Column:
 
 
 def _offset_minutes(zone: Column) -> Column:
-    digits = F.regexp_extract(zone, r"[+-](\d{2}):?(\d{2})?$", 1)
-    minutes = F.regexp_extract(zone, r"[+-](\d{2}):?(\d{2})$", 2)
-    size = _number(digits, 0) * 60 + _number(minutes, 0)
-    return F.when(zone.contains("-"), -size).otherwise(size)
+    """Minutes east of UTC. Behind a zone name the sign turns round: GMT+3 is a place where 3 hours are missing to GMT."""
+    hours, minutes = (F.regexp_extract(zone, r"[+-](\d{1,2})(?::?(\d{2}))?$", part) for part in (1, 2))
+    size = _number(hours, 0) * 60 + _number(minutes, 0)
+    return F.when(zone.contains("-") != zone.rlike("^[A-Za-z]"), -size).otherwise(size)
 
 
 # Each form is rewritten to: form, year, month, day, hour, minute, second, fraction, half of the day, zone.
 _FORMS = [
     (_YEAR_FIRST, "plain|$1|$2|$3|$4|$5|$6|$7|$8|$9"),
+    (_COMPACT, "plain|$1|$2|$3|$4|$5|$6|$7|$8|$9"),
     (_DAY_FIRST, "named|$3|$2|$1|$4|$5|$6|$7|$8|$9"),
     (_MONTH_FIRST, "named|$3|$1|$2|$4|$5|$6|$7|$8|$9"),
-    (_SLASHED, "slashed|$3|$1|$2|$4|$5|$6|$7|$8|$9"),
+    (_YEAR_LAST, "named|$9|$1|$2|$3|$4|$5|$6|$7|$8"),
+    (_NUMBERS, "numbers|$3|$1|$2|$4|$5|$6|$7|$8|$9"),
 ]
 
 
 def _timestamp(part: Column) -> Column:
     """The UTC timestamp of the rewritten parts."""
     form, first, second = part[0], part[2], part[3]
-    day_first = (form == "slashed") & (_number(first) > 12)
+    day_first = (form == "numbers") & (_number(first) > 12)
     month = (
         F.when(form == "named", _month_number(first)).when(day_first, _number(second)).otherwise(_number(first))
     )

@@ -53,6 +53,24 @@ def test_parse_date(spark, value, expected):
     assert one(spark, dates.parse_date, value) == expected
 
 
+@pytest.mark.parametrize("value", [
+    "20240101T101010Z", "20240101T101010+0530", "20240101T101010.5", "20240101101010", "20240101 1010", "20240101", "20240101T10",
+    "Mon Jan  1 10:00:00 2024", "Mon Jan  1 10:00:00 UTC 2024", "Jan 2, 2024 3pm", "Jan 2 2024 - 3 PM",
+    "Monday, January 1, 2024 - 10:00", "January 1st, 2024 at 10:30 am", "1st January 2024", "01-02-2024", "01.02.2024", "13-02-2024",
+    "13.02.2024 10:00", "2024-01-01T10", "2024-01-01 10:00 GMT+3", "2024-01-01 10:00 UTC+0530", "2024-01-01 10:00 GMT-03:30",
+    "2024-01-01 10:00 +3",
+])
+def test_parse_date_like_dateutil(spark, value):
+    from datetime import UTC
+
+    from dateutil import parser
+
+    expected = parser.parse(value)
+    if expected.tzinfo is not None:
+        expected = expected.astimezone(UTC).replace(tzinfo=None)
+    assert one(spark, dates.parse_date, value) == expected
+
+
 def test_first_readable_date_wins(spark):
     frame = spark.createDataFrame([("junk", "2024-01-02"), ("", None)], "a string, b string")
     used = dates.parse_publish_date(F.col("a"), F.col("b"), as_of=F.lit(AS_OF).cast("timestamp_ntz"))
@@ -100,7 +118,8 @@ def test_article_content_cascade(spark):
 
 @pytest.mark.parametrize("value, payload", [
     ('```json\n{"a": 1}\n```', '{"a": 1}'), ('```\n[1]\n```', "[1]"), ('Sure: {"a": {"b": 2}} Thanks', '{"a": {"b": 2}}'),
-    ("{broken [1, 2]", "[1, 2]"), ("  ", ""), ("no json", "no json"), ("```json {\"a\": 1}", '{"a": 1}'), ("```", ""),
+    ("{broken [1, 2]", "[1, 2]"), ("[[{{[{]} {\"a\": \"}\"}] x", '{"a": "}"}'), ('{"a": [1]} {"b": 2}', '{"a": [1]}'), ('{"a": 1}] {}', '{"a": 1}'),
+    ("é[ü [\"ß]\"]", '["ß]"]'), ("  ", ""), ("no json", "no json"), ("```json {\"a\": 1}", '{"a": 1}'), ("```", ""),
 ])
 def test_json_payload(spark, value, payload):
     assert one(spark, answers.extract_json_payload, value) == payload
@@ -115,6 +134,14 @@ def test_parse_answers(spark, value, titles):
     assert (got if got is None else [a.title for a in got]) == titles
 
 
+def test_answer_fields(spark):
+    said = '{"articles": [{"title": 5, "content": {"a": [1]}, "category": ""}, {"title": 0, "content": "0", "category": null}, []]} end'
+    got = one(spark, answers.parse_answers, said)
+    assert [(a.source_url, a.title, a.content, a.category) for a in got] == [
+        (None, "5", '{"a":[1]}', ""), (None, None, "0", None),
+    ]
+
+
 @pytest.mark.parametrize("message, expected", [
     ('{"content": "c", "refusal": "r"}', "c"), ('{"content": " ", "refusal": "r"}', "r"),
     ('{"content": null, "function_call": {"arguments": "f"}}', "f"),
