@@ -30,7 +30,7 @@ ARTICLES_SQL = """
 articles as (
   select doc_id as id, source as source_name,
          concat('https://', source, '.example.com/a/', cast(doc_id as varchar)) as source_url,
-         array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:8], ' ') as title,
+         split_part(text, chr(10), 1) as title,
          case when doc_id % 5 = 0 then null else concat('Author ', cast(doc_id % 11 as varchar)) end as author,
          case when doc_id % 3 = 0 then null
               else concat('https://img.example.com/', cast(doc_id as varchar), '.png') end as image_url,
@@ -54,13 +54,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("lang") == "en", "english").when(F.col("lang") == "fr", "odia")
         .when(F.col("lang") == "de", "bengali").otherwise(F.col("lang"))
     )
-    words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")
     number = doc.cast("string")
     return load(spark, sf_dir, "documents").select(
         doc.alias("id"),
         F.col("source").alias("source_name"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/a/"), number).alias("source_url"),
-        F.array_join(F.slice(words, 1, 8), " ").alias("title"),
+        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"),
         F.when(doc % 5 != 0, F.concat(F.lit("Author "), (doc % 11).cast("string"))).alias("author"),
         F.when(doc % 3 != 0, F.concat(F.lit("https://img.example.com/"), number, F.lit(".png"))).alias("image_url"),
         F.col("text").alias("content"),
