@@ -179,10 +179,15 @@ def lists_of(rows: DataFrame, model, query: bool) -> DataFrame:
     return rows.mapInArrow(run, f"list int, vec_id {rows.schema['vec_id'].dataType.simpleString()}, vector {kind}")
 
 
-def best_of(score: np.ndarray, asks: np.ndarray, holds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (query, candidate) that may be among the k best of a row; rounding cannot cost a place, so ties all stay."""
-    if score.shape[1] > k:
-        least = np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
+def best_of(score: np.ndarray, asks: np.ndarray, holds: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, candidate) that may be among the k best vec_ids of a row; rounding cannot cost a place, so ties all stay.
+
+    ``ids``: the vec_ids of the candidates, in order. A repeated one takes one of the k places, that of its best vector.
+    """
+    starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+    best = score if len(starts) == len(ids) else np.maximum.reduceat(score, starts, axis=1)
+    if best.shape[1] > k:
+        least = np.partition(best, best.shape[1] - k, axis=1)[:, -k][:, None]
         scale = np.linalg.norm(asks, axis=1)[:, None] * np.linalg.norm(holds, axis=1).max()
         return np.nonzero(score >= least - 1e-9 * scale)
     return np.nonzero(score > -np.inf)
@@ -197,7 +202,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, sample: int =
     take no part. Every usable row is on at least one list. Empty tables give no rows.
     """
     spark = embeddings.sparkSession
-    rows = stored(usable(embeddings), "vectors")
+    rows = stored(usable(embeddings).distinct(), "vectors")  # a repeated row must not take part in the sample either
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     total, top = rows.agg(F.count("*"), F.max(norm)).first()
     share = min(1.0, sample / max(total, 1))
@@ -214,7 +219,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, sample: int =
     sizes = holds.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row a centroid at most
     n_lists = max(1, int(np.ceil(holds.count() / SHARD)))
     shard = F.pmod(F.xxhash64("list", "block"), F.lit(n_lists)).cast("int").alias("shard")
-    holds = holds.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("list", "block", shard, "vec_id", "vector")
+    holds = holds.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int")).select("list", "block", shard, "vec_id", "vector")
     asks = asks.join(sizes, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", shard, "vec_id", "vector")
     # many queries of one shard are dealt to cells; each cell has the shard's vectors
     many = asks.groupBy("shard").agg(F.ceil(F.approx_count_distinct("vec_id") / QUERIES).cast("int").alias("cells"))
@@ -230,11 +235,12 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, sample: int =
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for p in np.unique(place[own]):
             q, h = np.flatnonzero(own & (place == p)), np.flatnonzero(~own & (place == p))
+            h = h[np.argsort(ids[h], kind="stable")]
             for at in range(0, len(q) if len(h) else 0, 512):
                 part = q[at:at + 512]
                 score = vectors[part] @ vectors[h].T
                 score[ids[part][:, None] == ids[h]] = -np.inf
-                i, j = best_of(score, vectors[part], vectors[h], k)
+                i, j = best_of(score, vectors[part], vectors[h], ids[h], k)
                 keep = np.isfinite(score[i, j])
                 i, j = part[i[keep]], h[j[keep]]
                 found.append((ids[i], ids[j], (vectors[i] * vectors[j]).sum(axis=1)))

@@ -105,3 +105,12 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     alone = neighbours.nearest(frame.filter("vec_id = 0"), F.col("vec_id") % 20 == 0)
     assert alone.count() == 0
+
+
+def test_a_repeated_neighbour_takes_one_place(spark):
+    rows = [(0, [1.0, 0.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (4, [0.9, 1.0]), (5, [0.8, 1.0]), *[(3, [1.0, 1.0 + i]) for i in range(30)]]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame, F.col("vec_id") == 0, k=2).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 3, 1.0), (0, 2, 4, 0.9)]
+    got = neighbours.nearest(frame.union(frame), F.col("vec_id") == 0, k=20).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [3, 4, 5]
