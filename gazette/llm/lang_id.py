@@ -2,7 +2,7 @@
 
 Letters of a lower-cased text give n-grams of two and three, hashed to a fixed number of features. Vectors are normalised
 TF-IDF; each language has several centroids (spherical k-means); the cosine to the nearest decides. A text that lies
-farther from every centroid than the rejection distance is rejected.
+farther from the nearest centroid than nearly all held-back texts of that language and length is rejected.
 """
 
 from __future__ import annotations
@@ -12,17 +12,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.common import once
+from gazette.llm.common import once, stored
 
 FEATURES = 1 << 12
 CENTROIDS = 6
 #: Labelled rows per language that the classifier is fitted on at most, on average; drawn by a hash of doc_id.
 SAMPLE = 600
-#: Share of the smallest training cosine of a language below which a text is rejected.
-REJECT = 0.25
+#: Share of a language's held-back texts of about the same length that may lie farther than the rejection distance.
+REJECT = 0.002
+#: Length classes (powers of two of letters), and held-back texts that a class must have for a distance of its own.
+CLASSES, ENOUGH = 13, 20
 #: Code points of a text that are counted at once.
 BLOCK = 1 << 20
 UNKNOWN = "und"
@@ -70,7 +73,8 @@ def clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     centres = vectors[chosen]
     for _ in range(rounds):
         own = np.argmax(vectors @ centres.T, axis=1)
-        sums = np.stack([vectors[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        members = (own == np.arange(len(centres))[:, None]).astype(np.float32)
+        sums = np.where(members.any(axis=1)[:, None], members @ vectors, centres)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = sums / np.where(norm > 0, norm, 1)
     return centres.astype(np.float32)
@@ -85,45 +89,114 @@ def sample_of(labelled: DataFrame, sample: int) -> DataFrame:
     return labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, size: int = FEATURES) -> dict:
-    """The classifier from (doc_id, text, lang) with a non-null lang: languages, centroids, idf, least training cosines.
+def unit_vectors(rows: pa.Table, idf: np.ndarray, size: int) -> np.ndarray:
+    """Normalised TF-IDF of rows (at, n) of sparse counts; made in place, as one dense copy is the largest thing here."""
+    lengths = pc.list_value_length(rows.column("at")).to_numpy()
+    at = pc.list_flatten(rows.column("at")).to_numpy()
+    out = np.zeros((rows.num_rows, size), np.float32)
+    out[np.repeat(np.arange(rows.num_rows), lengths), at] = np.log1p(pc.list_flatten(rows.column("n")).to_numpy(), dtype=np.float32) * idf[at]
+    norm = np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
+    out /= np.where(norm > 0, norm, 1)
+    return out
 
-    Vectors of the bounded sample are counted in tasks and come to the driver as sparse counts. Rows without letters teach
-    nothing; without any row left the classifier knows no language.
+
+def length_class(n_letters: int) -> int:
+    return min(n_letters.bit_length() - 1, CLASSES - 1)
+
+
+def beginnings(text: str) -> Iterator[str]:
+    """The text, and its beginnings of growing length, cut between words where there are any."""
+    yield text
+    n = 4
+    while n < min(len(text), 1 << CLASSES):
+        yield (text[:n].rsplit(None, 1) or [""])[0]
+        n *= 2
+
+
+def least_cosines(rows: DataFrame, names: list[str], halves: list, idf: np.ndarray, size: int, reject: float) -> np.ndarray:
+    """Per language and length class the cosine that a share ``reject`` of held-back texts of the language lies below.
+
+    Texts of one half, and their beginnings, are held against the centroids of the other half. A class with too few texts
+    takes the value of the next shorter one, else of the next longer one; without any, nothing is too far.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((dict(zip(names, halves, strict=True)), idf))
+
+    def held_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (centres, weights), letters = shared.value, once("letters", letter_table)
+        for batch in batches:
+            langs, classes, cosines = [], [], []
+            for text, lang, half in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "half")), strict=True):
+                other = centres[lang][1 - half]
+                for part in beginnings(text) if len(other) else ():
+                    counts, n_letters = features(part, letters, size)
+                    if n_letters:
+                        langs.append(lang), classes.append(length_class(n_letters))
+                        cosines.append(float((other @ normalised(counts, weights)).max()))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(classes, pa.int32()), pa.array(cosines, pa.float64())], ["lang", "class", "cosine"])
+
+    found = rows.select("text", "lang", "half").mapInArrow(held_back, "lang string, class int, cosine double")
+    found = found.groupBy("lang", "class").agg(F.count("*").alias("n"), F.percentile("cosine", F.lit(reject)).alias("least"), F.stddev("cosine").alias("scale"))
+    # too few texts for one to lie in the share: the tail is carried on as an exponential one of the class's scale
+    found = found.withColumn("least", F.col("least") - F.col("scale") * F.greatest(F.lit(0.0), -F.log(F.col("n") * reject)))
+    least = np.full((len(names), CLASSES), np.nan)
+    thin = np.zeros(least.shape, bool)
+    for r in found.filter(F.col("n") >= ENOUGH).collect():  # a row a language and class at most
+        least[names.index(r["lang"]), r["class"]] = r["least"]
+        thin[names.index(r["lang"]), r["class"]] = r["n"] * reject < 1
+    # and such a class is not held to more than the next shorter one
+    least[:, 1:] = np.where(thin[:, 1:], np.fmin(least[:, 1:], least[:, :-1]), least[:, 1:])
+    for row in least:
+        for step in (range(1, CLASSES), range(CLASSES - 2, -1, -1)):
+            for c in step:
+                if np.isnan(row[c]):
+                    row[c] = row[c - 1 if step.step > 0 else c + 1]
+    return np.nan_to_num(least, nan=0.0)
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, size: int = FEATURES, reject: float = REJECT) -> dict:
+    """The classifier from (doc_id, text, lang) with a non-null lang: languages, centroids, idf, least cosines by length.
+
+    Vectors of the bounded sample are counted in tasks and written as sparse counts; the driver reads one language at a
+    time. Rows without letters teach nothing; without any row left the classifier knows no language.
     """
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = once("letters", letter_table)
         for batch in batches:
-            langs, at, n = [], [], []
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            keep, at, n = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 counts, n_letters = features(text or "", letters, size)
                 if n_letters:
                     where = np.flatnonzero(counts)
-                    langs.append(lang), at.append(where.tolist()), n.append(counts[where].tolist())
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(n, pa.list_(pa.int64()))})
-
-    rows = sample_of(labelled, sample).select("text", "lang").mapInArrow(vectors, "lang string, at array<int>, n array<long>")
-    rows = rows.toArrow()
-    langs = rows.column("lang").to_pylist()
-    counts = np.zeros((len(langs), size), np.float32)
-    for i, (at, n) in enumerate(zip(rows.column("at"), rows.column("n"), strict=True)):
-        counts[i, at.values.to_numpy()] = n.values.to_numpy()
-    idf = (np.log((1 + len(langs)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32) if langs else np.ones(size, np.float32)
-    unit = normalised(counts, idf)
-    names = sorted(set(langs))
-    owner, centres, least = [], [], []
+                    keep.append(i), at.append(where), n.append(counts[where])
+            kept = batch.take(pa.array(keep, pa.int32()))
+            columns = [*kept.columns, pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["text", "lang", "half", "at", "n"])
+
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
+    drawn = sample_of(labelled, sample).select("text", "lang", half)
+    rows = stored(drawn.mapInArrow(vectors, "text string, lang string, half int, at array<int>, n array<long>"), "languages")
+    total, names = rows.count(), sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # one row a language
+    within = np.zeros(size)
+    for r in rows.select(F.explode("at").alias("at")).groupBy("at").count().collect():  # a row a feature at most
+        within[r["at"]] = r["count"]
+    idf = (np.log((1 + total) / (1 + within)) + 1).astype(np.float32)
+    owner, centres, halves = [], [], []
     for i, name in enumerate(names):
-        own = unit[[j for j, x in enumerate(langs) if x == name]]
+        own = rows.filter(F.col("lang") == name).select("half", "at", "n").toArrow()
+        side, own = own.column("half").to_numpy(), unit_vectors(own, idf, size)
         found = clusters(own, centroids)
-        centres.append(found), owner.extend([i] * len(found)), least.append(float((own @ found.T).max(axis=1).min()))
+        centres.append(found), owner.extend([i] * len(found))
+        halves.append([clusters(own[side == h], centroids) if (side == h).any() else own[:0] for h in (0, 1)])
+        del own
     return {
-        "names": names, "owner": np.array(owner, int), "least": least, "idf": idf, "size": size,
+        "names": names, "owner": np.array(owner, int), "idf": idf, "size": size,
+        "least": least_cosines(rows, names, halves, idf, size, reject),
         "centres": np.concatenate(centres) if centres else np.zeros((0, size), np.float32),
     }
 
 
-def predictor(spark: SparkSession, model: dict, reject: float = REJECT):
+def predictor(spark: SparkSession, model: dict):
     """A column function: text -> struct(lang_pred, score, rejected)."""
     shared = spark.sparkContext.broadcast(model)  # bounded: centroids x features
 
@@ -140,7 +213,7 @@ def predictor(spark: SparkSession, model: dict, reject: float = REJECT):
                 near = m["centres"] @ normalised(counts, m["idf"])
                 best = int(np.argmax(near))
                 lang, score = int(m["owner"][best]), min(1.0, max(0.0, float(near[best])))
-                out.append((m["names"][lang], score, score < reject * m["least"][lang]))
+                out.append((m["names"][lang], score, score < m["least"][lang, length_class(n_letters)]))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     return predict
@@ -150,16 +223,16 @@ def identify(documents: DataFrame, learn_from: Column, reject: float = REJECT, *
     """(doc_id, lang_pred, score, rejected) per row of ``documents``, learned from its rows where ``learn_from`` holds.
 
     lang_pred is a language with a learned centroid, `und` where the text is null or has no letter, or nothing was
-    learned; score is the cosine to the nearest centroid, 0 to 1. rejected: `und`, or farther from all centroids than
-    ``reject`` times the least cosine seen in training. Ties go to the first language by name. Rows with a null lang teach
+    learned; score is the cosine to the nearest centroid, 0 to 1. rejected: `und`, or farther from the nearest centroid than
+    all but a share ``reject`` of held-back texts of that language and about that length. Ties go to the first language by name. Rows with a null lang teach
     nothing. Repeated rows keep one row each; an empty table gives no rows; other columns are not read.
     """
-    model = fit(documents.filter(learn_from & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), **options)
-    found = predictor(documents.sparkSession, model, reject)("text").alias("found")
+    model = fit(documents.filter(learn_from & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), reject=reject, **options)
+    found = predictor(documents.sparkSession, model)("text").alias("found")
     return documents.select("doc_id", found).select("doc_id", "found.*")
 
 
 def keep_identified(documents: DataFrame, learn_from: Column, reject: float = REJECT, **options) -> DataFrame:
     """``documents`` without the rejected rows; all columns kept. See ``identify``."""
-    model = fit(documents.filter(learn_from & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), **options)
-    return documents.filter(~predictor(documents.sparkSession, model, reject)("text")["rejected"])
+    model = fit(documents.filter(learn_from & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), reject=reject, **options)
+    return documents.filter(~predictor(documents.sparkSession, model)("text")["rejected"])

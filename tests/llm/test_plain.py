@@ -369,6 +369,29 @@ def test_language_on_held_out_documents(spark):
     assert all(r["rejected"] for r in rows.values()) and [rows[i]["lang_pred"] for i in (-2, -3)] == ["und", "und"]
 
 
+FAR = [
+    "Il governo ha annunciato oggi nuove misure per sostenere le famiglie e le imprese italiane.",
+    "Rząd ogłosił dzisiaj nowe środki wsparcia dla rodzin i przedsiębiorstw w całym kraju.",
+    "Hallitus ilmoitti tänään uusista toimista perheiden ja yritysten tukemiseksi koko maassa.",
+    "Serikali ilitangaza leo hatua mpya za kusaidia familia na biashara nchini kote.",
+    "Bugün hükümet aileleri ve işletmeleri desteklemek için yeni önlemler açıkladı.",
+    "qzxv kjwq xzzk vvqj wxkz qqjx zkvw jxqz kkqv zxwj",
+]
+
+
+def test_unlearned_languages_and_junk_are_rejected_but_short_texts_are_not(spark):
+    documents = load(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 5, 0)
+    short = F.regexp_extract(F.substring("text", 1, 40), r"(?s)^(.*)\s", 1)
+    clean = documents.filter(out).select((-100 - F.col("doc_id")).alias("doc_id"), short.alias("text"), F.lit(None).cast("string").alias("lang"))
+    far = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(FAR)], documents.schema)
+    learned = documents.filter(~out).union(far).union(clean)
+    got = lang_id.identify(learned, F.col("doc_id") >= 0).filter("doc_id < 0")
+    rows = got.groupBy((F.col("doc_id") > -100).alias("far")).agg(F.avg(F.col("rejected").cast("int")).alias("rejected"), F.count("*").alias("n"))
+    share = {r["far"]: (r["rejected"], r["n"]) for r in rows.collect()}
+    assert share[True] == (1.0, len(FAR)) and share[False][0] <= 0.02 and share[False][1] > 1000
+
+
 def test_toxicity_on_held_out_documents(spark):
     documents, labels = (load(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     documents = documents.join(labels.select("doc_id"), "doc_id", "left_semi")
