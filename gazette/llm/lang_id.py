@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from gazette.llm.common import once, stored
 
-FEATURES = 1 << 12
+FEATURES = 1 << 13
 CENTROIDS = 6
 #: Labelled rows per language that the classifier is fitted on at most, on average; drawn by a hash of doc_id.
-SAMPLE = 600
+SAMPLE = 1_500
 #: Share of a language's held-back texts of about the same length that may lie farther than the rejection distance.
 REJECT = 0.002
 #: Length classes (powers of two of letters), and held-back texts that a class must have for a distance of its own.

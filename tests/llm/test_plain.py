@@ -369,6 +369,12 @@ def test_language_on_held_out_documents(spark):
     assert all(r["rejected"] for r in rows.values()) and [rows[i]["lang_pred"] for i in (-2, -3)] == ["und", "und"]
 
 
+def test_languages_are_learned_from_enough_rows_and_features(spark):
+    documents = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    assert 1_300 <= lang_id.sample_of(documents, lang_id.SAMPLE).count() <= 1_700
+    assert lang_id.fit(documents.limit(50))["centres"].shape == (lang_id.CENTROIDS, 8_192)
+
+
 FAR = [
     "Il governo ha annunciato oggi nuove misure per sostenere le famiglie e le imprese italiane.",
     "Rząd ogłosił dzisiaj nowe środki wsparcia dla rodzin i przedsiębiorstw w całym kraju.",
