@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.common import KEY, join_on_key, row_key, stored
@@ -33,6 +33,8 @@ DIGIT = re.compile(r"[0-9]")
 #: A token that may be an identifier: no white space, at least six characters, at least one digit.
 TOKEN = re.compile(r"[^\s,;:\"'()\[\]{}<>|]*[0-9][^\s,;:\"'()\[\]{}<>|]*")
 WORD = re.compile(r"\w+[:#=]?")
+#: Code points on each side in which context words are looked for, and the marks of a line's ends, which are no words.
+WINDOW, START, END = 64, "^", "$"
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -78,19 +80,25 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(out)]
 
 
-def context(text: str, start: int, end: int) -> tuple[str, str] | None:
-    """The two words before a span and the one after, lower-cased; None if there are not two before it in its line."""
-    before = WORD.findall(text[max(0, start - 64):start].rpartition("\n")[2])
-    after = WORD.search(text[end:end + 32].partition("\n")[0])
-    return (" ".join(before[-2:]).lower(), after[0].lower() if after else "") if len(before) >= 2 else None
+def context(text: str, start: int, end: int) -> tuple[str, str]:
+    """The two words on each side of a span, lower-cased; where its line starts or ends, a mark stands for a word."""
+    window = text[max(0, start - WINDOW):start]
+    line = window.rpartition("\n")[2]
+    whole = len(line) < len(window) or start <= WINDOW
+    before = [START] * whole + [m[0] for m in WORD.finditer(line) if whole or m.start()]
+    window = text[end:end + WINDOW]
+    line = window.partition("\n")[0]
+    whole = len(line) < len(window) or end + WINDOW >= len(text)
+    after = [m[0] for m in WORD.finditer(line) if whole or m.end() < len(line)] + [END] * whole
+    return " ".join(before[-2:]).lower(), " ".join(after[:2]).lower()
 
 
 def candidates(text: str, spans: list[tuple[int, str, int]]) -> list[dict]:
     """Seeds and identifier-like tokens with their contexts; tokens that overlap a span of the fixed forms are left out."""
     out, i = [], 0
     for a, kind, b in spans:
-        if around := context(text, a, b):
-            out.append({"kind": kind, "start": a, "end": b, "instance": text[a:b], "left": around[0], "right": around[1]})
+        around = context(text, a, b)
+        out.append({"kind": kind, "start": a, "end": b, "instance": text[a:b], "left": around[0], "right": around[1]})
     reach = 0
     for m in TOKEN.finditer(text) if DIGIT.search(text) else ():
         a, b = m.start(), m.end()
@@ -98,7 +106,8 @@ def candidates(text: str, spans: list[tuple[int, str, int]]) -> list[dict]:
         while i < len(spans) and spans[i][0] < b:
             reach = max(reach, spans[i][2])
             i += 1
-        if b - a >= 6 and reach <= a and (around := context(text, a, b)):
+        if b - a >= 6 and reach <= a:
+            around = context(text, a, b)
             out.append({"kind": None, "start": a, "end": b, "instance": text[a:b], "left": around[0], "right": around[1]})
     return out
 
@@ -130,41 +139,54 @@ def extracted(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", *row_key(F.col("text")), scan("text").alias("found")).select(*KEY, "found.*")
 
 
+def patterns_of(left: Column, right: Column) -> Column:
+    """The patterns a context belongs to: the words on the left, those on the right, and both sides. Marks alone are none."""
+    def named(side: str, words: Column, holds: Column) -> Column:
+        return F.when(holds, F.concat(F.lit(side), words))
+
+    first = F.substring_index(right, " ", 1)
+    word = lambda c: c.rlike(r"\w")
+    return F.array_compact(F.array(
+        named("<", left, word(left) & left.contains(" ")),
+        named(">", right, word(right) & right.contains(" ")),
+        named("|", F.concat_ws("|", left, first), word(left) | word(first)),
+    ))
+
+
 def trusted_patterns(edges: DataFrame, support: int, confidence: float, rounds: int) -> DataFrame:
-    """(left, right) of the patterns that are trusted after at most ``rounds`` rounds.
+    """(pattern) of the patterns that are trusted after at most ``rounds`` rounds.
 
-    ``edges``: distinct (left, right, instance, known), an edge of the graph each. A round trusts patterns by how many and
-    which share of their instances are known, then makes known what trusted patterns hold. Instances of many patterns and
-    patterns of many instances are summed before they are shuffled; nothing is paired.
+    ``edges``: distinct (pattern, instance, known), an edge of the graph each. A round trusts patterns by how many and
+    which share of their instances are known, then makes known what trusted patterns hold. What is known only grows, so
+    a trusted pattern stays trusted and leaves the graph; one of too few instances never enters it. Instances of many
+    patterns and patterns of many instances are summed before they are shuffled; nothing is paired.
     """
-    trusted = None
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    edges = stored(edges.join(sizes, "pattern"), "edges")
+    found: DataFrame | None = None
     for _ in range(rounds):
-        scored = edges.groupBy("left", "right").agg(
-            F.count("*").alias("n"), F.sum(F.col("known").cast("long")).alias("n_known")
-        ).filter((F.col("n_known") >= support) & (F.col("n_known") >= confidence * F.col("n")))
-        new = stored(scored.select("left", "right"), "patterns")
-        if trusted is not None:
-            new = stored(new.union(trusted).distinct(), "patterns")
-            if new.count() == trusted.count():
-                return new
-        elif new.isEmpty():
-            return new
-        trusted = new
-        reached = edges.filter(~F.col("known")).join(trusted, ["left", "right"], "left_semi").select("instance").distinct()
+        scored = edges.groupBy("pattern", "n").agg(F.sum(F.col("known").cast("long")).alias("n_known"))
+        new = stored(scored.filter((F.col("n_known") >= support) & (F.col("n_known") >= confidence * F.col("n"))).select("pattern"), "patterns")
+        if new.isEmpty():
+            return new if found is None else found
+        found = new if found is None else stored(found.union(new), "patterns")
+        reached = edges.filter(~F.col("known")).join(new, "pattern", "left_semi").select("instance").distinct()
         reached = reached.withColumn("reached", F.lit(True))
         edges = stored(
-            edges.join(reached, "instance", "left")
-            .select("left", "right", "instance", (F.col("known") | F.coalesce("reached", F.lit(False))).alias("known")), "edges",
+            edges.join(new, "pattern", "left_anti").join(reached, "instance", "left")
+            .select("pattern", "n", "instance", (F.col("known") | F.coalesce("reached", F.lit(False))).alias("known")), "edges",
         )
-    return trusted
+    return found
 
 
 def discovered(scanned: DataFrame, support: int, confidence: float, rounds: int) -> DataFrame:
     """The row key and the (start, end) of identifiers found by trusted patterns, one row per document that has any."""
     seen = scanned.select(*KEY, F.inline("seen"))
-    edges = seen.groupBy("left", "right", "instance").agg(F.max(F.col("kind").isNotNull()).alias("known"))
+    edges = seen.select("instance", "kind", F.explode(patterns_of(F.col("left"), F.col("right"))).alias("pattern"))
+    edges = edges.groupBy("pattern", "instance").agg(F.max(F.col("kind").isNotNull()).alias("known"))
     trusted = trusted_patterns(stored(edges, "edges"), support, confidence, rounds)
-    hits = seen.filter("kind is null").join(trusted, ["left", "right"], "left_semi").select(*KEY, "start", "end").distinct()
+    hits = seen.filter("kind is null").select(*KEY, "start", "end", F.explode(patterns_of(F.col("left"), F.col("right"))).alias("pattern"))
+    hits = hits.join(trusted, "pattern", "left_semi").select(*KEY, "start", "end").distinct()
     return stored(hits.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("more")), "discovered")
 
 

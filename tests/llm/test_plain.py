@@ -184,6 +184,24 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert masked[12].endswith("call me at <ID> today") and masked[0].endswith("call me at <PHONE> today") and masked[20] == noise[6]
 
 
+def found_ids(spark, every, **options):
+    rows = pii.personal_data(frame(spark, every), **options).collect()
+    spans = {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s.startswith("id:")] for r in rows}
+    return {i: [every[i][int(a):int(b)] for _, a, b in s] for i, s in spans.items() if s}
+
+
+def test_label_lines_and_varied_words_after_teach_patterns(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    lines = [f"{word()} {word()}\nPhone: +1 (555) 555-{1000 + i}\n{word()}" for i in range(8)]
+    free = [f"{word()} {word()} write to {word()}{i}@mail.com {word()} {word()}" for i in range(8)]
+    after = [f"{word()} {word()} +1 (555) 555-{2000 + i} is my number" for i in range(8)]
+    unseen = [f"{word()}\nPhone: 555.0177.x1\n{word()}", "Phone: 555.0177.x2", f"{word()} write to user#77881 {word()}", f"{word()} {word()} 555x0177 is my number"]
+    noise = [f"{word()} {word()}\nPart: {word()}{i}99\n{word()}" for i in range(30)]
+    every = [*lines, *free, *after, *unseen, *noise]
+    assert found_ids(spark, every) == {24: ["555.0177.x1"], 25: ["555.0177.x2"], 26: ["user#77881"], 27: ["555x0177"]}
+
+
 # --- near copies ----------------------------------------------------------------------------------------------
 
 
