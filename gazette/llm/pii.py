@@ -20,8 +20,9 @@ from gazette.llm.common import KEY, join_on_key, row_key, stored
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of a discovered span.
 FOUND = "id"
-#: A pattern is trusted from so many distinct known instances, and this share of known ones among its instances.
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
+#: A pattern is trusted from so many distinct known instances, and this share of known ones among its instances. Rounds end
+#: when none is added; that many of them are an error.
+SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 1_000
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -154,7 +155,7 @@ def patterns_of(left: Column, right: Column) -> Column:
 
 
 def trusted_patterns(edges: DataFrame, support: int, confidence: float, rounds: int) -> DataFrame:
-    """(pattern) of the patterns that are trusted after at most ``rounds`` rounds.
+    """(pattern) of the patterns that are trusted once no round adds one; raises if that takes more than ``rounds`` rounds.
 
     ``edges``: distinct (pattern, instance, known), an edge of the graph each. A round trusts patterns by how many and
     which share of their instances are known, then makes known what trusted patterns hold. What is known only grows, so
@@ -176,7 +177,7 @@ def trusted_patterns(edges: DataFrame, support: int, confidence: float, rounds:
             edges.join(new, "pattern", "left_anti").join(reached, "instance", "left")
             .select("pattern", "n", "instance", (F.col("known") | F.coalesce("reached", F.lit(False))).alias("known")), "edges",
         )
-    return found
+    raise RuntimeError(f"patterns have not settled after {rounds} rounds")
 
 
 def discovered(scanned: DataFrame, support: int, confidence: float, rounds: int) -> DataFrame:

@@ -202,6 +202,18 @@ def test_label_lines_and_varied_words_after_teach_patterns(spark):
     assert found_ids(spark, every) == {24: ["555.0177.x1"], 25: ["555.0177.x2"], 26: ["user#77881"], 27: ["555x0177"]}
 
 
+def test_chains_of_patterns_are_followed_to_their_end(spark):
+    phones = lambda hop, n: [f"Hop{hop}: +1 (555) 555-{1000 + 20 * hop + i}" for i in range(n)]
+    ids = lambda hop, of: [f"Hop{hop}: id{of}-{i}000" for i in range(5)]
+    every = phones(0, 20) + ids(0, 0)
+    for hop in range(1, 7):
+        every += phones(hop, 15) + ids(hop, hop - 1) + ids(hop, hop)
+    got = found_ids(spark, every)
+    assert {s for spans in got.values() for s in spans} == {f"id{hop}-{i}000" for hop in range(7) for i in range(5)}
+    with pytest.raises(RuntimeError):
+        found_ids(spark, every, rounds=1)
+
+
 # --- near copies ----------------------------------------------------------------------------------------------
 
 
