@@ -134,6 +134,23 @@ def test_parse_answers(spark, value, titles):
     assert (got if got is None else [a.title for a in got]) == titles
 
 
+@pytest.mark.parametrize("value, titles", [
+    ('{"articles":[{"title":"a","title":"b"},{"title":"c"}]}', ["b", "c"]),
+    ('Here: {"articles":[{"title":"a","score":NaN},{"title":Infinity}]} done', ["a", "Infinity"]),
+    ('[x] {"articles":[{"title":"a","title":"b"}]}', ["b"]), ("[x] {y", None),
+])
+def test_parse_answers_that_only_python_reads(spark, value, titles):
+    got = one(spark, answers.parse_answers, value)
+    assert (got if got is None else [a.title for a in got]) == titles
+
+
+@pytest.mark.parametrize("value, payload", [
+    ('say {"a": 1, "a": [2]} x', '{"a": 1, "a": [2]}'), ('{"a": NaN} [1]', '{"a": NaN}'),
+])
+def test_json_payload_that_only_python_reads(spark, value, payload):
+    assert one(spark, answers.extract_json_payload, value) == payload
+
+
 def test_answer_fields(spark):
     said = '{"articles": [{"title": 5, "content": {"a": [1]}, "category": ""}, {"title": 0, "content": "0", "category": null}, []]} end'
     got = one(spark, answers.parse_answers, said)
