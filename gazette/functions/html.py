@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -19,25 +20,47 @@ ENTITIES = [
 ]
 
 
-def decode_entities(text: Column) -> Column:
+#: Meta tags that name authors, and links or elements that hold their names.
+META_AUTHOR = r"""(?i)<meta\b[^>]*\b(?:name|property|itemprop)\s*=\s*["']?(?:author|article:author|dc[.]creator|byl)["'\s/>][^>]*>?"""
+BYLINE = (
+    r"""(?is)<(a|span|div|p|address|strong|li)\b[^>]*\b(?:rel|itemprop|class)\s*=\s*"""
+    r"""(?:["'](?:[^"']*\s)?|)(?:author|byline|author-name|byline-name)(?=["'\s>])[^>]*>(.*?)</\1>"""
+)
+#: An entity, or the start of one, that is none of the fixed ones.
+OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|nbsp|middot|copy|amp);)(?:#[0-9xX]|[a-zA-Z])"
+
+
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    blank = dict(ENTITIES)["&nbsp;"]
+    return pd.Series([None if t is None else unescape(t.replace("&nbsp;", blank)) for t in texts], dtype=object)
+
+
+def decode_entities(text: Column, page: Column | None = None) -> Column:
+    """Entities as characters, each once. Texts with other than the fixed ones, named or numeric, go through Python.
+
+    ``page``: what ``text`` was taken from. It is looked at in place of the text, which is then extracted only once.
+    """
+    hard = (text if page is None else page).rlike(OTHER_ENTITY)
+    plain = text
     for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.coalesce(_unescape(F.when(hard, text)), plain)
 
 
-def visible_text(markup: Column) -> Column:
+def visible_text(markup: Column, page: Column | None = None) -> Column:
     """Text of a piece of HTML: tags become blanks, blanks are collapsed, entities decoded, ends stripped."""
     bare = F.regexp_replace(markup, r"<[^>]*>", " ")
-    return strip(decode_entities(F.regexp_replace(bare, r"[ \t\r\n\f]+", " ")))
+    return strip(decode_entities(F.regexp_replace(bare, r"[ \t\r\n\f]+", " "), page))
 
 
 def page_title(html: Column) -> Column:
-    return visible_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return visible_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), html)
 
 
 def article_element_text(html: Column) -> Column:
     """First extractor: the text of the article element."""
-    return visible_text(F.regexp_extract(html, r"(?is)<article[^>]*>(.*?)</article>", 1))
+    return visible_text(F.regexp_extract(html, r"(?is)<article[^>]*>(.*?)</article>", 1), html)
 
 
 def body_text(html: Column) -> Column:
@@ -45,7 +68,7 @@ def body_text(html: Column) -> Column:
     body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
     for tag in ("script", "style", "nav", "header", "aside", "footer"):
         body = F.regexp_replace(body, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    return visible_text(body)
+    return visible_text(body, html)
 
 
 def article_content(html: Column) -> Column:
@@ -57,6 +80,26 @@ def article_content(html: Column) -> Column:
     return F.coalesce(long_enough(article_element_text(html)), long_enough(body_text(html)))
 
 
+def page_authors(html: Column) -> Column:
+    """The authors that a page names, in order and once each: meta tags; without any, its author links and bylines.
+
+    Lists of names are split, a leading ``By`` is dropped, links are no names. A page without authors gives an empty list.
+    """
+    gap = "\x1e"
+
+    def named(found: Column) -> Column:
+        text = visible_text(F.array_join(found, gap), html)
+        names = F.split(text, rf"(?i){gap}|[,;|]|\s(?:and|&)\s")
+        names = F.transform(names, lambda n: strip(F.regexp_replace(strip(n), r"(?i)^(?:written\s+)?by\b:?\s*", "")))
+        return F.array_distinct(F.filter(names, lambda n: (n != "") & ~n.rlike(r"(?i)^(?:https?:|www[.])")))
+
+    tags = F.regexp_extract_all(html, F.lit(META_AUTHOR), F.lit(0))
+    content = r"""(?is)\bcontent\s*=\s*(["'])(.*?)\1"""
+    meta = named(F.transform(tags, lambda t: F.regexp_extract(t, content, 2)))
+    lines = named(F.regexp_extract_all(html, F.lit(BYLINE), F.lit(2)))
+    return F.coalesce(F.when(F.size(meta) > 0, meta), F.when(F.size(lines) > 0, lines), F.array().cast("array<string>"))
+
+
 @F.pandas_udf(T.StringType())
 def _join_reference(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or r is None else urljoin(b, r) for b, r in zip(base, ref)])

@@ -179,7 +179,7 @@ def _(spark, sf):
 
 
 def _valid_items(items: DataFrame) -> DataFrame:
-    return ingest.feed_row_validity(ingest.html_article(items), url="link")
+    return ingest.feed_row_validity(ingest.html_article(items).drop("authors"), url="link")
 
 
 @register("filter_by_date", """
@@ -984,8 +984,8 @@ def _feed_batch(pages: DataFrame) -> DataFrame:
         F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]+)", 1).alias("source_name"),
         fh.page_title(html).alias("original_title"),
         F.col("content").alias("original_content"),
-        F.lit("").alias("image_url"),
-        F.array().cast("array<string>").alias("authors"),
+        fh.resolve_image(html, url).alias("image_url"),
+        "authors",
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(F.lit(0), F.lit(0), F.col("page_id").cast("int"))).alias("publish_date"),
         language.alias("language"),
