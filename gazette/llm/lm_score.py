@@ -1,8 +1,7 @@
 """Stupid-backoff scores of documents under the n-gram counts of the corpus, as joins on hashed n-grams.
 
-Documents are dealt into chunks where they are read. Every chunk sends each of its distinct n-grams once, with its count, to
-the part of the count tables that its hash names; the parts add up, answer with totals, and the chunk sums its documents.
-A frequent n-gram is one entry a chunk, however often it occurs, so no key is hot. Entries travel as sorted, packed blocks.
+The n-grams of each document are counted and exploded; a groupBy on their hash gives the count table, which is joined back;
+each document sums its scores. Frequent n-grams are pre-aggregated in the tasks and their totals broadcast, so no key is hot.
 """
 
 from __future__ import annotations
@@ -11,15 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import once
+from gazette.llm.common import once, stored
 
-ORDER, BACKOFF = 2, 0.4
-#: Words of a chunk, but for a longer document, and n-grams of a part of the count tables, about.
-CHUNK, PART = 1_000_000, 1_000_000
+ORDER, BACKOFF = 3, 0.4
+#: The n-grams of the most documents whose totals are broadcast at most, and the documents that such a one is in at least.
+FREQUENT, LEAST = 200_000, 64
+#: Entries that are passed on at once, but for a longer document.
+ENTRIES = 100_000
 #: Words whose hashes a worker remembers.
 CACHE = 1_000_000
 #: The key of the empty context, whose count is the number of words.
@@ -54,121 +54,49 @@ def grams(words: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Numbers as compressed planes of bytes: small ones take little room."""
-    import zstandard
+def counted(words: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a document for n from 0 to ``order``, their counts, and the place of every n-gram among them."""
+    keys = np.concatenate([np.full(len(words), EMPTY, np.uint64), *grams(words, order)]).view(np.int64)
+    distinct, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    return distinct, counts, place
 
-    values = np.ascontiguousarray(values, "<u8")
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
 
+def exploded(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["row", "key", "own"])
 
-def unpacked(data: bytes) -> np.ndarray:
-    import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+def words_of(text: str | None) -> np.ndarray:
+    words = (text or "").lower().split()
+    return np.fromiter(map(once("lm-hashes", Hashes).__getitem__, words), np.uint64, len(words))
 
 
-def sorted_packed(keys: np.ndarray) -> bytes:
-    return packed(np.diff(keys, prepend=np.uint64(0)))
-
-
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each key; keys in order give parts in order."""
-    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
-ROWS = "part long, chunk long, docs binary, known binary, keys binary, counts binary"
-
-
-def entries(chunk: int, ids: list[int | None], docs: list[np.ndarray], order: int, parts: int) -> pa.RecordBatch:
-    """A row with the documents of a chunk, at a place of its own, and a row for each part with the n-grams that it counts.
-
-    A document is its number of words and the words' hashes, by their places in the list of the chunk's distinct ones.
-    """
-    words = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
-    vocabulary, codes = np.unique(words, return_inverse=True)
-    keys = [np.full(len(words), EMPTY, np.uint64), *(np.concatenate(g) for g in zip(*(grams(d, order) for d in docs), strict=True))]
-    keys, counts = np.unique(np.concatenate(keys), return_counts=True)
-    ends = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-    used = np.flatnonzero(np.diff(ends))
-    numbers = np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)
-    sizes = [len(d) for d in docs]
-    about = np.concatenate([np.array(x, np.uint64) for x in ([len(ids), len(vocabulary)], numbers, [i is not None for i in ids], sizes)])
-    rows = [(-1 - chunk, chunk, packed(about), sorted_packed(vocabulary), packed(codes), None)]
-    rows += [(int(p), chunk, None, None, sorted_packed(keys[ends[p]:ends[p + 1]]), packed(counts[ends[p]:ends[p + 1]])) for p in used]
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "chunk", "docs", "known", "keys", "counts"])
-
-
-def totals(table: pa.Table) -> pa.Table:
-    """The count table of one part: adds up what the chunks have and answers each with the totals of its keys, in its order.
-    The documents of a chunk pass through."""
-    if table.column("part")[0].as_py() < 0:
-        return table
-    keys = [np.cumsum(unpacked(k), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    summed = np.zeros(len(every), np.uint64)
-    np.add.at(summed, place, np.concatenate([unpacked(c) for c in table.column("counts").to_pylist()]))
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    answers = [packed(summed[p]) for p in np.split(place, cuts)]
-    none = pa.nulls(len(keys), pa.binary())
-    return pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "docs": none, "known": none, "keys": none, "counts": pa.array(answers, pa.binary())})
+def totals_of(keys: np.ndarray, sorted_keys: np.ndarray, totals: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """The total of each key where ``sorted_keys`` has it, else the value in ``none``."""
+    if not len(sorted_keys):
+        return none
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, totals[at], none)
 
 
 SCORES = "doc_id long, n_words long, n_backoff long, log_score double"
 
 
-def scored(table: pa.Table, order: int, backoff: float, leave_one_out: bool) -> pa.Table:
-    """The documents of a chunk, summed over the answers of all parts."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["part"])
-    first, answers = rows[0], rows[1:]
-    about = unpacked(first["docs"])
-    n = int(about[0])
-    numbers, given, sizes = about[2:2 + n].view(np.int64), about[2 + n:2 + 2 * n].astype(bool), about[2 + 2 * n:].astype(np.int64)
-    vocabulary = np.cumsum(unpacked(first["known"]), dtype=np.uint64)
-    words = vocabulary[unpacked(first["keys"]).astype(np.int64)]
-    ends = np.cumsum(sizes)
-    docs = np.split(words, ends[:-1]) if n else []
-    by_size = [np.concatenate(g) for g in zip(*(grams(d, order) for d in docs), strict=True)]
-    keys, place = np.unique(np.concatenate([np.full(len(words), EMPTY, np.uint64), *by_size]), return_inverse=True)
-    count = np.concatenate([unpacked(a["counts"]) for a in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(n), sizes)
-    places, owners, at = [place[:len(words)]], [owner], len(words)
-    for k in range(1, order + 1):
-        own = np.repeat(np.arange(n), np.maximum(sizes - k + 1, 0))
-        places.append(place[at:at + len(own)])
-        owners.append(own)
-        at += len(own)
-    seen = []
-    for p, own in zip(places, owners, strict=True):
-        c = count[p]
-        if leave_one_out and len(p):
-            _, back, times = np.unique(own * np.int64(len(keys)) + p, return_inverse=True, return_counts=True)
-            c = c - times[back]
-        seen.append(c.astype(float))
+def scored(words: np.ndarray, place: np.ndarray, seen: np.ndarray, order: int, backoff: float) -> tuple[int, float]:
+    """Words that took a step down, and the sum of the scores; ``seen`` has the counts of the distinct n-grams, by ``place``."""
+    n = len(words)
+    ends = np.cumsum([0, n, *(max(n - k + 1, 0) for k in range(1, order + 1))])
+    counts = [seen[place[ends[k]:ends[k + 1]]].astype(float) for k in range(order + 1)]
     # by position: the longest n-gram that was seen elsewhere, each step down at the price of the backoff
-    starts = ends - sizes
-    score = np.full(len(words), np.nan)
-    steps = np.zeros(len(words), np.int64)
-    within = np.arange(len(words)) - starts[owner]
+    score, steps = np.full(n, np.nan), np.zeros(n, np.int64)
     for k in range(order, 0, -1):
-        first_at = np.concatenate(([0], np.cumsum(np.maximum(sizes - k + 1, 0))[:-1]))
-        here = np.flatnonzero(np.isnan(score) & (within >= k - 1))
-        gram = seen[k][first_at[owner[here]] + within[here] - (k - 1)]
-        if k > 1:
-            above = np.concatenate(([0], np.cumsum(np.maximum(sizes - k + 2, 0))[:-1]))
-            context = seen[k - 1][above[owner[here]] + within[here] - (k - 1)]
-        else:
-            context = np.maximum(seen[0][here], 1.0)
-            gram = np.maximum(gram, 0.5)  # a word seen nowhere else counts half
+        here = np.flatnonzero(np.isnan(score) & (np.arange(n) >= k - 1))
+        gram, context = counts[k][here - (k - 1)], counts[k - 1][here - (k - 1)]
+        if k == 1:
+            context, gram = np.maximum(context, 1.0), np.maximum(gram, 0.5)  # a word seen nowhere else counts half
         found = gram > 0
         score[here[found]] = np.log(gram[found] / context[found]) + steps[here[found]] * np.log(backoff)
         steps[here[~found]] += 1
-    return pa.table({
-        "doc_id": pa.array(numbers, pa.int64(), mask=~given), "n_words": pa.array(sizes),
-        "n_backoff": pa.array(np.bincount(owner, steps > 0, n).astype(np.int64)), "log_score": pa.array(np.bincount(owner, score, n).astype(float)),
-    })
+    return int((steps > 0).sum()), float(score.sum())
 
 
 def score_documents(documents: DataFrame, order: int = ORDER, backoff: float = BACKOFF, leave_one_out: bool = True) -> DataFrame:
@@ -181,28 +109,54 @@ def score_documents(documents: DataFrame, order: int = ORDER, backoff: float = B
     null. Repeated rows and null doc_ids keep one row each; an empty table gives no rows; other columns are not read.
     doc_id is taken as a long.
     """
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, min(1 << 31, -(-size * (order + 1) // (6 * PART))))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = once("lm-hashes", Hashes)
-        get = hashes.__getitem__
-        chunk = TaskContext.get().partitionId() << 24
-        ids, docs, held = [], [], 0
+    spark = documents.sparkSession
+    rows = stored(documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text"), "lm-rows")
+
+    def entries(frequent) -> DataFrame:
+        """(row, key, own): the n-grams of each document, counted; without those in the broadcast ``frequent``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = frequent.value[0] if frequent else np.zeros(0, np.int64)
+            nothing = np.zeros(1, bool)
+            held, size = [], 0
+            for batch in batches:
+                for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    keys, own, _ = counted(words_of(text), order)
+                    rare = ~totals_of(keys, known, np.ones(len(known), bool), np.repeat(nothing, len(keys)))
+                    held.append((np.full(int(rare.sum()), row, np.int64), keys[rare], own[rare]))
+                    size += len(held[-1][0])
+                    if size >= ENTRIES:
+                        yield exploded(held)
+                        held, size = [], 0
+            if held:
+                yield exploded(held)
+
+        return rows.select("row", "text").mapInArrow(run, "row long, key long, own long")
+
+    # An n-gram of one document has no count elsewhere: only the others are kept.
+    counts = entries(None).groupBy("key").agg(F.sum("own").alias("total"), F.count("*").alias("docs")).filter("docs > 1")
+    counts = stored(counts, "lm-counts")
+    top = counts.filter(F.col("docs") >= LEAST).orderBy(F.desc("docs"), "key").limit(FREQUENT).select("key", "total").orderBy("key").toArrow()
+    frequent = spark.sparkContext.broadcast((top.column("key").to_numpy(), top.column("total").to_numpy()))
+    rare = entries(frequent).select("row", "key").join(counts.select("key", "total"), "key")
+    answers = rare.groupBy("row").agg(F.collect_list(F.struct("key", "total")).alias("known"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = (text or "").lower().split()
-                ids.append(i)
-                docs.append(np.fromiter(map(get, words), np.uint64, len(words)))
-                held += len(words)
-                if held >= CHUNK or len(ids) >= CHUNK:
-                    yield entries(chunk, ids, docs, order, parts)
-                    chunk, ids, docs, held = chunk + 1, [], [], 0
-        if ids:
-            yield entries(chunk, ids, docs, order, parts)
-
-    dealt = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(deal, ROWS)
-    answered = dealt.groupBy("part").applyInArrow(totals, ROWS)
-    rows = answered.groupBy("chunk").applyInArrow(lambda t: scored(t, order, backoff, leave_one_out), SCORES)
+            out = []
+            for doc_id, text, known in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("known"), strict=True):
+                words = words_of(text)
+                keys, own, place = counted(words, order)
+                total = totals_of(keys, *frequent.value, own)
+                if known.is_valid:
+                    own_keys, own_totals = (known.values.field(i).to_numpy() for i in (0, 1))
+                    by_key = np.argsort(own_keys)
+                    total = totals_of(keys, own_keys[by_key], own_totals[by_key], total)
+                out.append((doc_id, len(words), *scored(words, place, total - own if leave_one_out else total, order, backoff)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_backoff", "log_score"])
+
+    rows = rows.join(answers, "row", "left").select("doc_id", "text", "known").mapInArrow(score, SCORES)
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return rows.withColumn("mean_log_score", mean).withColumn("perplexity", F.exp(-mean))

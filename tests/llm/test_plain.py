@@ -352,6 +352,12 @@ def test_scores_against_plain_counts(spark, texts, order, without_self):
         assert got[i]["n_words"] == len(w) and math.isclose(got[i]["log_score"], score, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_three_words_tell_more_than_two(spark):
+    every = ["a b c", "a b c", "x b d", "x b d", "x b d"]
+    got = {r["doc_id"]: r["log_score"] for r in lm_score.score_documents(frame(spark, every), leave_one_out=False).collect()}
+    assert math.isclose(got[0], math.log(2 / 15) + math.log(2 / 2) + math.log(2 / 2))  # c always follows a b, not always b
+
+
 def test_recall_of_neighbours(spark):
     frame = load(spark, "/root/testdata/sf0.1", "embeddings")
     rows = frame.orderBy("vec_id").collect()
