@@ -8,7 +8,9 @@ task go into sequences whose lengths are powers of two, which are not padded. No
 
 from __future__ import annotations
 
+import codecs
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,15 +31,26 @@ PARTITION_SHIFT = 40
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_letters() -> str:
+    """The published byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return "".join(chr(b if b in printable else 256 + others.index(b)) for b in range(256))
+
+
 class IdBytes(dict):
-    """Pre-token -> its ids as little-endian 32-bit numbers, encoded by the library and remembered."""
+    """Pre-token -> its ids as little-endian 32-bit numbers, merged by the library's model and remembered.
+
+    The words are pre-tokens already, so the model takes them in byte letters, without the library's own pre-tokenizer.
+    """
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
+        self.merged, self.letters = tokenizer.model.tokenize, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        tokens = self.merged(codecs.charmap_decode(word.encode("utf-8", "surrogatepass"), "strict", self.letters)[0])
+        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         if len(word) <= KEPT_CHARS:
             if len(self) >= CACHE:
                 self.clear()
@@ -46,39 +59,30 @@ class IdBytes(dict):
 
 
 class Ids:
-    """The ids of texts as the tokenizer in ``data`` gives them, without added special tokens."""
+    """The ids of texts as the tokenizer in ``data`` gives them, without added special tokens.
+
+    Texts are looked up by pre-tokens. The pre-token rule always cuts before a blank behind a character that is none, whatever
+    follows: a text with characters that `re` may class in another way is cut there, and only the chunks that hold such a
+    character go to the library. Texts that hold a special string go there whole.
+    """
 
     def __init__(self, data: bytes) -> None:
         self.counting = Counting(data, {})
         self.table = IdBytes(self.counting.tokenizer)
-        self.unsafe = re.compile(f"[^\x00-{chr(SAFE - 1)}]+")
-        #: The pre-token rule always cuts before a blank that follows one of these, whatever comes next.
-        self.cut = re.compile("(?<=[\x21-\x7e])\x20")
+        self.cut = re.compile(f"(?<=[^\\t-\\r\\x20\\x85\\xa0{chr(SAFE)}-\U0010ffff])(?=\x20)").split
 
     def library(self, text: str) -> bytes:
         return np.array(self.counting.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def safe(self, text: str) -> bytes:
+    def looked_up(self, text: str) -> bytes:
         return b"".join(map(self.table.__getitem__, self.counting.words(text)))
 
     def of(self, text: str) -> bytes:
         if self.counting.plain(text):
-            return self.safe(text)
+            return self.looked_up(text)
         if not self.counting.by_words or any(s in text for s in self.counting.special):
             return self.library(text)
-        parts, done = [], 0  # only the stretches around characters that the table does not know go to the library
-        while (odd := self.unsafe.search(text, done)) is not None:
-            left = odd.start()
-            while left > done and not (text[left] == " " and "\x21" <= text[left - 1] <= "\x7e"):
-                left -= 1
-            right = self.cut.search(text, odd.end())
-            right = right.start() if right else len(text)
-            while (again := self.unsafe.search(text, right, right + 256)) is not None:  # close ones in one call
-                right = self.cut.search(text, again.end())
-                right = right.start() if right else len(text)
-            parts += [self.safe(text[done:left]), self.library(text[left:right])]
-            done = right
-        return b"".join([*parts, self.safe(text[done:])])
+        return b"".join([self.library(c) if self.counting.unsafe(c) else self.looked_up(c) for c in self.cut(text)])
 
 
 class Packer:
