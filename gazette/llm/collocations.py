@@ -3,7 +3,7 @@
 Each word of a piece starts a suffix, cut off after three words. The suffixes are parted by their first word; a word with
 more suffixes than the memory budget is parted further by its second one. Prefixes are dealt to groups of about that
 budget, and each group builds its part of the tree on its own: the leaves are the distinct suffixes with their counts, and
-what a phrase counts is the sum of the leaves below its node.
+what a phrase counts is the sum of the leaves below its node. Words that are too rare for any phrase cut suffixes short.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from gazette.llm.words import WORD_BYTES, Numbered, bytes_of, slices, strings
 
 LEAST, TOP, COVER = 10, 2_000, 50
 #: Suffixes of a group of prefixes, about, and prefixes that are parted further at most.
-BUDGET, PARTED = 1_000_000, 1_000_000
+BUDGET, PARTED = 400_000, 1_000_000
 #: Words of a suffix; words that a task counts at once; bits of a word's number in a suffix.
-DEPTH, POSITIONS, BITS = 3, 2_000_000, 21
+DEPTH, POSITIONS, BITS = 3, 1_000_000, 21
+#: Bits of the set of words that are frequent enough for a phrase, by a hash of theirs.
+FREQUENT_BITS = 1 << 26
 BREAK = b"."
 #: Upper case becomes lower case, marks and line ends part pieces, tab and blank part words; other bytes belong to words.
 PIECES = bytes(c + 32 if 0x41 <= c <= 0x5A else BREAK[0] if chr(c) in ".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c for c in range(256))
@@ -96,19 +98,40 @@ def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([repeated(lang, len(seen)), strings(table, seen), pa.array(counts[seen])], ["lang", "word", "n"])
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+def hashed(words: list[bytes], start: int = 0) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w, start) for w in words), np.uint64, len(words))
 
 
-def counted_suffixes(batches: Iterator[pa.RecordBatch], parted: dict[tuple[str, str], int], groups: int) -> Iterator[pa.RecordBatch]:
-    """The distinct suffixes of each buffer with their counts, and the group of prefixes that each belongs to."""
+def frequent_words(words: DataFrame, least: int, bits: int = FREQUENT_BITS) -> bytes:
+    """A set of the words with ``least`` occurrences as one bit each, of at most ``bits`` / 8 bytes whatever their number.
+
+    It may hold other words too, which costs time and never changes a count.
+    """
+    at = F.crc32(F.concat("lang", F.lit("\0"), "word")) % bits + 1
+    parts = words.filter(F.col("n") >= least).groupBy(F.bitmap_bucket_number(at).alias("part"))
+    out = np.zeros(-(-bits // 8), np.uint8)
+    for r in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
+        begin = (r["part"] - 1) * len(r["bits"])
+        out[begin:begin + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)[:len(out) - begin]
+    return out.tobytes()
+
+
+def counted_suffixes(batches: Iterator[pa.RecordBatch], frequent: bytes, parted: dict[tuple[str, str], int], groups: int) -> Iterator[pa.RecordBatch]:
+    """The distinct suffixes of each buffer with their counts, and the group of prefixes that each belongs to.
+
+    A word that is too rare for any phrase starts no suffix and ends those before it.
+    """
+    bits = np.frombuffer(frequent, np.uint8)
     mix = np.uint64(0x9E3779B97F4A7C15)
     for buffer in buffers(batches):
         names, table = list(buffer.words), buffer.words.array()
         code = np.append(np.uint64(0), hashed(names))
         for lang, ids, at in buffer.starts():
-            second = ids[at + 1]
-            third = np.where(second > 0, ids[at + 2], 0)
+            where = hashed(names, zlib.crc32(lang.encode() + b"\0")) % np.uint64(8 * len(bits))
+            often = np.append(False, bits[where >> np.uint64(3)] >> (where & np.uint64(7)) & np.uint64(1) > 0)
+            at = at[often[ids[at]]]
+            second = np.where(often[ids[at + 1]], ids[at + 1], 0)
+            third = np.where((second > 0) & often[ids[at + 2]], ids[at + 2], 0)
             keys, n = np.unique(ids[at] << 2 * BITS | second << BITS | third, return_counts=True)
             w1, w2, w3 = keys >> 2 * BITS, keys >> BITS & ((1 << BITS) - 1), keys & ((1 << BITS) - 1)
             further = np.zeros(len(table), bool)
@@ -204,7 +227,9 @@ def collocations(documents: DataFrame, least: int = LEAST, top: int = TOP, cover
     parted = {(r["lang"], r["word"]): r["n"] for r in words.filter(F.col("n") > limit).collect()}
     shared = spark.sparkContext.broadcast(parted)
 
-    suffixes = texts.mapInArrow(lambda batches: counted_suffixes(batches, shared.value, groups), SUFFIXES)
+    frequent = spark.sparkContext.broadcast(frequent_words(words, least))
+
+    suffixes = texts.mapInArrow(lambda batches: counted_suffixes(batches, frequent.value, shared.value, groups), SUFFIXES)
     suffixes = suffixes.repartition(F.col("group")).sortWithinPartitions("group")
     nodes = stored(suffixes.mapInArrow(lambda batches: subtrees(batches, shared.value, least), NODES), "collocation-nodes")
 

@@ -198,12 +198,12 @@ def test_collocations_against_the_plain_version(spark, budget, top):
     assert sorted(tuple(r) for r in got) == plain_collocations(rows, top=top)
 
 
-def suffix_counts(rows, parted=(), groups=5):
+def suffix_counts(rows, parted=(), groups=5, frequent=b"\xff"):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_pydict({"lang": [r[2] or "und" for r in rows], "text": [r[1] or "" for r in rows]})
     out = Counter()
-    for b in collocations.counted_suffixes([batch], dict(parted), groups):
+    for b in collocations.counted_suffixes([batch], frequent, dict(parted), groups):
         for lang, group, *w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
             assert 0 <= group < groups
             out[(lang, *w)] += n
@@ -220,6 +220,18 @@ def test_buffers_that_end_anywhere_count_the_same(monkeypatch):
         assert suffix_counts(rows, {("en", "one"): 9, ("en", "the"): 9}) == want
 
 
+def test_the_set_of_frequent_words_holds_them_all(spark):
+    rows = [("en", f"w{i}é", i % 13) for i in range(500)] + [("", "w1é", 20), ("fr", "w2é", 20)]
+    words_ = spark.createDataFrame(rows, "lang string, word string, n long")
+    for bits in (1 << 26, 1 << 16, 4096, 64):
+        held = np.frombuffer(collocations.frequent_words(words_, 10, bits), np.uint8)
+        assert len(held) * 8 == bits
+        bit = lambda lang, word: held[(at := zlib.crc32(f"{lang}\0{word}".encode()) % bits) >> 3] >> (at & 7) & 1
+        assert all(bit(lang, w) for lang, w, n in rows if n >= 10)
+        if bits == 1 << 26:
+            assert not any(bit(lang, w) for lang, w, n in rows if n < 10)
+
+
 def test_groups_are_merged_beyond_the_budget(monkeypatch):
     import pyarrow as pa
 
