@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazette.constants import MIN_CONTENT_CHARS
 from gazette.functions.text import strip
 
 # Entities that occur in running text; the ampersand is last so that nothing is decoded twice.
@@ -20,12 +19,6 @@ ENTITIES = [
 ]
 
 
-#: Meta tags that name authors, and links or elements that hold their names.
-META_AUTHOR = r"""(?i)<meta\b[^>]*\b(?:name|property|itemprop)\s*=\s*["']?(?:author|article:author|dc[.]creator|byl)["'\s/>][^>]*>?"""
-BYLINE = (
-    r"""(?is)<(a|span|div|p|address|strong|li)\b[^>]*\b(?:rel|itemprop|class)\s*=\s*"""
-    r"""(?:["'](?:[^"']*\s)?|)(?:author|byline|author-name|byline-name)(?=["'\s>])[^>]*>(.*?)</\1>"""
-)
 #: An entity, or the start of one, that is none of the fixed ones.
 OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|nbsp|middot|copy|amp);)(?:#[0-9xX]|[a-zA-Z])"
 
@@ -59,47 +52,18 @@ def page_title(html: Column) -> Column:
 
 
 def article_element_text(html: Column) -> Column:
-    """First extractor: the text of the article element."""
+    """The text of the first article element."""
     return visible_text(F.regexp_extract(html, r"(?is)<article[^>]*>(.*?)</article>", 1), html)
 
 
 def body_text(html: Column) -> Column:
-    """Second extractor: the body without navigation, scripts, styles and footer."""
+    """The body without navigation, scripts, styles and footer."""
     body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
     for tag in ("script", "style", "nav", "header", "aside", "footer"):
         body = F.regexp_replace(body, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
     return visible_text(body, html)
 
 
-def article_content(html: Column) -> Column:
-    """The first extractor result that is long enough, null when neither is. The second one runs only if needed."""
-    def long_enough(text: Column) -> Column:
-        # A one-element array binds the text, so that it is extracted once.
-        return F.get(F.filter(F.array(text), lambda t: F.length(t) >= MIN_CONTENT_CHARS), F.lit(0))
-
-    return F.coalesce(long_enough(article_element_text(html)), long_enough(body_text(html)))
-
-
-def page_authors(html: Column) -> Column:
-    """The authors that a page names, in order and once each: meta tags; without any, its author links and bylines.
-
-    Lists of names are split, a leading ``By`` is dropped, links are no names. A page without authors gives an empty list.
-    """
-    gap = "\x1e"
-
-    def named(found: Column) -> Column:
-        text = visible_text(F.array_join(found, gap), html)
-        names = F.split(text, rf"(?i){gap}|[,;|]|\s(?:and|&)\s")
-        names = F.transform(names, lambda n: strip(F.regexp_replace(strip(n), r"(?i)^(?:written\s+)?by\b:?\s*", "")))
-        return F.array_distinct(F.filter(names, lambda n: (n != "") & ~n.rlike(r"(?i)^(?:https?:|www[.])")))
-
-    tags = F.regexp_extract_all(html, F.lit(META_AUTHOR), F.lit(0))
-    content = r"""(?is)\bcontent\s*=\s*(["'])(.*?)\1"""
-    meta = named(F.transform(tags, lambda t: F.regexp_extract(t, content, 2)))
-    lines = named(F.regexp_extract_all(html, F.lit(BYLINE), F.lit(2)))
-    return F.coalesce(F.when(F.size(meta) > 0, meta), F.when(F.size(lines) > 0, lines), F.array().cast("array<string>"))
-
-
 @F.pandas_udf(T.StringType())
 def _join_reference(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or r is None else urljoin(b, r) for b, r in zip(base, ref)])

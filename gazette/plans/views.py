@@ -240,6 +240,7 @@ def strip_sql(text: str) -> str:
 def decode_sql(text: str) -> str:
     from gazette.functions.html import ENTITIES
 
+    text = f"regexp_replace({text}, '&amp([^;]|$)', '&amp;\\1', 'g')"  # titles are cut anywhere
     for entity, char in ENTITIES:
         text = "replace({}, '{}', '{}')".format(text, entity.replace("'", "''"), char.replace("'", "''"))
     return text
@@ -252,6 +253,49 @@ def visible_sql(markup: str) -> str:
 
 PAGE_TITLE_SQL = visible_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
 
+
+
+def page_content_sql(pages: str) -> str:
+    """page_content: the article text of each page, from the depth of elements at each ``<``."""
+    def depth(*tags: str) -> str:
+        opens, closes = (", ".join(f"'{slash}{t}'" for t in tags) for slash in ("", "/"))
+        return f"sum((tag in ({opens}))::int - (tag in ({closes}))::int) over (partition by page_id order by i)"
+
+    def joined(where: str) -> str:
+        return visible_sql(f"coalesce(string_agg(txt, ' ' order by i) filter ({where}), '')")
+
+    return f"""
+page_tokens as (
+  select page_id, i, regexp_extract(part, '^/?[a-zA-Z][a-zA-Z0-9]*') as tag,
+         case when i = 1 then part when contains(part, '>') then substr(part, strpos(part, '>') + 1) else '' end as txt
+  from (select page_id, unnest(string_split(html, '<')) as part, generate_subscripts(string_split(html, '<'), 1) as i from {pages})),
+page_depths as (
+  select page_id, i, txt, {depth('article')} as articles, {depth('head', 'nav', 'footer')} as around, {depth('span')} as byline from page_tokens),
+page_texts as (
+  select page_id, {joined('articles = 1 and byline = 0')} as main, {joined('around = 0 and byline = 0')} as every
+  from page_depths group by page_id),
+page_content as (
+  select page_id, case when length(main) >= 100 then main else every end as content
+  from page_texts where length(main) >= 100 or length(every) >= 100)"""
+
+
+#: Pages with a byline, an image and, on each third one, a teaser in an article element of its own inside the article.
+RICH_PAGES_SQL = """
+rich_pages as (
+  select page_id, url, replace(html, '</h1>', concat(
+      '</h1><span class="byline">By Ann P', cast(page_id % 7 as varchar), ' and Bo Q</span><img src="/i/', cast(page_id as varchar), '.jpg">',
+      case when page_id % 3 = 0 then '<article class="box"><a href="/x">More news of this kind for all of our readers</a></article>' else '' end)) as html
+  from pages)"""
+
+
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.col("page_id")
+    teaser = F.when(page % 3 == 0, F.lit('<article class="box"><a href="/x">More news of this kind for all of our readers</a></article>')).otherwise("")
+    added = F.concat(
+        F.lit('</h1><span class="byline">By Ann P'), (page % 7).cast("string"), F.lit(' and Bo Q</span><img src="/i/'), page.cast("string"), F.lit('.jpg">'), teaser)
+    return load(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("</h1>"), added).alias("html"))
+
+
 FEED_SQL = f"""
 feed_items as (
   select regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) as feed,

@@ -107,15 +107,6 @@ def test_resolve_image(spark, page, expected):
     assert one(spark, lambda v: html.resolve_image(v, F.lit("http://h.com/")), page) == expected
 
 
-def test_article_content_cascade(spark):
-    long_text = "word " * 30
-    first = f"<body><nav>menu</nav><article><p>{long_text}</p></article></body>"
-    second = f"<body><nav>menu</nav><article>short</article><div>{long_text}&amp; more</div><script>x</script></body>"
-    assert one(spark, html.article_content, first) == long_text.strip()
-    assert one(spark, html.article_content, second) == f"short {long_text}& more"
-    assert one(spark, html.article_content, "<body><article>short</article></body>") is None
-
-
 @pytest.mark.parametrize("value, expected", [
     ("Caf&eacute; &#8217;s &#x2019;t &hellip; &amp;eacute; &lt;b&gt;", "Café ’s ’t … &eacute; <b>"), ("a &amp;lt; b", "a &lt; b"),
     ("AT&T &nbsp;R&D &rarr; x", "AT&T  R&D → x"), ("no entity", "no entity"),
@@ -124,17 +115,6 @@ def test_entities(spark, value, expected):
     assert one(spark, html.decode_entities, value) == expected
 
 
-@pytest.mark.parametrize("page, expected", [
-    ('<meta name="author" content="Ren&eacute;e O\'Hara"><a rel="author">x</a>', ["Renée O'Hara"]),
-    ("<META content='A B and C D' property='article:author'/>", ["A B", "C D"]),
-    ('<p class="small byline">By <a href="/x">Ann Lee</a>, Bo Li</p>', ["Ann Lee", "Bo Li"]),
-    ('<meta property="article:author" content="https://f.com/x"><a rel="author" href="/a">Jo</a><a rel=author>Jo</a>', ["Jo"]),
-    ('<meta name="author" content=""><p>By nobody</p>', []), ("", []),
-])
-def test_page_authors(spark, page, expected):
-    assert one(spark, html.page_authors, page) == expected
-
-
 @pytest.mark.parametrize("value, payload", [
     ('```json\n{"a": 1}\n```', '{"a": 1}'), ('```\n[1]\n```', "[1]"), ('Sure: {"a": {"b": 2}} Thanks', '{"a": {"b": 2}}'),
     ("{broken [1, 2]", "[1, 2]"), ("[[{{[{]} {\"a\": \"}\"}] x", '{"a": "}"}'), ('{"a": [1]} {"b": 2}', '{"a": [1]}'), ('{"a": 1}] {}', '{"a": 1}'),
