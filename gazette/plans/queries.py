@@ -956,32 +956,20 @@ def _(spark, sf):
     )
 
 
-@register("ingest_stream")
-def _(spark, sf):
-    """Every page as a feed item through the whole run; the result is what the run stored."""
-    from datetime import datetime
-
-    pages = _stream(spark, sf, "pages")
-    items = _feed_batch(pages)
-    path, box = scratch_path(spark, "articles"), scratch_path(spark, "outbox")
-    run = stream_ingest.Run(path, box, _echo, lambda: datetime(2024, 1, 2))
-    stream_ingest.ingest_stream(items, run, scratch_path(spark, "ingest-log")).awaitTermination()
+@register("ingest_stream", " union all ".join(f"select * exclude (stored_key) from saved_{t}" for t in range(v.TICKS)), v.tick_sql())
+def _(spark, sf):
+    """Feed files of three ticks through the whole run, each when it lands; the result is what the runs stored."""
+    from datetime import datetime, timedelta
+
+    items, pages, sources = v.tick_tables(spark, sf)
+    landed, page_folder, log = scratch_path(spark, "feeds"), scratch_path(spark, "pages"), scratch_path(spark, "ingest-log")
+    pages.write.parquet(page_folder)
+    path, box, stats = scratch_path(spark, "articles"), scratch_path(spark, "outbox"), scratch_path(spark, "ingest-stats")
+    for tick in range(v.TICKS):
+        now = datetime.fromisoformat(v.TICK_BASE) + timedelta(hours=v.TICK_HOURS * tick)
+        files = items.filter(F.col("tick") == tick).drop("tick", "page_id").repartition("feed").sortWithinPartitions("feed", "position")
+        feeds.write_feed(files, landed, mode="append")
+        run = stream_ingest.Run(path, box, _echo, lambda now=now: now, stats)
+        stream = feeds.feed_stream(spark, landed, files_per_trigger=1_000_000)
+        stream_ingest.ingest_feed_stream(stream, sources, page_folder, run, log).awaitTermination()
     return stream_ingest.stored_articles(spark, path).drop("out_pos")
-
-
-def _feed_batch(pages: DataFrame) -> DataFrame:
-    html, url = F.col("html"), F.col("url")
-    domain = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+[.]([^./?#]+)", 1)
-    language = F.when(domain == "net", "odia").when(domain == "org", "bengali").otherwise("english")
-    return ingest.html_article(pages).select(
-        F.col("page_id").alias("pos"),
-        "url",
-        F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]+)", 1).alias("source_name"),
-        fh.page_title(html).alias("original_title"),
-        F.col("content").alias("original_content"),
-        "image_url",
-        "authors",
-        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-         + F.make_dt_interval(F.lit(0), F.lit(0), F.col("page_id").cast("int"))).alias("publish_date"),
-        language.alias("language"),
-    )

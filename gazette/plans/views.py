@@ -353,6 +353,86 @@ FEED_MATCH_SQL = """(domain = 'net'
    or domain = 'org' and (regexp_matches(link, '/de/', 'i') or contains(lower(link), '?utm_source=(')))"""
 
 
+# --- feed files and pages of three ticks ----------------------------------------------------------------------
+
+TICKS, TICK_HOURS = 3, 16
+TICK_BASE = "2024-01-10 00:00:00"
+#: One item per page. Some links repeat those of another tick, pairs of pages share a title, and dates are old or unreadable.
+TICK_ITEMS = """
+select page_id, page_id % 3 as tick, concat('f', cast(page_id div 30 as string)) as feed, page_id as position,
+       concat('https://news.example.com/', element_at(array('india', 'sport', 'city', 'film'), cast(other % 4 as int) + 1), '/', cast(other as string)) as link,
+       case when page_id % 17 = 8 then ' ' else concat('Report ', md5(cast(page_id div 2 as string))) end as title,
+       case when page_id % 8 = 6 then 'soon' when page_id % 2 = 0 then date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'") end as published,
+       case when page_id % 8 = 6 then '' when page_id % 2 = 1 then concat('Mon, ', date_format(at, 'dd MMM yyyy HH:mm:ss'), ' +0530') end as pubDate
+from (select page_id, case when page_id % 10 = 9 then page_id - 4 else page_id end as other,
+             timestamp_ntz '{base}' + make_dt_interval(case when page_id % 9 = 4 then -5 else 0 end, -(page_id % 24)) as at from pages)
+"""
+#: Landed pages: some never land, some are too short, some landed before in a shorter form.
+TICK_PAGES = """
+select concat('https://news.example.com/', element_at(array('india', 'sport', 'city', 'film'), cast(page_id % 4 as int) + 1), '/', cast(page_id as string)) as url,
+       case when version = 0 or page_id % 11 = 3 then '<p>short</p>' else html end as html,
+       timestamp_ntz '{base}' + make_dt_interval(0, version) as fetched_at
+from (select page_id, html, explode(case when page_id % 7 = 2 then array(0, 1) else array(1) end) as version from rich_pages) where page_id % 13 <> 5
+"""
+TICK_SOURCES = """
+select feed as key, element_at(array('english', 'odia', 'bengali'), number % 3 + 1) as language, number div 3 as position,
+       concat('Source ', cast(number as string)) as source_name,
+       case number % 3 when 0 then array('/INDIA/', '/sport/') when 1 then array() else array('sport', 'city', 'film') end as url_patterns
+from (select distinct concat('f', cast(page_id div 30 as string)) as feed, cast(page_id div 30 as int) as number from pages)
+"""
+
+
+def tick_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Feed items, landed pages and sources of the ticks."""
+    rich = rich_pages(spark, sf_dir)
+    items, pages, sources = (text.replace("{base}", TICK_BASE) for text in (TICK_ITEMS, TICK_PAGES, TICK_SOURCES))
+    return (
+        spark.sql(items.replace("from pages)", "from {pages})"), pages=rich), spark.sql(pages.replace("from rich_pages)", "from {pages})"), pages=rich),
+        spark.sql(sources.replace("from pages)", "from {pages})"), pages=rich),
+    )
+
+
+def tick_sql() -> list[str]:
+    """The stored articles after each tick, one run after the other. Titles of two items are equal or far from similar."""
+    section = "(['india', 'sport', 'city', 'film'])[{0} % 4 + 1]"
+    link = f"concat('https://news.example.com/', {section}, '/', cast({{0}} as varchar))"
+    out = [RICH_PAGES_SQL, page_content_sql("rich_pages"), f"""
+tick_items as (
+  select page_id, page_id % 3 as tick, page_id // 30 as number, {link.format('other')} as link, other,
+         concat('Report ', md5(cast(page_id // 2 as varchar))) as title,
+         case when page_id % 8 <> 6 then timestamp '{TICK_BASE}' - to_days(case when page_id % 9 = 4 then 5 else 0 end) - to_hours(page_id % 24)
+              - to_minutes(case when page_id % 2 = 1 then 330 else 0 end) end as published
+  from (select page_id, case when page_id % 10 = 9 then page_id - 4 else page_id end as other from pages) where page_id % 17 <> 8),
+tick_valid as (
+  select i.*, c.content, (['english', 'odia', 'bengali'])[number % 3 + 1] as language, concat('https://news.example.com/i/', cast(other as varchar), '.jpg') as image_url,
+         concat('Ann P', cast(other % 7 as varchar), ', Bo Q') as author
+  from tick_items i join page_content c on c.page_id = i.other
+  where other % 13 <> 5 and other % 11 <> 3
+    and (number % 3 = 1 or number % 3 = 0 and other % 4 in (0, 1) or number % 3 = 2 and other % 4 in (1, 2, 3))
+  qualify row_number() over (partition by tick, number order by i.page_id) <= 5),
+stored_0 as (select null::varchar as url, null::varchar as stored_key, null::timestamp as created_at where false)"""]
+    for t in range(TICKS):
+        now = f"(timestamp '{TICK_BASE}' + to_hours({TICK_HOURS * t}))"
+        out.append(f"""
+open_{t} as (
+  select *, row_number() over (partition by language order by number // 3, page_id) as pos
+  from (select * from tick_valid where tick = {t} and coalesce(published, {now}) >= {now} - interval 2 day
+        qualify row_number() over (partition by link order by language, number // 3, page_id) = 1)
+  where link not in (select url from stored_{t}) and title not in (select stored_key from stored_{t} where created_at >= {now} - interval 24 hour)),
+first_{t} as (select * exclude (pos) from open_{t} qualify row_number() over (partition by title order by language, pos) = 1),
+batched_{t} as (
+  select *, count(*) over (partition by language, batch_no) as n, row_number() over (partition by language, batch_no order by number // 3, page_id) as nth
+  from (select *, (row_number() over (partition by language order by number // 3, page_id) - 1) // 5 as batch_no from first_{t})),
+saved_{t} as (
+  select sha256(link) as id, concat('Source ', cast(number as varchar)) as source_name, link as source_url, title as stored_key,
+         case when answered then concat('New: ', title) else title end as title, author, image_url,
+         case when answered then cast(length(content) as varchar) else content end as content, 'General' as category, language,
+         coalesce(published, {now}) as published_at, {now} as created_at, cast({now} as date) as created_date, {t}::bigint as run_id
+  from (select *, nth > 1 and not (language <> 'english' and n = 4) as answered from batched_{t})),
+stored_{t + 1} as (select * from stored_{t} union all select source_url, stored_key, created_at from saved_{t})""")
+    return out
+
+
 # --- scraped batch and model answers --------------------------------------------------------------------------
 
 SCRAPED_SQL = """

@@ -49,7 +49,7 @@ def union_sources(*feeds: DataFrame) -> DataFrame:
     return out
 
 
-def write_feed(items: DataFrame, path: str) -> None:
-    """Write items as RSS-like XML files, one folder per feed."""
+def write_feed(items: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write items as RSS-like XML files, one folder per feed; with ``append`` they land beside earlier ones."""
     for_xml = items.withColumn("title", strip(F.col("title")))
-    for_xml.write.format("xml").option("rootTag", "channel").option("rowTag", "item").partitionBy("feed").save(path)
+    for_xml.write.format("xml").option("rootTag", "channel").option("rowTag", "item").partitionBy("feed").mode(mode).save(path)

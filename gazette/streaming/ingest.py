@@ -1,4 +1,4 @@
-"""The ingest run as a stream: landed items in, new article rows and outbox rows out."""
+"""The ingest run as a stream: landed feed files or scraped items in, new article rows and outbox rows out."""
 
 from __future__ import annotations
 
@@ -13,11 +13,16 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gazette import schemas
-from gazette.constants import MAX_ARTICLE_AGE_DAYS
+from gazette.constants import MAX_ARTICLE_AGE_DAYS, MAX_ITEMS_PER_FEED
+from gazette.functions.dates import parse_publish_date
+from gazette.functions.text import strip
 from gazette.operators.dedupe import dedupe_articles
 from gazette.operators.enrich import Ask, answers_of, ask_with_retry, batch_of_5, summary_merge
-from gazette.operators.ingest import filter_by_date, ingest_insert
+from gazette.operators.ingest import (
+    feed_row_validity, feed_take_n, feed_url_filter, filter_by_date, html_article, ingest_insert, ingest_stats, source_join,
+)
 from gazette.operators.notifications import last_saved, notification_outbox
+from gazette.operators.ranking import first_per_group, ordered_index
 from gazette.session import cut_lineage
 
 STORED = T.StructType([
@@ -34,12 +39,13 @@ STORED = T.StructType([
 
 @dataclass
 class Run:
-    """Folders of a stream, the model callable, and the clock (UTC, per run)."""
+    """Folders of a stream, the model callable, and the clock (UTC, per run). Numbers of each run go to ``stats``."""
 
     articles: str
     outbox: str
     ask: Ask
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc).replace(tzinfo=None)
+    stats: str | None = None
 
 
 def stored_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -86,6 +92,61 @@ def run_once(run: Run, scraped: DataFrame, run_id: int) -> None:
     box = notification_outbox(runs, last_saved(saved, ["run_id", "language"], "out_pos"), ["run_id", "language"])
     # One folder per run: a repeated run replaces its own rows.
     box.drop("run_id").write.mode("overwrite").parquet(f"{run.outbox.rstrip('/')}/run_id={run_id}")
+    if run.stats:
+        placed = rows.withColumn("source_position", F.col("pos"))
+        numbers = ingest_stats(placed, saved.select("language"), ["language"])
+        numbers.write.mode("overwrite").parquet(f"{run.stats.rstrip('/')}/run_id={run_id}")
+
+
+def landed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(url, html, fetched_at) of the pages that have landed so far."""
+    return spark.read.schema("url string, html string, fetched_at timestamp_ntz").parquet(path)
+
+
+def scraped_items(items: DataFrame, sources: DataFrame, pages: DataFrame, as_of: Column, take: int = MAX_ITEMS_PER_FEED) -> DataFrame:
+    """The items of landed feed files as scraped rows: each with its source and page, the first ``take`` valid ones of a file.
+
+    ``items`` comes from ``feed_scan`` or ``feed_stream``, ``sources`` has key, language, position, source_name and
+    url_patterns. A file is one look at a feed. Items without a position stand in the order of the file. Of several
+    pages with the link's URL the newest counts; an item whose page has not landed, or holds too little text, is skipped.
+    """
+    numbered = items.withColumn("position", F.coalesce("position", F.monotonically_increasing_id()))
+    dim = sources.select(F.col("key").alias("feed"), "language", F.col("position").alias("source_position"), "source_name", "url_patterns")
+    wanted = feed_url_filter(source_join(numbered, dim)).filter((F.col("link") != "") & (strip(F.col("title")) != ""))
+    wanted = cut_lineage(wanted.select(
+        "file", "position", "link", strip(F.col("title")).alias("title"), "language", "source_position", "source_name",
+        parse_publish_date("published", "updated", "created", "pubDate", as_of=as_of).alias("publish_date"),
+    ))
+    links = wanted.select(F.col("link").alias("url")).distinct()
+    newest = first_per_group(pages.join(links, "url", "left_semi"), ["url"], [F.desc("fetched_at"), F.col("html")])
+    read = html_article(newest.select("url", "html")).drop("html", "page_date")
+    valid = feed_row_validity(wanted.join(read.withColumnRenamed("url", "link"), "link"), "link")
+    first = feed_take_n(valid, take, feed="file")
+    placed = ordered_index(first, [F.col(c) for c in ("language", "source_position", "file", "position", "link")], name="pos")
+    return placed.select(
+        "pos", F.col("link").alias("url"), "source_name", F.col("title").alias("original_title"), strip(F.col("content")).alias("original_content"),
+        "image_url", "authors", "publish_date", "language",
+    )
+
+
+def run_feeds(run: Run, items: DataFrame, sources: DataFrame, pages: str, run_id: int, take: int = MAX_ITEMS_PER_FEED) -> None:
+    """One run over the feed files of a micro-batch, from the items to the outbox."""
+    spark = items.sparkSession
+    as_of = F.lit(run.clock()).cast("timestamp_ntz")
+    run_once(run, scraped_items(items, sources, landed_pages(spark, pages), as_of, take), run_id)
+
+
+def ingest_feed_stream(items: DataFrame, sources: DataFrame, pages: str, run: Run, checkpoint: str, take: int = MAX_ITEMS_PER_FEED) -> StreamingQuery:
+    """Start the stream over all feed files that have landed (``feed_stream``); it stops when they are done.
+
+    ``pages`` is the folder in which fetched pages land; each run reads the ones that its links name.
+    """
+    return (
+        items.writeStream.foreachBatch(lambda batch, run_id: run_feeds(run, batch, sources, pages, run_id, take))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def ingest_stream(scraped: DataFrame, run: Run, checkpoint: str) -> StreamingQuery:

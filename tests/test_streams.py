@@ -89,3 +89,58 @@ def test_url_dedupe_in_the_stream(spark, tmp_path):
     query = ingest.stream_url_dedupe(items).writeStream.format("memory").queryName("urls").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.url for r in spark.table("urls").collect()) == ["a", "b"]
+
+
+FEEDS = [("english", "a", "Paper A", "", "", ["/india/"]), ("odia", "b", "Paper B", "", "", [])]
+WORDS = ["river", "budget", "cricket", "school", "harvest", "festival", "railway", "market", "temple", "cinema"]
+
+
+def feed_file(folder, feed, tick, items):
+    """A feed as servers write it: no positions, other elements, entities."""
+    path = folder / f"feed={feed}"
+    path.mkdir(parents=True, exist_ok=True)
+    body = "".join(f"<item><guid>x</guid><title> {title} </title><link>{link}</link><pubDate>{date}</pubDate></item>" for link, title, date in items)
+    (path / f"{tick}.xml").write_text(f'<?xml version="1.0"?><rss><channel><title>Feed</title>{body}</channel></rss>')
+
+
+def test_feed_files_go_through_the_whole_run(spark, tmp_path):
+    from gazette.sources import dimensions, feeds
+
+    story = "A sentence of the story that is long enough. " * 4
+    page = lambda text, at=T0: (f"<p class=byline>By Ann</p><article>{text}<img src=/i.png></article>", at)
+    urls = {f"http://h.com/india/{w}": page(f"{w} {story}") for w in WORDS}
+    urls["http://h.com/india/short"] = page("short")
+    rows = [(u, *p) for u, p in urls.items()] + [("http://h.com/india/river", "<p>older</p>", T0 - timedelta(1))]
+    rows += [(f"http://h.com/{w}", *page(story)) for w in WORDS]
+    spark.createDataFrame(rows, "url string, html string, fetched_at timestamp_ntz").write.parquet(str(tmp_path / "pages"))
+    new, old = "Fri, 01 Mar 2024 00:00:00 +0000", "Mon, 26 Feb 2024 00:00:00 +0000"
+    india = lambda w, title=None, date=new: (f"http://h.com/india/{w}", title or f"{w} {w}s {w}ing", date)
+    sources = dimensions.with_usable_patterns(spark, FEEDS)
+    log, landed = str(tmp_path / "log"), tmp_path / "feeds"
+
+    def go(hours):
+        run = ingest.Run(str(tmp_path / "art"), str(tmp_path / "box"), model(), lambda: T0 + timedelta(hours=hours), str(tmp_path / "stats"))
+        stream = feeds.feed_stream(spark, str(landed))
+        ingest.ingest_feed_stream(stream, sources, str(tmp_path / "pages"), run, log).awaitTermination()
+        return {(r.source_url.rsplit("/", 1)[1], r.language, r.run_id) for r in ingest.stored_articles(spark, run.articles).collect()}
+
+    # No pattern, no title, no page and too little text take no place; of the five valid ones one is old, one a repeated URL, one a similar title.
+    feed_file(landed, "a", 0, [
+        ("http://h.com/river", "Elsewhere", new), india("river", " "), india("nowhere"), india("short"), india("river"), india("budget", date=old),
+        india("river", "Other words"), india("cricket"), india("school", "Cricket crickets cricketing today"), india("harvest")])
+    feed_file(landed, "b", 0, [("http://h.com/market", "Odia &amp; market news", "no date")])
+    first = go(1)
+    assert first == {("river", "english", 0), ("cricket", "english", 0), ("market", "odia", 0)}
+    stored = spark.read.parquet(str(tmp_path / "art")).orderBy("source_url").collect()
+    assert [(r.title, r.author, r.image_url, r.source_name) for r in stored] == [
+        ("T cricket crickets cricketing", "Ann", "http://h.com/i.png", "Paper A"), ("T river rivers rivering", "Ann", "http://h.com/i.png", "Paper A"),
+        ("T Odia & market news", "Ann", "http://h.com/i.png", "Paper B")]
+    # Twenty hours later the titles are still known, thirty hours later only the URLs are.
+    feed_file(landed, "a", 1, [india("river"), india("festival", "River rivers rivering"), india("railway")])
+    assert go(21) - first == {("railway", "english", 1)}
+    feed_file(landed, "a", 2, [india("river"), india("festival", "River rivers rivering"), india("temple", "railway railways railwaying now")])
+    assert {x for x in go(31) if x[2] == 2} == {("festival", "english", 2)}
+    stats = {(r.run_id, r.language): (r.sources, r.scraped_articles, r.saved_articles) for r in spark.read.parquet(str(tmp_path / "stats")).collect()}
+    assert stats == {(0, "english"): ("Paper A", 5, 2), (0, "odia"): ("Paper B", 1, 1), (1, "english"): ("Paper A", 3, 1), (2, "english"): ("Paper A", 3, 1)}
+    box = spark.read.parquet(str(tmp_path / "box"))
+    assert {(r.run_id, r.language, r.status) for r in box.collect()} == {(0, "english", "ready"), (0, "odia", "ready"), (1, "english", "ready"), (2, "english", "ready")}
