@@ -19,7 +19,7 @@ from gazette.schemas import ARTICLE_COLS
 from gazette.session import cut_lineage, scratch_path
 from gazette.sources import dimensions, feeds, tables
 from gazette.streaming import ingest as stream_ingest
-from gazette.streaming import rates
+from gazette.streaming import rates, titles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -630,10 +630,21 @@ def _(spark, sf):
 
 @register("stream_title_lookback", """
 select distinct trim(regexp_replace(lower(title), '[\\s\\x1c-\\x1f\\x{85}\\p{Z}\\x0b]+', ' ', 'g')) as norm
-from stored, clock where created_at >= as_of - interval 24 hour and trim(title) <> ''
+from stored, (select max(created_at) as newest from stored) where created_at >= newest - interval 24 hour and trim(title) <> ''
 """, [A, v.FEED_SQL, STORED_SQL])
 def _(spark, sf):
-    return dedupe.recent_titles(_stored(spark, sf), v.clock(v.articles(spark, sf)))
+    """The stored titles as a stream of three batches by time; the titles of the first are forgotten on the way."""
+    stored = cut_lineage(_stored(spark, sf).select("title", "created_at"))
+    first, last = stored.agg(F.min("created_at"), F.max("created_at")).first()
+    landed, changes = scratch_path(spark, "stored-titles"), scratch_path(spark, "title-changes")
+    third = (last - first) / 3
+    for part in range(3):
+        since, until = F.col("created_at") >= first + part * third, F.col("created_at") < first + (part + 1) * third
+        rows = stored.filter(since & (until if part < 2 else F.lit(True)))
+        rows.coalesce(1).write.mode("append").parquet(landed)
+    articles = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    titles.start_title_memory(articles, changes, scratch_path(spark, "title-log")).awaitTermination()
+    return titles.remembered_titles(spark, changes)
 
 
 # --- state ----------------------------------------------------------------------------------------------------
@@ -950,10 +961,18 @@ def _(spark, sf):
 select id, published_at from articles, clock where published_at >= as_of - interval 2 day
 """, [A])
 def _(spark, sf):
-    articles = v.articles(spark, sf)
-    return stream_ingest.stream_late_drop(
-        articles.select("id", "published_at"), v.clock(articles), date="published_at"
+    articles = cut_lineage(v.articles(spark, sf).select("id", "created_at", "published_at"))
+    landed, path = scratch_path(spark, "dated"), scratch_path(spark, "recent")
+    rows = articles.select("id", "published_at")
+    rows.write.parquet(landed)
+    items = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(landed)
+    recent = stream_ingest.stream_late_drop(items, v.clock(articles), date="published_at")
+    query = (
+        recent.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, "recent-log"))
+        .trigger(availableNow=True).start()
     )
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @register("ingest_stream", " union all ".join(f"select * exclude (stored_key) from saved_{t}" for t in range(v.TICKS)), v.tick_sql())

@@ -144,3 +144,30 @@ def test_feed_files_go_through_the_whole_run(spark, tmp_path):
     assert stats == {(0, "english"): ("Paper A", 5, 2), (0, "odia"): ("Paper B", 1, 1), (1, "english"): ("Paper A", 3, 1), (2, "english"): ("Paper A", 3, 1)}
     box = spark.read.parquet(str(tmp_path / "box"))
     assert {(r.run_id, r.language, r.status) for r in box.collect()} == {(0, "english", "ready"), (0, "odia", "ready"), (1, "english", "ready"), (2, "english", "ready")}
+
+
+def test_titles_are_remembered_for_a_day_from_their_newest_article(spark, tmp_path):
+    from gazette.streaming import titles
+
+    landed, changes, log = (str(tmp_path / x) for x in ("in", "changes", "log"))
+    schema = "title string, created_at timestamp_ntz"
+    micro = timedelta(microseconds=1)
+
+    def go(*rows):
+        spark.createDataFrame([(t, T0 + h) for t, h in rows], schema).coalesce(1).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(schema).parquet(landed)
+        titles.start_title_memory(stream, changes, log).awaitTermination()
+        return sorted(r.norm for r in titles.remembered_titles(spark, changes).collect())
+
+    hour = timedelta(hours=1)
+    assert go(("Floods  in the NORTH", 0 * hour), ("floods in the north", 0 * hour), (" ", hour), (None, hour), ("cup final", hour), ("budget", 2 * hour)) == [
+        "budget", "cup final", "floods in the north"]
+    # At the 24th hour exactly a title is still known; a newer article keeps its title longer.
+    assert go(("cup final", 5 * hour), ("rain", 24 * hour)) == ["budget", "cup final", "floods in the north", "rain"]
+    assert go(("sun", 24 * hour + micro * 1000)) == ["budget", "cup final", "rain", "sun"]
+    # An article beyond the look-back is late; a forgotten title may come again.
+    assert go(("late", -1 * hour), ("snow", 28 * hour)) == ["cup final", "rain", "snow", "sun"]
+    assert go(("Budget", 60 * hour)) == ["budget"]
+    rows = [tuple(r) for r in spark.read.parquet(changes).groupBy("norm").sum("change").collect()]
+    assert dict(rows)["budget"] == 1 and "late" not in dict(rows) and set(dict(rows).values()) == {0, 1}
+    assert spark.conf.get(titles.STATE_STORE) != titles.ROCKSDB
