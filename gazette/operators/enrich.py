@@ -136,23 +136,27 @@ def _article_id(url: Column) -> Column:
     return F.sha2(url, 256)
 
 
+def _fallback_columns(as_of: Column, language: Column) -> dict[str, Column]:
+    """The columns of an article that has no model answer, out of a scraped row."""
+    return {
+        "id": _article_id(F.col("url")),
+        "source_name": F.col("source_name"),
+        "source_url": F.col("url"),
+        "title": fallback_title(F.col("original_title")),
+        "author": author_line(F.col("authors")),
+        "image_url": empty_to_null(F.col("image_url")),
+        "content": fallback_content(F.col("original_content")),
+        "category": F.lit(DEFAULT_CATEGORY),
+        "language": language,
+        "published_at": F.col("publish_date"),
+        "created_at": as_of,
+    }
+
+
 def fallback_article(rows: DataFrame, as_of: Column, language: Column | None = None) -> DataFrame:
     """Scraped rows as article rows without a model answer."""
     language = F.coalesce(F.col("language"), F.lit(DEFAULT_LANGUAGE)) if language is None else language
-    return rows.select(
-        _article_id(F.col("url")).alias("id"),
-        "source_name",
-        F.col("url").alias("source_url"),
-        fallback_title(F.col("original_title")).alias("title"),
-        author_line(F.col("authors")).alias("author"),
-        empty_to_null(F.col("image_url")).alias("image_url"),
-        fallback_content(F.col("original_content")).alias("content"),
-        F.lit(DEFAULT_CATEGORY).alias("category"),
-        language.alias("language"),
-        F.col("publish_date").alias("published_at"),
-        as_of.alias("created_at"),
-        "pos",
-    )
+    return rows.select(*[c.alias(name) for name, c in _fallback_columns(as_of, language).items()], "pos")
 
 
 def summary_merge(batched: DataFrame, answers: DataFrame, as_of: Column) -> DataFrame:
@@ -169,23 +173,11 @@ def summary_merge(batched: DataFrame, answers: DataFrame, as_of: Column) -> Data
     joined = batched.join(best, ["language", "batch_no", "url"], "left")
     has = F.coalesce("_answered", F.lit(False))
 
-    def either(answer: str, original: Column, fallback: Column) -> Column:
-        return F.when(has, F.coalesce(empty_to_null(F.col(answer)), original, F.lit(""))).otherwise(fallback)
-
+    columns = _fallback_columns(as_of, F.col("language"))
+    for name in ("title", "content"):
+        answer = F.coalesce(empty_to_null(F.col(f"a_{name}")), F.col(f"original_{name}"), F.lit(""))
+        columns[name] = F.when(has, answer).otherwise(columns[name])
+    columns["category"] = F.when(has, F.coalesce("a_category", columns["category"])).otherwise(columns["category"])
     return joined.select(
-        _article_id(F.col("url")).alias("id"),
-        "source_name",
-        F.col("url").alias("source_url"),
-        either("a_title", F.col("original_title"), fallback_title(F.col("original_title"))).alias("title"),
-        author_line(F.col("authors")).alias("author"),
-        empty_to_null(F.col("image_url")).alias("image_url"),
-        either("a_content", F.col("original_content"), fallback_content(F.col("original_content"))).alias("content"),
-        F.when(has, F.coalesce("a_category", F.lit(DEFAULT_CATEGORY))).otherwise(F.lit(DEFAULT_CATEGORY))
-        .alias("category"),
-        "language",
-        F.col("publish_date").alias("published_at"),
-        as_of.alias("created_at"),
-        "batch_no",
-        has.alias("answered"),
-        "pos",
+        *[c.alias(name) for name, c in columns.items()], "batch_no", has.alias("answered"), "pos",
     ).withColumn("out_pos", F.struct("batch_no", (~F.col("answered")).alias("fallback"), "pos"))

@@ -10,12 +10,14 @@ from gazette.schemas import ARTICLE_COLS
 
 
 def last_saved(saved: DataFrame, group: list[str], order: Column | str = "pos") -> DataFrame:
-    """The last inserted article of each run, by insertion order. It is folded before the shuffle."""
-    article = F.struct(*ARTICLE_COLS)
-    order = F.col(order) if isinstance(order, str) else order
-    return saved.groupBy(*group).agg(F.max_by(article, order).alias("article")).select(
-        *group, *[F.col(f"article.{c}") for c in ARTICLE_COLS if c not in group]
-    )
+    """The last inserted article of each run, by insertion order, which is unique in a run.
+
+    Only the order is ranked; the few articles that are last are then looked up, so no contents are sorted or shuffled.
+    ``saved`` is read twice and should be a stored table.
+    """
+    placed = saved.withColumn("_place", F.col(order) if isinstance(order, str) else order)
+    last = placed.groupBy(*group).agg(F.max("_place").alias("_place"))
+    return placed.join(last, [*group, "_place"]).select(*group, *[c for c in ARTICLE_COLS if c not in group])
 
 
 def notification_outbox(runs: DataFrame, last: DataFrame, group: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.constants import CATEGORIES, LANGUAGE_CYCLE, SOURCES
+from gazette.constants import CATEGORIES, LANGUAGE_CYCLE, PROMPTS, RETRY_SUFFIX, SOURCES
 from gazette.functions import answers as fa
 from gazette.functions import dates as fd
 from gazette.functions import html as fh
@@ -579,7 +579,7 @@ select {COLS} from merged
 qualify row_number() over (partition by language order by batch_no desc, answered, pos desc) = 1
 """, [A, v.SCRAPED_SQL, MERGED_SQL])
 def _(spark, sf):
-    return notifications.last_saved(_merged(spark, sf), ["language"], "out_pos").select(*ARTICLE_COLS)
+    return notifications.last_saved(cut_lineage(_merged(spark, sf)), ["language"], "out_pos").select(*ARTICLE_COLS)
 
 
 def _echo(provider: str, instruction: str, request: str) -> str:
@@ -770,19 +770,19 @@ def _(spark, sf):
     ).drop("payload")
 
 
-@register("bundle_snapshot", """
-select coalesce(l.language, 'all') as scope, d.category, count(a.id) as total, max(a.created_at) as newest
-from dim d cross join (select distinct language from articles union all select null) l
-left join articles a on a.category = d.category and (l.language is null or a.language = l.language)
-group by all
+@register("bundle_snapshot", f"""
+select s.scope, d.category, d.position, count(a.id) over (partition by s.scope, d.category) as total,
+       row_number() over (partition by s.scope, d.category order by a.created_at desc, a.id) as rn, 5 as "limit",
+       {", ".join(f"a.{c} as {c}" for c in ARTICLE_COLS if c != "category")}
+from dim d cross join (select distinct language as scope from articles union all select 'all') s
+left join articles a on a.category = d.category and (s.scope = 'all' or a.language = s.scope)
+qualify rn <= 5
 """, [A, CATEGORIES_SQL])
 def _(spark, sf):
     path = scratch_path(spark, "bundles")
     serving.write_bundles(v.articles(spark, sf), path)
-    rows = spark.read.parquet(path)
-    return rows.groupBy("scope", "category").agg(
-        F.max("total").alias("total"), F.max("created_at").alias("newest")
-    )
+    columns = ["scope", "category", "position", "total", "rn", "limit", *[c for c in ARTICLE_COLS if c != "category"]]
+    return spark.read.parquet(path).select(*columns).withColumn("rn", F.coalesce("rn", F.lit(1)))
 
 
 @register("rotation_assign", """
@@ -880,32 +880,40 @@ def _(spark, sf):
     )
 
 
-@register("prompt_scalars", """
-select language, lower(language) = 'english' as first_provider, count(*) as articles from articles group by all
-""", [A])
+_PROMPT_ROWS = [
+    (name, text.replace("{categories}", ", ".join(CATEGORIES)), text.replace("{categories}", ", ".join(CATEGORIES)) + RETRY_SUFFIX)
+    for name, text in [*PROMPTS.items(), ("", PROMPTS["english"])]
+]
+
+
+@register("prompt_scalars", f"""
+select language, articles, case when lower(language) = 'english' then 'openrouter' else 'sarvam' end as provider, p.instruction, p.stricter
+from (select language, count(*) as articles from asked group by language)
+join prompts p on p.name = case when language in ('english', 'odia', 'bengali') then language else '' end
+""", [A, "asked as (select language from articles union all select upper(language) from articles where id % 2 = 0)",
+      f"prompts(name, instruction, stricter) as (values {values(_PROMPT_ROWS)})"])
 def _(spark, sf):
+    articles = v.articles(spark, sf)
+    asked = articles.select("language").unionByName(articles.filter(F.col("id") % 2 == 0).select(F.upper("language").alias("language")))
     language = F.col("language")
-    rows = v.articles(spark, sf).groupBy("language").agg(F.count(F.lit(1)).alias("articles"))
-    named = fa.prompt_for_language(language).contains(F.initcap(language))
-    return rows.select(
-        "language", (fa.provider_for_language(language) == "openrouter").alias("first_provider"), "articles", named.alias("_n")
-    ).filter(F.col("_n") | ~language.isin(LANGUAGE_CYCLE)).drop("_n")
+    return asked.groupBy("language").agg(F.count(F.lit(1)).alias("articles")).select(
+        "language", "articles", fa.provider_for_language(language).alias("provider"),
+        fa.prompt_for_language(language).alias("instruction"), fa.prompt_for_language(language, retry=True).alias("stricter"),
+    )
 
 
 @register("notification_scalars", f"""
-select id, concat('news_', lower(language)) as topic,
+select concat('news_', lower(language)) as topic,
        case when length(content) > 150 then concat(content[1:147], '...') else content end as body,
-       coalesce(image_url, 'https://placehold.co/600x400') as image, coalesce(author, '') as author,
-       {ISO.format('published_at')} as published_at
+       'new_article' as type, cast(id as varchar) as id, source_name, source_url, title, coalesce(author, '') as author,
+       coalesce(image_url, 'https://placehold.co/600x400') as image_url, coalesce(nullif(category, ''), 'General') as category,
+       coalesce(content, '') as content, {ISO.format('published_at')} as published_at, {ISO.format('created_at')} as created_at,
+       'FLUTTER_NOTIFICATION_CLICK' as click_action
 from articles
 """, [A])
 def _(spark, sf):
-    article = F.struct(*ARTICLE_COLS)
-    rows = v.articles(spark, sf).withColumn("p", fn.notification_payload(article))
-    return rows.select(
-        "id", fn.topic_name(F.col("language")).alias("topic"), fn.notification_body(F.col("content")).alias("body"),
-        F.col("p.image_url").alias("image"), F.col("p.author").alias("author"), F.col("p.published_at").alias("published_at"),
-    )
+    rows = v.articles(spark, sf).withColumn("p", fn.notification_payload(F.struct(*ARTICLE_COLS)))
+    return rows.select(fn.topic_name(F.col("language")).alias("topic"), fn.notification_body(F.col("content")).alias("body"), "p.*")
 
 
 @register("session_scalars", """

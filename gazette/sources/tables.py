@@ -34,8 +34,3 @@ def append_articles(rows: DataFrame, path: str) -> None:
     """Append articles in folders per creation day, which the look-back and the newest-first queries can skip by."""
     days = rows.withColumn("created_date", F.to_date("created_at"))
     days.write.mode("append").partitionBy("created_date").parquet(path)
-
-
-def write_snapshot(rows: DataFrame, path: str) -> None:
-    """Write a new version of a table to a folder that must not exist; a version that is read is never overwritten."""
-    rows.write.mode("errorifexists").parquet(path)

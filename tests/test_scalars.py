@@ -1,5 +1,6 @@
 """Text, date, HTML, answer and notification expressions on single values."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -206,3 +207,23 @@ def test_usable_pattern():
 
     assert usable_pattern("a.b") == "a.b"
     assert re.search(usable_pattern("?x=(1"), "page?x=(1")
+
+
+def test_the_end_of_a_payload_is_found_in_linear_time(spark):
+    import json
+    import time
+
+    rng = random.Random(4)
+    parts = ['"a]"', '"\\\\"', '"\\""', '"}{"', "[]", "{}", "1", '"é🙂["', "null", '[{"k": "]"}]']
+    texts = ["[" + ", ".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) + "]" + rng.choice(["", " ]", ' "x', " {}", "\\"]) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", answers.extract_json_payload(F.col("t")).alias("p")).collect()
+    for r in rows:
+        assert r.p == r.t[:json.JSONDecoder().raw_decode(r.t)[1]]
+    took = []
+    for n in (1_000, 10_000, 40_000):
+        text = "[" + ", ".join('{"title": "a ] b", "n": [1, 2]}' for _ in range(n)) + "] and more [1]"
+        frame = spark.createDataFrame([(text,)], "t string").select(answers.extract_json_payload(F.col("t")).alias("p"))
+        start = time.perf_counter()
+        assert frame.collect()[0].p == text[:-len(" and more [1]")]
+        took.append(time.perf_counter() - start)
+    assert took[2] < 12 * took[1] + 2, took
