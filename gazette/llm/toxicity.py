@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -228,32 +229,30 @@ def calibrated(seen: pd.DataFrame) -> tuple[float, float, float]:
 # --- scoring --------------------------------------------------------------------------------------------------
 
 
-class Codes(dict):
-    """Token -> code, 0 for unknown words, -1 for sentence ends; remembers what it has seen."""
-
-    def __init__(self, codes: dict[str, int]) -> None:
-        super().__init__(dict.fromkeys(ENDS, -1))
-        self.codes = codes
-
-    def __missing__(self, token: str) -> int:
-        code = self.codes.get(token.lower(), 0)
-        if len(self) < 500_000 and len(token) <= 64:
-            self[token] = code
-        return code
-
-
 class Scorer:
     def __init__(self, codes: dict[str, int], weights: dict[str, np.ndarray], scale: tuple[float, float, float]) -> None:
-        self.field, self.codes = Field(weights["bins"]), Codes(codes)
+        self.field, self.code = Field(weights["bins"]), (codes | dict.fromkeys(ENDS, -1)).get
         vars(self.field).update(weights)
         self.scale = scale
         self.neutral, self.most = self.field.neutral()
 
+    def coded(self, text: str) -> np.ndarray:
+        """The code of each token, 0 for unknown words, -1 for sentence ends.
+
+        The text is lower-cased in one go where that cannot shift a token or change a letter by its neighbours outside the
+        token. Few words are known, so their table stays in the processor's cache; unknown ones are not remembered.
+        """
+        low = text.lower()
+        if not text.isascii() and (len(low) != len(text) or "\u03a3" in text):
+            words = [w.lower() for w in TOKEN.findall(text)]
+        else:
+            words = TOKEN.findall(low)
+        return np.fromiter(map(self.code, words, repeat(0)), np.int32, len(words))
+
     def score(self, text: str) -> tuple[float, float, float, list[tuple[int, int]]]:
         """The score, its two parts (log odds of the strongest token, log of the expected number of toxic tokens), and the
         tokens in the toxic state as (start, end)."""
-        words = TOKEN.findall(text)
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
+        codes = self.coded(text)
         # chain lengths: between sentence ends, cut at CHAIN
         ends = np.concatenate((np.flatnonzero(codes < 0), [len(codes)]))
         starts = np.concatenate(([0], ends[:-1] + 1))
