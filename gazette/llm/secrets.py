@@ -7,6 +7,8 @@ spans lie in one scope, and a part is reported only if its complement is there.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,18 @@ COMPLEMENT = [
 SPANS = "array<struct<start: int, kind: string, end: int>>"
 
 
+def running(items: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """``items`` (an array of structs) with their field ``run`` merged over all items up to each one.
+
+    Distances double from step to step, so n items take n log n merges; appending to an array item by item would copy it n times.
+    """
+    def step(acc: Column, distance: Column) -> Column:
+        merged = F.transform(acc, lambda x, i: x.withField("run", F.when(i >= distance, merge(x["run"], F.get(acc, i - distance)["run"])).otherwise(x["run"])))
+        return F.when(distance < F.size(acc), merged).otherwise(acc)
+
+    return F.aggregate(F.lit([1 << k for k in range(31)]), items, step)
+
+
 def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
     """The leftmost non-overlapping matches of ``pattern`` as an array of (start, kind, end) in code points.
 
@@ -51,14 +65,24 @@ def spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0)
     sizes = F.transform(F.regexp_extract_all(text, whole, F.lit(1)), F.length)
     held = F.transform(F.regexp_extract_all(text, whole, F.lit(group + 1)), F.length)
     parts = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), held.alias("held")), lambda x: x["size"].isNotNull())
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("out"))
-    walked = F.aggregate(parts, empty, lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["size"]).alias("at"),
-        F.when(x["held"] >= least, F.array_append(acc["out"], F.struct(
-            (acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["size"]).alias("end"),
-        ))).otherwise(acc["out"]).alias("out"),
-    ))["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(F.expr(f"cast(array() as {SPANS})"))
+    parts = F.transform(parts, lambda x: F.struct(x["size"].alias("size"), x["held"].alias("held"), (x["gap"] + x["size"]).alias("run")))
+    kept = F.filter(running(parts, lambda a, b: a + b), lambda x: x["held"] >= least)
+    found = F.transform(kept, lambda x: F.struct((x["run"] - x["size"]).alias("start"), F.lit(kind).alias("kind"), x["run"].alias("end")))
+    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as {SPANS})"))
+
+
+def clear_of(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others, in one walk over both by position.
+
+    A span is overlapped if, of the others that start before its end, the furthest end lies behind its start.
+    """
+    place = lambda s, at, run: F.struct(at.cast("long").alias("at"), run.alias("run"), s.alias("span"))
+    both = F.concat(
+        F.transform(others, lambda s: place(F.lit(None).cast(SPANS[6:-1]), 2 * s["start"] + 1, s["end"])),
+        F.transform(spans, lambda s: place(s, 2 * s["end"], F.lit(0))),
+    )
+    walked = F.filter(running(F.array_sort(both), F.greatest), lambda x: x["span"].isNotNull() & (x["run"] <= x["span"]["start"]))
+    return F.transform(walked, lambda x: x["span"])
 
 
 def in_order(found: Column) -> Column:
@@ -74,7 +98,7 @@ def linked_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     The interval join meets on the document and on blocks of code points that a span or its scope touches. Weak parts do
     not overlap within their kind and have at least three characters, so a block holds a bounded number of them.
     """
-    parts = scanned.filter(F.size("weak") > 0).select(*KEY, F.explode(F.array_distinct(F.concat("base", "weak"))).alias("s"))
+    parts = scanned.filter(F.size("weak") > 0).select(*KEY, F.explode(F.concat("base", "weak")).alias("s"))
     parts = parts.select(*KEY, "s.*")
     width = 2 * scope
     ask = parts.select(*KEY, "start", "kind", "end").join(
@@ -100,15 +124,16 @@ def scan_secrets(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
     Spans are kind:start:end in code points, end exclusive. The three fixed forms are always reported; identifiers, strings
     and endpoints only with a complement that does not overlap them in scope. A weak string inside a fixed span is not one.
     Null texts count as empty and have no span. Repeated rows and null doc_ids keep one row each; an empty table gives no
-    rows; other columns are not read. Texts are read once and never shuffled.
+    rows; other columns are not read. Texts are read once and never shuffled. The work of a text
+    with n matches grows as n log n.
     """
     text = F.coalesce("text", F.lit(""))
     base = F.concat(*[spans(text, kind, pattern, group, least) for kind, pattern, group, least in BASE])
     weak = F.concat(*[spans(text, kind, pattern) for kind, pattern in PARTS])
     scanned = documents.select("doc_id", *row_key(F.col("text")), base.alias("base"), weak.alias("weak"))
     # a weak span that overlaps a fixed one is a piece of it
-    scanned = scanned.withColumn("weak", F.when(F.size("weak") == 0, F.col("weak")).otherwise(F.filter(
-        "weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))))
+    scanned = scanned.withColumn("weak", F.when(
+        (F.size("weak") == 0) | (F.size("base") == 0), F.col("weak")).otherwise(clear_of(F.col("weak"), F.col("base"))))
     scanned = stored(scanned, "scanned")
     rows = join_on_key(scanned, stored(linked_parts(scanned, scope), "linked"))
     none = F.expr(f"cast(array() as {SPANS})")
