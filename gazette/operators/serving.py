@@ -61,7 +61,7 @@ def fetch(articles: DataFrame, page: DataFrame, extra: list[str] | None = None)
     ])
 
 
-def _fetch_page(articles: DataFrame, page: DataFrame) -> DataFrame:
+def fetch_page(articles: DataFrame, page: DataFrame) -> DataFrame:
     """``fetch`` for a page, newest first."""
     return fetch(articles, page).orderBy(*newest())
 
@@ -71,7 +71,7 @@ def latest_articles(
 ) -> DataFrame:
     check_page(limit)
     page = by_filters(articles, category, language).select(*_NARROW).orderBy(*newest()).limit(limit)
-    return _fetch_page(articles, page)
+    return fetch_page(articles, page)
 
 
 def articles_by_category(
@@ -80,7 +80,7 @@ def articles_by_category(
     """One page of a category. The category is mandatory, so an empty one matches no article."""
     check_page(limit, offset)
     rows = by_filters(articles.filter(F.col("category") == category), language=language).select(*_NARROW)
-    return _fetch_page(articles, rows.orderBy(*newest()).offset(offset).limit(limit))
+    return fetch_page(articles, rows.orderBy(*newest()).offset(offset).limit(limit))
 
 
 def search_articles(
@@ -105,7 +105,7 @@ def recent_window(articles: DataFrame, as_of: Column, minutes_back: int) -> Data
     """The newest article created in the last minutes, both ends included; no row or one."""
     start = as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes_back))
     rows = articles.filter((F.col("created_at") >= start) & (F.col("created_at") <= as_of)).select(*_NARROW)
-    return _fetch_page(articles, rows.orderBy(*newest()).limit(1))
+    return fetch_page(articles, rows.orderBy(*newest()).limit(1))
 
 
 def unseen_articles(
@@ -120,7 +120,7 @@ def unseen_articles(
     check_page(limit)
     mine = seen.filter(F.col("user_auth_id") == auth_id).select(F.col("article_id").alias("id"))
     rows = by_filters(articles, category, language).select(*_NARROW).join(mine, "id", "left_anti")
-    return _fetch_page(articles, rows.orderBy(*newest()).limit(limit))
+    return fetch_page(articles, rows.orderBy(*newest()).limit(limit))
 
 
 def unseen_all_users(

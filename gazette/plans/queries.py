@@ -13,7 +13,7 @@ from gazette.functions import dates as fd
 from gazette.functions import html as fh
 from gazette.functions import notify as fn
 from gazette.functions import text as ft
-from gazette.operators import dedupe, enrich, ingest, notifications, rotation, serving, sessions, state
+from gazette.operators import dedupe, enrich, ingest, notifications, rotation, search, serving, sessions, state
 from gazette.plans import views as v
 from gazette.schemas import ARTICLE_COLS
 from gazette.session import cut_lineage, scratch_path
@@ -153,6 +153,21 @@ def _(spark, sf):
     return serving.search_articles(v.articles(spark, sf), "the_of", limit=50, offset=5)
 
 
+@register("search_indexed", f"""
+select {COLS} from articles where title ilike '%THORre%' escape '\\' or content ilike '%THORre%' escape '\\'
+order by created_at desc, id offset 2 limit 60
+""", [A])
+def _(spark, sf):
+    """Stored and indexed in two runs, then searched through the trigrams."""
+    path, index = scratch_path(spark, "articles"), scratch_path(spark, "search-index")
+    articles = v.articles(spark, sf)
+    for run in (0, 1):
+        rows = articles.filter(F.col("id") % 2 == run)
+        tables.append_articles(rows, path)
+        search.append_search_index(rows, index)
+    return search.search_indexed(spark.read.parquet(path), index, "THORre", limit=60, offset=2)
+
+
 @register("feed_url_filter", f"select feed, position, link from feed_items where {v.FEED_MATCH_SQL}", [v.FEED_SQL])
 def _(spark, sf):
     return ingest.feed_url_filter(_sourced(spark, sf)).select("feed", "position", "link")

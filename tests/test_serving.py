@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette.constants import CATEGORIES
-from gazette.operators import ranking, serving, skew, state
+from gazette.operators import ranking, search, serving, skew, state
 from gazette.schemas import ARTICLES
+from gazette.sources import tables
 
 T0 = datetime(2024, 3, 1)
 
@@ -58,6 +59,51 @@ def test_search(articles, query, found):
     assert got == found if found is not None else len(got) == 5
 
 
+@pytest.fixture(scope="module")
+def indexed(spark, articles, tmp_path_factory):
+    """Small articles and articles of many days, stored and indexed in two runs."""
+    rng, words = random.Random(3), ["election", "Straße", "ΟΔΟΣ", "🙂🙃🙂", "100%", "a_b", "c\\d", "vote", "", " ", "o", "x\ny"]
+    rows = [
+        article(i, rng.choice(CATEGORIES), title=rng.choice([None, "".join(rng.choices(words, k=3))]), minutes=rng.randrange(20_000),
+                content=rng.choice(["x", " ".join(rng.choices(words, k=rng.randrange(40)))])) for i in range(100, 700)
+    ]
+    every = articles.unionByName(spark.createDataFrame(rows, ARTICLES))
+    path, index = (str(tmp_path_factory.mktemp(n)) for n in ("stored", "index"))
+    for part in (F.col("id") < "a0400", F.col("id") >= "a0400"):
+        tables.append_articles(every.filter(part), path)
+        search.append_search_index(every.filter(part), index)
+    return tables.table_scan(spark, path, "articles"), index
+
+
+@pytest.mark.parametrize("query", [
+    "ELECTION", "%", "100\\%", "sure\\_thing", "thing\\end", "sure_thing", "ଖବର", "zzz", "election%vote", "lect_on", "straße", "οδος", "🙃🙂", "\\d ",
+    "vote vote", "x\ny", "ab", "a_b", "votezzzvote",
+])
+def test_search_through_the_index(indexed, query):
+    stored, index = indexed
+    for page in ({"limit": 100}, {"limit": 7, "offset": 5, "category": "Sports"}):
+        assert ids(search.search_indexed(stored, index, query, **page)) == ids(serving.search_articles(stored, query, **page))
+
+
+def test_search_reads_postings_and_matched_days_only(spark, indexed):
+    stored, index = indexed
+    wanted = search.pattern_grams(spark, "political search")
+    assert len(wanted) == len("political search") - 2 and search.pattern_grams(spark, "ab%cd_e\\%") == []
+    found = search.candidates(spark, index, wanted)
+    assert [r["id"] for r in found.collect()] == ["a0003"]
+    assert "In(gram, [" in found._jdf.queryExecution().toString()
+    plan = search._in_days(stored, found)._jdf.queryExecution().toString()
+    assert "created_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_search_index_forgets_days(spark, articles, tmp_path):
+    index = str(tmp_path / "index")
+    later = articles.filter("id = 'a0002'").withColumns({"id": F.lit("late"), "created_at": F.col("created_at") + F.expr("interval 3 days")})
+    search.append_search_index(articles.unionByName(later), index)
+    search.expire_search_index(spark, index, "2024-03-02")
+    assert [r["id"] for r in search.candidates(spark, index, ["hea", "ead"]).collect()] == ["late"]
+
+
 @pytest.mark.parametrize("limit, offset", [(0, 0), (101, 0), (5, -1)])
 def test_page_bounds(articles, limit, offset):
     with pytest.raises(ValueError):
