@@ -13,7 +13,7 @@ from gazette.functions import dates as fd
 from gazette.functions import html as fh
 from gazette.functions import notify as fn
 from gazette.functions import text as ft
-from gazette.operators import dedupe, enrich, ingest, notifications, rotation, search, serving, sessions, state
+from gazette.operators import dedupe, enrich, ingest, notifications, rotation, search, seen_bits, serving, sessions, state
 from gazette.plans import views as v
 from gazette.schemas import ARTICLE_COLS
 from gazette.session import cut_lineage, scratch_path
@@ -236,17 +236,33 @@ def _(spark, sf):
     )
 
 
-@register("unseen_all_users", """
+UNSEEN_ALL_SQL = """
 select auth_id, row_number() over (partition by auth_id order by created_at desc, id) as position, id, created_at
 from users cross join (select id, created_at from articles) a
 where not exists (select 1 from seen where user_auth_id = auth_id and article_id = a.id)
 qualify position <= 10
-""".replace("select auth_id, row", "select u.auth_id, row").replace("from users cross", "from (select auth_id from users) u cross"),
-    [A, U, S])
+""".replace("select auth_id, row", "select u.auth_id, row").replace("from users cross", "from (select auth_id from users) u cross")
+
+
+@register("unseen_all_users", UNSEEN_ALL_SQL, [A, U, S])
 def _(spark, sf):
     return serving.unseen_all_users(v.articles(spark, sf), v.seen(spark, sf), v.users(spark, sf))
 
 
+@register("unseen_by_bits", UNSEEN_ALL_SQL, [A, U, S])
+def _(spark, sf):
+    """Places and seen bits stored in two runs each, the second run of pairs twice; then the pages of all users."""
+    at, bits = scratch_path(spark, "places"), scratch_path(spark, "seen-bits")
+    articles, seen = v.articles(spark, sf), v.seen(spark, sf)
+    half = F.lit(articles.count() // 2)
+    seen_bits.append_places(articles.filter(F.col("id") < half), at, first=True)
+    seen_bits.append_places(articles.filter(F.col("id") >= half), at)
+    places = spark.read.parquet(at)
+    for run in (0, 1, 1):
+        seen_bits.append_seen_bits(seen.filter(F.col("article_id") % 2 == run), places, bits)
+    return seen_bits.unseen_by_bits(places, seen_bits.stored_bits(spark, bits), v.users(spark, sf), articles)
+
+
 # The batch of the URL operators: every document again, and every page.
 BATCH_SQL = """
 batch as (
@@ -963,6 +979,20 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
+@register("seen_bits_stream", "select user_auth_id, count(*) as n_seen from seen group by user_auth_id", [S])
+def _(spark, sf):
+    """The views as a stream into bitmaps: distinct articles per user."""
+    places, path = scratch_path(spark, "places"), scratch_path(spark, "seen-bits")
+    articles = v.articles(spark, sf)
+    seen_bits.append_places(articles, places, first=True)
+    size = articles.count()
+    views = _stream(spark, sf, "events").filter(F.col("event_type") == "view").select(
+        v.guest(F.col("user_id")).alias("user_auth_id"), (F.col("event_id") % size).alias("article_id"),
+    )
+    seen_bits.seen_bits_stream(views, places, path, scratch_path(spark, "seen-log")).awaitTermination()
+    return seen_bits.seen_counts(seen_bits.stored_bits(spark, path))
+
+
 @register("stream_url_dedupe", """
 select 'https://' || source || '.example.com/' || lang as url, count(*) > 0 as found from documents group by 1
 """)

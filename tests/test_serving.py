@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette.constants import CATEGORIES
-from gazette.operators import ranking, search, serving, skew, state
+from gazette.operators import ranking, search, seen_bits, serving, skew, state
 from gazette.schemas import ARTICLES
 from gazette.sources import tables
 
@@ -188,3 +188,36 @@ def test_skew_join_equals_join(spark, how):
     key = sorted(want.columns)
     rows = lambda f: sorted(str([r[c] for c in key]) for r in f.collect())
     assert rows(got) == rows(want)
+
+
+def test_unseen_by_bits(spark, tmp_path):
+    """Against plain lists, over several buckets, with full, empty and lost ones, and users who saw nothing."""
+    rng, n = random.Random(9), 70_000
+    order = list(range(1, n + 1))  # place p is article p
+    gone = set(rng.sample(range(30_000, n), 40)) | set(range(1, 500))
+    seen = {
+        "none": set(), "all": set(order), "new": set(range(60_000, n + 1)), "old": set(range(1, 60_000)), "some": set(rng.sample(order, 50_000)),
+        "first bucket left": set(range(32_769, n + 1)), "one left": set(order) - {rng.choice([p for p in order if p not in gone])}, "last": {n},
+    }
+    minutes = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id as int))")
+    every = spark.range(1, n + 1).select("id", minutes.alias("created_at"))
+    places, bits = str(tmp_path / "places"), str(tmp_path / "bits")
+    seen_bits.append_places(every.filter("id <= 40000"), places, first=True)
+    seen_bits.append_places(every.filter("id > 40000"), places)
+    with pytest.raises(ValueError, match="cannot follow"):
+        seen_bits.append_places(every.filter("id = 5"), places)
+    at = spark.read.parquet(places)
+    assert at.filter("place <> id").count() == 0 and at.count() == n
+    pairs = spark.createDataFrame([(u, p) for u, ps in seen.items() for p in [*sorted(ps), -1]], "user_auth_id string, article_id long")
+    for run in (0, 1, 1):
+        seen_bits.append_seen_bits(pairs.filter(F.pmod("article_id", F.lit(2)) == run), at, bits)
+    alive = every.filter(~F.col("id").isin(sorted(gone)))
+    users = spark.createDataFrame([(u,) for u in seen], "auth_id string")
+    for limit in (1, 7, 100):
+        got = seen_bits.unseen_by_bits(at, seen_bits.stored_bits(spark, bits), users, alive, limit).collect()
+        pages = {u: [r["id"] for r in sorted(got, key=lambda r: r["position"]) if r["auth_id"] == u] for u in seen}
+        assert pages == {u: [p for p in reversed(order) if p not in ps and p not in gone][:limit] for u, ps in seen.items()}
+    with pytest.raises(ValueError, match="anew"):
+        seen_bits.unseen_by_bits(at, seen_bits.stored_bits(spark, bits), users, every.filter("id in (1, 70000)"), 5)
+    nothing = seen_bits.unseen_by_bits(at, seen_bits.stored_bits(spark, bits), users, every.filter("id < 0"))
+    assert nothing.collect() == []
