@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazette.constants import DEFAULT_CATEGORY, DEFAULT_LANGUAGE, MODEL_BATCH_SIZE, NO_SUMMARY, UNTITLED
 from gazette.functions.answers import (
@@ -21,6 +23,7 @@ from gazette.operators.ranking import first_per_group, ordered_index
 from gazette.session import cut_lineage
 
 Ask = Callable[[str, str, str], str]
+LEDGER = "key string, response string, error string"
 
 
 def batch_of_5(
@@ -54,6 +57,11 @@ def enrich_batches(requests: DataFrame, ask: Ask, concurrency: int | None = None
     Gives (language, batch_no, response, error). A call that raises leaves a null response and its message, and the
     other batches go on. Calls run in ``concurrency`` partitions, by default as many as a shuffle has.
     """
+    return _asked(requests, ["language", "batch_no"], ask, concurrency)
+
+
+def _asked(requests: DataFrame, keys: list[str], ask: Ask, concurrency: int | None) -> DataFrame:
+    """(keys, response, error) of the calls for requests that ``keys`` tell apart."""
     calls = concurrency or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,13 +74,42 @@ def enrich_batches(requests: DataFrame, ask: Ask, concurrency: int | None = None
                 except Exception as problem:  # noqa: BLE001 - any failure of the callable is a failed batch
                     responses.append(None)
                     errors.append(f"{type(problem).__name__}: {problem}")
-            yield pd.DataFrame({
-                "language": frame["language"], "batch_no": frame["batch_no"], "response": responses, "error": errors,
-            })
+            yield frame[keys].assign(response=responses, error=errors)
+
+    schema = T.StructType([*[requests.schema[k] for k in keys], *[T.StructField(n, T.StringType()) for n in ("response", "error")]])
+    return requests.repartition(calls, *keys).mapInPandas(call, schema)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(key, response, error) of all calls noted at ``path``; none if there is no such table yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
 
-    return requests.repartition(calls, "language", "batch_no").mapInPandas(
-        call, "language string, batch_no long, response string, error string"
-    )
+
+def enrich_with_ledger(requests: DataFrame, ask: Ask, path: str, waves: int = 1, concurrency: int | None = None) -> DataFrame:
+    """``enrich_batches`` that notes every call in a table and asks nothing that has an answer there.
+
+    A request is known by the hash of its provider, instruction and text, so a repeated run, a run after a failure and
+    equal requests of one run are answered from the table. Each of ``waves`` is a job of its own whose answers are there for
+    good once it ends: what a lost driver costs is at most one wave, what a lost task costs its requests of one wave. Calls
+    that raised are noted with their message and asked again by the next run.
+    """
+    spark = requests.sparkSession
+    key = F.sha2(F.to_json(F.struct("provider", "instruction", "request"), {"ignoreNullFields": "false"}), 256)
+    keyed = cut_lineage(requests.withColumn("key", key))
+    for wave in range(waves):
+        part = keyed.filter(F.pmod(F.xxhash64("key"), F.lit(waves)) == wave).dropDuplicates(["key"])
+        known = read_ledger(spark, path).filter(F.col("error").isNull()).select("key")
+        _asked(part.join(known, "key", "left_anti"), ["key"], ask, concurrency).write.mode("append").parquet(path)
+    # An answer goes before the failures of earlier runs; a key may be noted twice if two runs met.
+    noted = read_ledger(spark, path).groupBy("key").agg(
+        F.min(F.when(F.col("error").isNull(), F.struct("response"))).alias("_answer"), F.max("error").alias("_error"))
+    return keyed.select("key", "language", "batch_no").join(noted, "key", "left").select(
+        "language", "batch_no", F.col("_answer.response").alias("response"), F.when(F.col("_answer").isNull(), F.col("_error")).alias("error"))
 
 
 def answer_retry_set(responses: DataFrame) -> DataFrame:
@@ -80,13 +117,19 @@ def answer_retry_set(responses: DataFrame) -> DataFrame:
     return responses.filter(F.col("error").isNull() & (clean_json_fence(F.coalesce("response", F.lit(""))) == ""))
 
 
-def ask_with_retry(batched: DataFrame, ask: Ask) -> DataFrame:
-    """Responses of all batches; empty ones are replaced by the answer to the stricter instruction."""
+def ask_with_retry(batched: DataFrame, ask: Ask, ledger: str | None = None) -> DataFrame:
+    """Responses of all batches; empty ones are replaced by the answer to the stricter instruction.
+
+    With a ``ledger`` the calls go through ``enrich_with_ledger``.
+    """
+    def asked(requests: DataFrame) -> DataFrame:
+        return enrich_with_ledger(requests, ask, ledger) if ledger else enrich_batches(requests, ask)
+
     # The calls are the costly part, so their results are kept before they are read twice.
-    first = cut_lineage(enrich_batches(batch_requests(batched), ask))
+    first = cut_lineage(asked(batch_requests(batched)))
     again = answer_retry_set(first).select("language", "batch_no")
     stricter = batch_requests(batched.join(again, ["language", "batch_no"], "left_semi"), retry=True)
-    second = cut_lineage(enrich_batches(stricter, ask))
+    second = cut_lineage(asked(stricter))
     return first.join(again, ["language", "batch_no"], "left_anti").unionByName(second)
 
 

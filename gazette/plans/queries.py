@@ -626,21 +626,42 @@ def _echo(provider: str, instruction: str, request: str) -> str:
     ]}, ensure_ascii=False)
 
 
-@register("enrich_batches", """
+ENRICHED_SQL = """
 select language, batch_no, pos, concat('New: ', original_title) as title, cast(length(original_content) as varchar) as content
 from (select *, row_number() over (partition by language, batch_no order by pos) as nth,
              count(*) over (partition by language, batch_no) as n from batched)
 where nth > 1 and not (language <> 'english' and n = 4)
-""", [A, v.SCRAPED_SQL])
-def _(spark, sf):
-    batched = cut_lineage(_batched(spark, sf))
-    responses = enrich.enrich_batches(enrich.batch_requests(batched), _echo)
+"""
+
+
+def _answered(batched: DataFrame, responses: DataFrame) -> DataFrame:
     answers = enrich.first_answer(enrich.answers_of(responses)).withColumnRenamed("source_url", "url")
     return batched.select("language", "batch_no", "pos", "url").join(
         answers.select("language", "batch_no", "url", "title", "content"), ["language", "batch_no", "url"]
     ).drop("url")
 
 
+@register("enrich_batches", ENRICHED_SQL, [A, v.SCRAPED_SQL])
+def _(spark, sf):
+    batched = cut_lineage(_batched(spark, sf))
+    return _answered(batched, enrich.enrich_batches(enrich.batch_requests(batched), _echo))
+
+
+def _silent(provider: str, instruction: str, request: str) -> str:
+    """A model that has nothing more to say: whatever it is asked is lost."""
+    raise RuntimeError("asked again")
+
+
+@register("enrich_with_ledger", ENRICHED_SQL, [A, v.SCRAPED_SQL])
+def _(spark, sf):
+    """A run over some of the batches, one over all, and a third that has to find every answer in the table."""
+    batched, path = cut_lineage(_batched(spark, sf)), scratch_path(spark, "ledger")
+    requests = enrich.batch_requests(batched)
+    enrich.enrich_with_ledger(requests.filter("batch_no % 3 = 0"), _echo, path)
+    enrich.enrich_with_ledger(requests, _echo, path, waves=2)
+    return _answered(batched, enrich.enrich_with_ledger(requests, _silent, path))
+
+
 # --- duplicates -----------------------------------------------------------------------------------------------
 
 

@@ -73,6 +73,38 @@ def test_feed_files(spark, tmp_path):
     assert sorted((r.feed, r.link, r.title) for r in rows) == [("good", "http://a/1", "One & two"), ("good", "http://a/2", "Two")]
 
 
+def test_ledger_asks_each_request_once(spark, tmp_path):
+    """A run that dies between its two passes, its repetition, equal requests in one run, and calls that failed."""
+    batched = enrich.batch_of_5(scraped(spark), ["language"]).persist()
+    calls, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    calls.mkdir()
+
+    def ask(provider, instruction, request, down=()):
+        import uuid
+
+        first, strict = json.loads(request)[0]["url"][-2:], "Return only valid JSON" in instruction
+        (calls / uuid.uuid4().hex).write_text(f"{first} {strict}")
+        if first in down:
+            raise RuntimeError("no")
+        return "" if first == "10" and not strict else json.dumps([{"source_url": first, "title": "T"}])
+
+    asked = lambda: sorted(f.read_text() for f in calls.iterdir())
+    requests = enrich.batch_requests(batched)
+    failed = enrich.enrich_with_ledger(requests, lambda *a: ask(*a, down=("/5",)), ledger, waves=3).collect()
+    assert asked() == ["/0 False", "/5 False", "10 False"]  # the first pass is over and the run dies
+    assert {r.batch_no: (r.response is None, r.error) for r in failed} == {0: (False, None), 1: (True, "RuntimeError: no"), 2: (False, None)}
+    for _ in range(2):
+        done = {r.batch_no: r for r in enrich.ask_with_retry(batched, ask, ledger).collect()}
+        assert all(r.error is None and "T" in r.response for r in done.values()) and len(done) == 3
+        assert asked() == ["/0 False", "/5 False", "/5 False", "10 False", "10 True"]  # what failed, and the stricter one
+    plain = {r.batch_no: r.response for r in enrich.ask_with_retry(batched, ask).collect()}
+    assert plain == {n: r.response for n, r in done.items()}
+    twice = requests.filter("batch_no = 0").withColumn("instruction", F.lit("new"))
+    before = len(asked())
+    both = enrich.enrich_with_ledger(twice.unionByName(twice.withColumn("batch_no", F.lit(9).cast("long"))), ask, ledger).collect()
+    assert len(asked()) == before + 1 and sorted(r.batch_no for r in both) == [0, 9] and both[0].response == both[1].response
+
+
 def test_batches_answers_and_merge(spark):
     batched = enrich.batch_of_5(scraped(spark), ["language"]).persist()
     assert sorted((r.batch_no, r["count"]) for r in batched.groupBy("batch_no").count().collect()) == [(0, 5), (1, 5), (2, 2)]
