@@ -101,13 +101,13 @@ def search_indexed(
     wanted, rows = pattern_grams(spark, query), by_filters(articles, category, language)
     if wanted:
         kept = written(candidates(spark, path, wanted), "candidates")
-        rows = _in_days(rows, kept).join(kept.select("id"), "id", "left_semi")
+        rows = in_days(rows, kept).join(kept.select("id"), "id", "left_semi")
     hits = rows.filter(F.col("title").ilike(pattern) | F.col("content").ilike(pattern))
     page = hits.select("id", "created_at").orderBy(*newest()).offset(offset).limit(limit)
     return fetch_page(articles, page)
 
 
-def _in_days(rows: DataFrame, kept: DataFrame) -> DataFrame:
+def in_days(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of the days in ``kept``; the filter prunes folders."""
     days = [r[0] for r in kept.select("created_date").distinct().limit(DAYS + 1).collect()]
     if len(days) <= DAYS:

@@ -13,7 +13,7 @@ from gazette.functions import dates as fd
 from gazette.functions import html as fh
 from gazette.functions import notify as fn
 from gazette.functions import text as ft
-from gazette.operators import dedupe, enrich, ingest, notifications, rotation, search, seen_bits, serving, sessions, state
+from gazette.operators import dedupe, enrich, ingest, notifications, rotation, search, seen_bits, serving, sessions, state, url_index
 from gazette.plans import views as v
 from gazette.schemas import ARTICLE_COLS
 from gazette.session import cut_lineage, scratch_path
@@ -308,6 +308,23 @@ def _(spark, sf):
     return ingest.known_urls(_batch(spark, sf), _stored(spark, sf))
 
 
+def _stored_and_indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """The stored articles in folders per day, and the index of their URLs; two runs, the second one repeated in the index."""
+    path, index = scratch_path(spark, "stored"), scratch_path(spark, "url-index")
+    stored = _stored(spark, sf)
+    for run in (0, 1, 1):
+        rows = stored.filter(F.pmod(F.hash("source_url"), F.lit(2)) == run)
+        url_index.append_url_index(rows, index)
+    tables.append_articles(stored, path)
+    return spark.read.parquet(path), index
+
+
+@register("known_urls_indexed", "select distinct url from batch where url in (select source_url from stored)",
+          [A, v.FEED_SQL, BATCH_SQL, STORED_SQL])
+def _(spark, sf):
+    return url_index.known_urls_indexed(_batch(spark, sf), *_stored_and_indexed(spark, sf))
+
+
 @register("batch_minus_duplicates",
           "select pos, url, original_title from batch where url not in (select source_url from stored)",
           [A, v.FEED_SQL, BATCH_SQL, STORED_SQL])
@@ -316,7 +333,7 @@ def _(spark, sf):
     return ingest.batch_minus_duplicates(batch, ingest.known_urls(batch, _stored(spark, sf)))
 
 
-@register("ingest_insert", f"""
+INSERT_SQL = f"""
 select {COLS}, pos from (
   select {", ".join("replace(source_url, '/a/', '/b/') as source_url" if c == "source_url" else c for c in ARTICLE_COLS)},
          id as pos from articles
@@ -324,12 +341,24 @@ select {COLS}, pos from (
   select {COLS}, id + 1000000000 from articles) twice
 where source_url not in (select source_url from stored)
 qualify row_number() over (partition by source_url order by pos) = 1
-""", [A, v.FEED_SQL, STORED_SQL])
-def _(spark, sf):
+"""
+
+
+def _twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Each article under a new URL and under its own."""
     articles = v.articles(spark, sf)
     moved = articles.withColumn("source_url", F.replace("source_url", F.lit("/a/"), F.lit("/b/")))
-    twice = moved.withColumn("pos", F.col("id")).unionByName(articles.withColumn("pos", F.col("id") + 1_000_000_000))
-    return ingest.ingest_insert(twice, _stored(spark, sf))
+    return moved.withColumn("pos", F.col("id")).unionByName(articles.withColumn("pos", F.col("id") + 1_000_000_000))
+
+
+@register("ingest_insert", INSERT_SQL, [A, v.FEED_SQL, STORED_SQL])
+def _(spark, sf):
+    return ingest.ingest_insert(_twice(spark, sf), _stored(spark, sf))
+
+
+@register("ingest_insert_indexed", INSERT_SQL, [A, v.FEED_SQL, STORED_SQL])
+def _(spark, sf):
+    return url_index.ingest_insert_indexed(_twice(spark, sf), *_stored_and_indexed(spark, sf))
 
 
 @register("source_join", """

@@ -92,7 +92,7 @@ def test_search_reads_postings_and_matched_days_only(spark, indexed):
     found = search.candidates(spark, index, wanted)
     assert [r["id"] for r in found.collect()] == ["a0003"]
     assert "In(gram, [" in found._jdf.queryExecution().toString()
-    plan = search._in_days(stored, found)._jdf.queryExecution().toString()
+    plan = search.in_days(stored, found)._jdf.queryExecution().toString()
     assert "created_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
