@@ -14,6 +14,7 @@ from gazette.constants import DEFAULT_LIMIT
 from gazette.functions.text import contains_pattern
 from gazette.operators.serving import by_filters, check_page, fetch_page, newest
 from gazette.session import written
+from gazette.sources.tables import drop_folders
 
 GRAM = 3
 #: The rarest trigrams of a pattern whose postings are intersected. What they let pass is verified.
@@ -65,14 +66,8 @@ def append_search_index(articles: DataFrame, path: str) -> None:
 
 def expire_search_index(spark: SparkSession, path: str, before: str) -> None:
     """Drop the days before the date ``before`` (YYYY-MM-DD) by their folders, as retention does with their articles."""
-    jvm = spark.sparkContext._jvm
     for table in ("postings", "sizes"):
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
-        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for status in files.listStatus(folder):
-            name = status.getPath().getName()
-            if name.startswith("created_date=") and name.removeprefix("created_date=") < before:
-                files.delete(status.getPath(), True)
+        drop_folders(spark, f"{path}/{table}", "created_date", lambda day: day < before)
 
 
 def candidates(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:

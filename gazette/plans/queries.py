@@ -13,7 +13,7 @@ from gazette.functions import dates as fd
 from gazette.functions import html as fh
 from gazette.functions import notify as fn
 from gazette.functions import text as ft
-from gazette.operators import dedupe, enrich, ingest, notifications, rotation, search, seen_bits, serving, sessions, state, url_index
+from gazette.operators import dedupe, enrich, ingest, notifications, retention, rotation, search, seen_bits, serving, sessions, state, url_index
 from gazette.plans import views as v
 from gazette.schemas import ARTICLE_COLS
 from gazette.session import cut_lineage, scratch_path
@@ -524,6 +524,39 @@ def _(spark, sf):
     return state.retention_delete(articles, v.seen(spark, sf), v.clock(articles))[1]
 
 
+def _kept_by_days(spark: SparkSession, sf: str) -> tuple[str, str, tuple[int, int]]:
+    """Both tables in folders per publication day after retention, and the numbers of rows that it removed."""
+    articles, seen = v.articles(spark, sf), v.seen(spark, sf)
+    paths = scratch_path(spark, "articles-by-day"), scratch_path(spark, "seen-by-day")
+    retention.append_by_day(articles, paths[0])
+    retention.append_seen_by_day(seen, articles, paths[1])
+    as_of = articles.select(v.clock(articles).alias("as_of")).first()[0]
+    return *paths, retention.retention_by_days(spark, *paths, as_of)
+
+
+@register("retention_by_days", """
+select 'article' as kind, id, '' as user_auth_id from articles, clock where published_at >= as_of - interval 7 day
+union all
+select 'seen', article_id, user_auth_id from seen
+where article_id not in (select id from articles, clock where published_at < as_of - interval 7 day)
+""", [A, S])
+def _(spark, sf):
+    """What is left of articles and seen rows where retention drops day folders."""
+    articles, seen, _ = _kept_by_days(spark, sf)
+    kept = spark.read.parquet(articles).select(F.lit("article").alias("kind"), "id", F.lit("").alias("user_auth_id"))
+    return kept.unionByName(spark.read.parquet(seen).select(F.lit("seen").alias("kind"), F.col("article_id").alias("id"), "user_auth_id"))
+
+
+@register("retention_by_days_counts", """
+select (select count(*) from articles, clock where published_at < as_of - interval 7 day) as articles_deleted,
+       (select count(*) from seen where article_id in (
+          select id from articles, clock where published_at < as_of - interval 7 day)) as seen_articles_deleted
+""", [A, S])
+def _(spark, sf):
+    removed = _kept_by_days(spark, sf)[2]
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(c) for n, c in zip(removed, ("articles_deleted", "seen_articles_deleted"), strict=True)])
+
+
 @register("ingest_stats", """
 select tick, language, string_agg(source_name, ', ' order by place) as sources,
        cast(sum(n) as bigint) as scraped_articles, cast(sum(saved) as bigint) as saved_articles
