@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from gazette.llm.common import stored
 
-#: Labelled documents that the field is fitted on at most, on average; drawn by a hash of doc_id. Words it may know.
+#: Labelled documents that the field is fitted on, about; drawn by a hash. Words it may know.
 SAMPLE, WORDS = 20_000, 20_000
 #: Association (signed log-likelihood ratio) from which a word is known, and from which its tokens are labelled toxic.
 KNOWN, TOXIC = 12.0, 25.0
 BINS = (16.0, 25.0, 40.0)
-#: Distinct chains that the field is fitted on at most.
+#: Distinct chains of the sample that the field is fitted on at most.
 CHAINS = 8_000
 #: A chain is a sentence, cut after so many tokens.
 CHAIN = 64
@@ -136,13 +136,25 @@ class Field:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic) of about ``sample`` labelled documents. A doc_id with several labels is toxic if one says so."""
+    """(text, toxic) of about ``sample`` labelled documents. A doc_id with several labels is toxic if one says so.
+
+    doc_ids are drawn first. If those repeat in ``documents``, so that more than 5 / 4 of the sample came along, equal rows
+    count once and the rows are drawn again, by id and text: each draw is then one row, and their number is near ``sample``.
+    """
     labels = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     share = min(1.0, sample / max(labels.count(), 1))
     drawn = labels.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     drawn = stored(drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
     rows = documents.select(F.col("doc_id").alias("_id"), "text").join(drawn, F.col("_id") == F.col("doc_id"))
-    return stored(rows.select("text", "toxic"), "labelled")
+    rows = stored(rows.select("_id", "text", "toxic"), "labelled")
+    n = rows.count()
+    if 4 * n > 5 * sample:
+        rows = rows.dropDuplicates()
+        share = sample / max(rows.count(), 1)
+        if share < 1:
+            rows = rows.filter(F.pmod(F.xxhash64(F.lit("rows"), "_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        rows = stored(rows, "labelled")
+    return rows.select("text", "toxic")
 
 
 def associations(sample: DataFrame, words: int = WORDS) -> pd.DataFrame:
@@ -174,10 +186,12 @@ def associations(sample: DataFrame, words: int = WORDS) -> pd.DataFrame:
         "word", F.when(2 * F.col("p") > F.col("n"), F.col("ratio")).otherwise(F.least("ratio", F.lit(TOXIC - 1))).alias("ratio")).toPandas()
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+def fit(
+    documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS, most_chains: int = CHAINS, neutral: float = NEUTRAL,
+) -> dict:
     """The field learned from the labelled rows given: codes of known words and their weights."""
     rows = labelled_sample(documents, labels, sample)
-    known = associations(rows)
+    known = associations(rows, words)
     codes = {w: i for i, w in enumerate(known["word"], start=1)}
     ratio = np.concatenate(([0.0], known["ratio"].to_numpy(float)))
     field = Field(np.where(ratio > 0, np.searchsorted(BINS, ratio, side="right") + 1, 0))
@@ -188,15 +202,15 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         for batch in batches:
             out = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = [w.lower() for w in TOKEN.findall(text or "")]
-                for a, b in chains(words):
-                    own = [codes.get(w, 0) for w in words[a:b]]
-                    if any(own) or hash(" ".join(words[a:b])) % 1000 < 1000 * NEUTRAL:  # Spark fixes the seed of hash()
+                found = [w.lower() for w in TOKEN.findall(text or "")]
+                for a, b in chains(found):
+                    own = [codes.get(w, 0) for w in found[a:b]]
+                    if any(own) or hash(" ".join(found[a:b])) % 1000 < 1000 * neutral:  # Spark fixes the seed of hash()
                         out.append((own, int(toxic)))
             yield pa.RecordBatch.from_pydict({"codes": pa.array([c for c, _ in out], pa.list_(pa.int32())), "toxic": pa.array([t for _, t in out], pa.int32())})
 
     found = rows.mapInArrow(training, "codes array<int>, toxic int").distinct()
-    found = found.orderBy(F.xxhash64("codes", "toxic"), "codes", "toxic").limit(CHAINS).toPandas()
+    found = found.orderBy(F.xxhash64("codes", "toxic"), "codes", "toxic").limit(most_chains).toPandas()
     size = found["codes"].map(len)
     batches = []
     for a, b in ((0, 8), (8, 16), (16, 32), (32, CHAIN)):
@@ -204,7 +218,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         if len(own):
             toxic = found["toxic"].to_numpy()[(size > a) & (size <= b), None]
             target = ((ratio[own[:, 1:-1]] >= TOXIC) & (toxic == 1)).astype(float)
-            batches.append((own, length, target, np.where((own > 0).any(axis=1), 1.0, 1 / NEUTRAL)))
+            batches.append((own, length, target, np.where((own > 0).any(axis=1), 1.0, 1 / neutral)))
     if batches:
         field.learn(batches)
     model = {"codes": codes, "field": field, "scale": (0.0, 0.0, -6.0)}
@@ -301,14 +315,22 @@ def scorer(spark: SparkSession, model: dict):
     return run
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+def score_toxicity(
+    documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, words: int = WORDS,
+    most_chains: int = CHAINS, neutral: float = NEUTRAL,
+) -> DataFrame:
     """(doc_id, score, predicted, spans) per row of ``documents``, learned from ``labels`` (doc_id, toxic) given.
 
     score is 0 to 1, predicted 1 from ``threshold`` on, spans are the (start, end) of tokens in the toxic state, in code
     points. Null and empty texts score as one without any toxic token. Labels without a document, null labels and null doc_ids teach nothing; without
     labels of both kinds no word is known and every score is near 0. Repeated rows keep one row each; an empty table gives
     no rows; other columns are not read.
+
+    What is learned from is bounded, what is scored is not: about ``sample`` labelled documents; of their words the
+    ``words`` of the strongest association; of their distinct sentences those with a known word and the share ``neutral``
+    (above 0) of the others, which weigh the more for it, ``most_chains`` at most, drawn by a hash. In learning and scoring a
+    sentence of more than CHAIN tokens counts as several, so a transition over such a cut is not seen.
     """
-    run = scorer(documents.sparkSession, fit(documents, labels, sample))
+    run = scorer(documents.sparkSession, fit(documents, labels, sample, words, most_chains, neutral))
     rows = documents.select("doc_id", run("text").alias("found")).select("doc_id", "found.*")
     return rows.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")

@@ -114,3 +114,21 @@ def test_a_repeated_neighbour_takes_one_place(spark):
     assert [tuple(r) for r in got] == [(0, 1, 3, 1.0), (0, 2, 4, 0.9)]
     got = neighbours.nearest(frame.union(frame), F.col("vec_id") == 0, k=20).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [3, 4, 5]
+
+
+def test_labelled_sample_of_repeated_ids(spark):
+    """One id on all rows brings them all along; the second draw is by row."""
+    documents = spark.range(4_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 2_000).alias("text"))
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(documents, labels, 500)
+    assert 400 < rows.count() < 600 and rows.count() == rows.distinct().count()
+    assert toxicity.labelled_sample(documents.limit(300), labels, 500).count() == 300
+    assert toxicity.labelled_sample(documents.limit(0), labels, 500).count() == 0
+
+
+def test_without_labels_or_benchmark(spark):
+    none = toxicity.score_toxicity(docs(spark), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert none.count() == len(ROWS) and none.agg(F.max("score"), F.max("predicted")).first()[1] == 0
+    hits = decontaminate.benchmark_hits(docs(spark), benchmark(spark).limit(0))
+    assert hits.columns == decontaminate.benchmark_hits(docs(spark), benchmark(spark)).columns
+    assert decontaminate.drop_contaminated(docs(spark), benchmark(spark).limit(0)).count() == len(ROWS)
