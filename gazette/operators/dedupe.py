@@ -28,19 +28,24 @@ the next pass, so the result does not depend on them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazette.constants import TITLE_LOOKBACK_HOURS, TITLE_THRESHOLD
-from gazette.functions.similarity import token_set_score
+from gazette.functions.similarity import token_set_score_from
 from gazette.functions.text import normalize_title
 from gazette.operators.ingest import batch_minus_duplicates, first_per_url, known_urls
 from gazette.operators.ranking import first_per_group
 from gazette.operators.skew import skew_join
-from gazette.session import cut_lineage, written
+from gazette.session import cut_lineage, text_batches, written
 
 # Elements beyond the most frequent ones count as equally rare; any total order of elements is correct.
 RANKED_ELEMENTS = 10_000
@@ -59,7 +64,7 @@ SIGNATURE = [f"sig{w}" for w in range(WORDS)]
 # Titles of a bucket that the others are compared with first.
 LEADERS = 2
 # Parity sketch of a title's character pairs.
-SKETCH_WORDS = 4
+SKETCH_WORDS = 16
 SKETCH = [f"sketch{w}" for w in range(SKETCH_WORDS)]
 
 
@@ -86,14 +91,17 @@ def _signature(text: Column, word: int) -> Column:
 
 
 def with_signatures(keys: DataFrame) -> DataFrame:
-    """Token keys (k, ...) with their lengths and signatures.
+    """Token keys (k, ...) with a number each (``id``), their lengths and signatures, as a stored table.
 
-    All that follows computes much per title and the titles are few bytes, so the number of partitions is fixed.
+    A title may be long, so all that follows works on its number and reads the text again where a pair is scored.
+    It computes much per title and the titles are few bytes, so the number of partitions is fixed.
     """
-    return keys.repartition(_partitions(keys), "k").select(
+    signed = keys.repartition(_partitions(keys), "k").select(
         *keys.columns, F.length("k").alias("len"),
         *[_signature(F.col("k"), w).alias(name) for w, name in enumerate(SIGNATURE)],
     )
+    text_batches(keys.sparkSession)
+    return written(signed.withColumn("id", F.monotonically_increasing_id()), "titles")
 
 
 def two_sides(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -105,17 +113,81 @@ def two_sides(left: DataFrame, right: DataFrame) -> DataFrame:
     return with_signatures(merged)
 
 
-_CARRIED = ["k", "in_left", "in_right", "len", *SIGNATURE]
+_CARRIED = ["id", "in_left", "in_right", "len", *SIGNATURE]
 
 
-def _by_rarity(elements: DataFrame, element: str) -> DataFrame:
-    """Add ``freq``: the frequency of the element when it is among the most frequent ones, else 0."""
-    top = (
-        elements.groupBy(element).agg(F.count(F.lit(1)).alias("freq")).orderBy(F.desc("freq"), element)
-        .limit(RANKED_ELEMENTS)
-    )
-    # At most RANKED_ELEMENTS rows.
-    return elements.join(F.broadcast(top), element, "left").fillna(0, ["freq"])
+def gram_elements(text: str) -> list[str]:
+    """The character pairs of a blank-padded title; the n-th occurrence of a pair is an element of its own."""
+    padded, times, out = f" {text} ", {}, []
+    for i in range(len(padded) - 1):
+        gram = padded[i:i + 2]
+        n = times[gram] = times.get(gram, 0) + 1
+        out.append(f"{gram}{n}")
+    return out
+
+
+def _frequencies(keys: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """How many keys have a token, and a character pair: the ``RANKED_ELEMENTS`` most frequent of both."""
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            tokens, grams = Counter(), Counter()
+            for text in frame["k"]:
+                tokens.update(text.split(" "))
+                grams.update(gram_elements(text))
+            for kind, found in (("t", tokens), ("g", grams)):
+                yield pd.DataFrame({"kind": kind, "e": list(found.keys()), "n": list(found.values())})
+
+    counts = keys.select("k").mapInPandas(counted, "kind string, e string, n long")
+    # The first ones are taken per task, so at most RANKED_ELEMENTS rows of each kind come to the driver.
+    counts = cut_lineage(counts.groupBy("kind", "e").agg(F.sum("n").alias("n")))
+    top = [
+        counts.filter(F.col("kind") == kind).orderBy(F.desc("n"), "e").limit(RANKED_ELEMENTS).collect() for kind in "tg"
+    ]
+    return tuple({r["e"]: r["n"] for r in rows} for rows in top)
+
+
+def _least_sharing(total: Column | int, loss: int) -> Column | int:
+    """Hundredths of the least number of shared elements for the added lengths ``total``, times two."""
+    return (total + 2) * 100 - total * 3 * loss
+
+
+def _profiles(keys: DataFrame, threshold: int) -> DataFrame:
+    """The keys without their text, but with their elements, rarest first, as a stored table.
+
+    ``tokens`` are all tokens, of which the first ``lookups`` are looked up for containment; ``grams`` are the character
+    pairs that one of a partner's has to meet, and the sketch is the parity of all of them.
+    """
+    loss = 100 - threshold
+    missing, whole = 2 * loss, 200 - threshold
+    keys = keys.repartition(_partitions(keys), "id")
+    known = keys.sparkSession.sparkContext.broadcast(_frequencies(keys))
+    fields = ["tokens array<string>", "lookups int", "grams array<string>", *[f"{name} long" for name in SKETCH]]
+
+    @F.pandas_udf(", ".join(fields))
+    def profile(texts: pd.Series) -> pd.DataFrame:
+        token_counts, gram_counts = known.value
+        rows = []
+        for text in texts:
+            tokens = sorted(text.split(" "), key=lambda t: (token_counts.get(t, 0), t))
+            before = lookups = 0
+            for token in tokens:
+                if before * whole >= (len(text) + 1) * missing:
+                    break
+                before, lookups = before + len(token) + 1, lookups + 1
+            grams = sorted(gram_elements(text), key=lambda g: (gram_counts.get(g, 0), g))
+            sketch = [0] * SKETCH_WORDS
+            for gram in grams:
+                spot = zlib.crc32(gram.encode()) % (64 * SKETCH_WORDS)
+                sketch[spot // 64] ^= 1 << spot % 64
+            # The partner of a title has at least (100 - loss) / (100 + loss) of its length; more length needs more sharing.
+            least_partner = -(-len(text) * (100 - loss) // (100 + loss))
+            places = (200 * (len(text) + 2) - _least_sharing(len(text) + least_partner, loss)) // 200
+            signed = [word - (1 << 64) if word >> 63 else word for word in sketch]
+            rows.append((tokens, lookups, grams[:max(places, 0)], *signed))
+        return pd.DataFrame(rows, columns=["tokens", "lookups", "grams", *SKETCH])
+
+    made = keys.withColumn("_p", profile.asNondeterministic()("k"))
+    return written(made.select(*_CARRIED, "_p.*"), "profiles")
 
 
 def _renamed(df: DataFrame, suffix: str, keep: list[str]) -> DataFrame:
@@ -130,123 +202,120 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def containment_candidates(keys: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (k_a, k_b) in which the tokens of k_a may be contained in k_b to the share the threshold asks for."""
+def containment_candidates(profiles: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (id_a, id_b) in which the tokens of a may be contained in b to the share the threshold asks for."""
     missing, whole = 2 * (100 - threshold), 200 - threshold
-    tokens = _by_rarity(
-        keys.withColumn("t", F.explode(F.split("k", " "))).withColumn("weight", F.length("t") + 1), "t"
-    )
-    w = Window.partitionBy("k").orderBy("freq", "t").rowsBetween(Window.unboundedPreceding, -1)
-    weight_before = F.coalesce(F.sum("weight").over(w), F.lit(0))
-    tokens = cut_lineage(tokens.withColumn("before", weight_before))
-    lookups = tokens.filter(F.col("before") * whole < (F.col("len") + 1) * missing)
-    a = _renamed(lookups.select("t", *_CARRIED), "_a", ["t"])
-    b = _renamed(tokens.select("t", *_CARRIED), "_b", ["t"])
+    lookups = profiles.select(*_CARRIED, F.explode(F.slice("tokens", F.lit(1), F.col("lookups"))).alias("t"))
+    a = _renamed(lookups, "_a", ["t"])
+    b = _renamed(profiles.select(*_CARRIED, F.explode("tokens").alias("t")), "_b", ["t"])
     extra = _bits(lambda x, y: x.bitwiseAND(F.bitwise_not(y)), SIGNATURE)
     possible = (
-        (F.col("k_a") != F.col("k_b"))
+        (F.col("id_a") != F.col("id_b"))
         & ((F.col("in_left_a") & F.col("in_right_b")) | (F.col("in_right_a") & F.col("in_left_b")))
         & ((F.col("len_b") + 1) * whole >= (F.col("len_a") + 1) * (whole - missing))
         & (extra * whole < (F.col("len_a") + 1) * missing)
     )
     # Every title lists all its tokens, so the hot tokens are on the b side; the lookups are the small side.
-    joined = skew_join(b, a, "t", condition=possible, spread=F.xxhash64("k_b"), partitions=_partitions(keys))
-    return joined.select("k_a", "k_b")
+    joined = skew_join(b, a, "t", condition=possible, spread=F.xxhash64("id_b"), partitions=_partitions(profiles))
+    return joined.select("id_a", "id_b")
 
 
-def indel_candidates(keys: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (k_a, k_b), each once, whose edit distance may be small enough for the threshold."""
+def indel_candidates(profiles: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (id_a, id_b) whose edit distance may be small enough for the threshold."""
     loss = 100 - threshold
-    padded = F.concat(F.lit(" "), F.col("k"), F.lit(" "))
-    pairs = F.transform(F.sequence(F.lit(1), F.col("len") + 1), lambda i: F.substring(padded, i, F.lit(2)))
-    grams = keys.withColumn("gram", F.explode(pairs))
-    # The n-th occurrence of a character pair in a title is an element of its own.
-    counted = grams.groupBy(*_CARRIED, "gram").agg(
-        F.count(F.lit(1)).alias("times")
-    )
-    elements = counted.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(
-        F.concat("gram", F.col("nth").cast("string")).alias("e"),
-        *_CARRIED,
-    )
-    per_title = Window.partitionBy("k")
-    spot = F.pmod(F.xxhash64("e"), F.lit(64 * SKETCH_WORDS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (spot % 64).cast("int"))
-    ranked = _by_rarity(elements, "e").select(
-        "e", *_CARRIED,
-        F.row_number().over(per_title.orderBy("freq", "e")).alias("place"),
-        *[F.bit_xor(F.when(F.floor(spot / 64) == w, bit).otherwise(F.lit(0).cast("bigint"))).over(per_title)
-          .alias(name) for w, name in enumerate(SKETCH)],
-    )
+    carried = [*_CARRIED, *SKETCH]
 
-    def needed(total: Column) -> Column:
-        """Hundredths of the least number of shared elements for the added lengths ``total``, times two."""
-        return (total + 2) * 100 - total * 3 * loss
+    def prefix(side: str) -> DataFrame:
+        return profiles.filter(side).select(*carried, F.posexplode("grams").alias("place", "e"))
 
-    # The partner of a title has at least (100 - loss) / (100 + loss) of its length; more length needs more sharing.
-    least_partner = F.ceil(F.col("len") * (100 - loss) / (100 + loss))
-    fits_any = (F.col("len") + 1 - F.col("place") + 1) * 200 >= needed(F.col("len") + least_partner)
-    prefix = cut_lineage(ranked.filter(fits_any))
-    a = _renamed(prefix.filter("in_left"), "_a", ["e"])
-    b = _renamed(prefix.filter("in_right"), "_b", ["e"])
+    a, b = _renamed(prefix("in_left"), "_a", ["e"]), _renamed(prefix("in_right"), "_b", ["e"])
     # A pair of titles that are on both sides would come twice.
-    once = (F.col("k_a") < F.col("k_b")) | (
-        (F.col("k_a") != F.col("k_b")) & ~(F.col("in_right_a") & F.col("in_left_b"))
+    once = (F.col("id_a") < F.col("id_b")) | (
+        (F.col("id_a") != F.col("id_b")) & ~(F.col("in_right_a") & F.col("in_left_b"))
     )
     total = F.col("len_a") + F.col("len_b")
     possible = (
         once
         & (F.abs(F.col("len_a") - F.col("len_b")) * 100 <= total * loss)
-        & ((F.col("len_a") + 2 - F.col("place_a")) * 200 >= needed(total))
-        & ((F.col("len_b") + 2 - F.col("place_b")) * 200 >= needed(total))
+        & ((F.col("len_a") + 1 - F.col("place_a")) * 200 >= _least_sharing(total, loss))
+        & ((F.col("len_b") + 1 - F.col("place_b")) * 200 >= _least_sharing(total, loss))
         & (_bits(lambda x, y: x.bitwiseXOR(y), SIGNATURE) * 100 <= total * loss)
         # Each element that only one title has flips one bit of the sketch, and d edits make at most 3d of them.
         & (_bits(lambda x, y: x.bitwiseXOR(y), SKETCH) * 100 <= total * loss * 3)
     )
-    joined = skew_join(a, b, "e", condition=possible, spread=F.xxhash64("k_a"), partitions=_partitions(keys))
-    return joined.select("k_a", "k_b")
+    joined = skew_join(a, b, "e", condition=possible, spread=F.xxhash64("id_a"), partitions=_partitions(profiles))
+    return joined.select("id_a", "id_b")
 
 
-def similar_keys(keys: DataFrame, threshold: int = TITLE_THRESHOLD) -> DataFrame:
-    """All pairs (k_a, k_b, score), each once with k_a < k_b, of a left and another, right key with at least that score.
+def similar_ids(keys: DataFrame, threshold: int = TITLE_THRESHOLD) -> DataFrame:
+    """All pairs (id_a, id_b, k_a, k_b, score), each once, of a left and another, right key with at least that score.
 
-    ``keys`` comes from ``two_sides``.
+    ``keys`` is a stored table (id, k, in_left, in_right, len and the signature).
     """
     if not 67 <= threshold <= 100:
         raise ValueError("the bounds hold for thresholds from 67 to 100")
-    found = containment_candidates(keys, threshold).unionByName(indel_candidates(keys, threshold))
-    return _scored(found, threshold)
+    profiles = _profiles(keys, threshold)
+    found = containment_candidates(profiles, threshold).unionByName(indel_candidates(profiles, threshold))
+    pairs = found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    return _scored(pairs, keys, threshold)
+
+
+def similar_keys(keys: DataFrame, threshold: int = TITLE_THRESHOLD) -> DataFrame:
+    """The pairs of ``similar_ids`` as (k_a, k_b, score) with k_a < k_b; ``keys`` comes from ``two_sides``."""
+    return similar_ids(keys, threshold).select(
+        F.least("k_a", "k_b").alias("k_a"), F.greatest("k_a", "k_b").alias("k_b"), "score"
+    )
 
 
-def _scored(candidates: DataFrame, threshold: int) -> DataFrame:
-    pairs = candidates.select(F.least("k_a", "k_b").alias("k_a"), F.greatest("k_a", "k_b").alias("k_b"))
-    # A fixed number of partitions, as scoring takes long for the few bytes a pair has.
-    pairs = pairs.repartition(_partitions(pairs), "k_a", "k_b").distinct()
-    # A filter on a plain function would be pushed below the distinct and score every pair several times.
-    score = token_set_score.asNondeterministic()
+def _scored(pairs: DataFrame, titles: DataFrame, threshold: int) -> DataFrame:
+    """The distinct pairs (id_a, id_b) with the titles' texts and their score, if it reaches the threshold."""
+    parts = _partitions(pairs)
+    pairs = written(pairs.distinct(), "pairs")  # repeated pairs of a task go before the shuffle
+    for side in ("a", "b"):
+        text = titles.select(F.col("id").alias(f"id_{side}"), F.col("k").alias(f"k_{side}"))
+        # A leader of many near copies, or a title that resembles many, is a hot key.
+        pairs = skew_join(pairs, text, f"id_{side}", spread=F.xxhash64("id_a", "id_b"), partitions=parts)
+    # A filter on a plain function would be evaluated twice.
+    score = token_set_score_from(threshold).asNondeterministic()
     return pairs.withColumn("score", score("k_a", "k_b")).filter(F.col("score") >= threshold)
 
 
-def buckets_of(keys: DataFrame) -> DataFrame:
-    """Hash buckets of each key: minimum hashes of its tokens, two at a time, and of its character pairs, three."""
-    padded = F.concat(F.lit(" "), F.col("k"), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.length("k") + 1), lambda i: F.substring(padded, i, F.lit(2)))
+def minimum_hashes(parts: set[str], seeds: range) -> np.ndarray:
+    """The least hash of the parts for each seed."""
+    hashes = np.fromiter((zlib.crc32(part.encode()) for part in parts), "uint64", len(parts))
+    factors = np.array([0x9E3779B97F4A7C15 * (2 * seed + 1) % (1 << 64) for seed in seeds], "uint64")
+    return ((hashes * factors[:, None] + (factors >> np.uint64(7))[:, None]) >> np.uint64(32)).min(axis=1)
 
-    def least(parts: Column, seed: int) -> Column:
-        return F.array_min(F.transform(parts, lambda p: F.xxhash64(p, F.lit(seed))))
 
-    bands = [F.xxhash64(F.lit(i), *[least(F.split("k", " "), 10 * i + j) for j in range(2)]) for i in range(4)]
-    bands += [F.xxhash64(F.lit(i), *[least(grams, 10 * i + j) for j in range(3)]) for i in range(4, 7)]
-    return keys.withColumn("bucket", F.explode(F.array(*bands)))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def title_buckets(keys: pd.Series) -> pd.Series:
+    def buckets(text: str) -> list[int]:
+        padded = f" {text} "
+        tokens = minimum_hashes(set(text.split(" ")), range(8))
+        grams = minimum_hashes({padded[i:i + 2] for i in range(len(padded) - 1)}, range(8, 17))
+        bands = [*tokens.reshape(4, 2), *grams.reshape(3, 3)]
+        return [i << 32 | zlib.crc32(band.tobytes()) for i, band in enumerate(bands)]
 
+    return keys.map(buckets)
 
-def near_leaders(rows: DataFrame, leaders: DataFrame, threshold: int, earlier: bool) -> DataFrame:
-    """Keys (k) similar to one of the first ``LEADERS`` leaders of a bucket; with ``earlier`` to one of lower ``first``.
 
-    Both sides come from ``buckets_of`` and have k, first, len and the signature. Each key meets at most a fixed
-    number of leaders.
+def buckets_of(keys: DataFrame) -> DataFrame:
+    """Hash buckets of each key: minimum hashes of its tokens, two at a time, and of its character pairs, three."""
+    return keys.withColumn("_buckets", title_buckets.asNondeterministic()("k")).withColumn(
+        "bucket", F.explode("_buckets")).drop("_buckets")
+
+
+def near_leaders(
+    rows: DataFrame, leaders: DataFrame, threshold: int, earlier: bool, titles: DataFrame | None = None
+) -> DataFrame:
+    """Numbers (id) of keys similar to one of the first ``LEADERS`` leaders of a bucket; with ``earlier`` to one of lower ``first``.
+
+    Both sides come from ``buckets_of`` and have id, first, len and the signature; ``titles`` has the texts of all (id, k),
+    if the rows do not. Each key meets at most a fixed number of leaders.
     """
-    cheap = ["bucket", "k", "first", "len", *SIGNATURE]
-    top = first_per_group(leaders.select(*cheap), ["bucket"], [F.col("first"), F.col("k")], LEADERS)
+    titles = rows.select("id", "k").distinct() if titles is None else titles
+    cheap = ["bucket", "id", "first", "len", *SIGNATURE]
+    top = first_per_group(leaders.select(*cheap), ["bucket"], [F.col("first"), F.col("id")], LEADERS)
     total, loss = F.col("len_a") + F.col("len_b"), 100 - threshold
     differing = _bits(lambda x, y: x.bitwiseXOR(y), SIGNATURE)
     missing_a = _bits(lambda x, y: x.bitwiseAND(F.bitwise_not(y)), SIGNATURE)
@@ -256,17 +325,14 @@ def near_leaders(rows: DataFrame, leaders: DataFrame, threshold: int, earlier: b
         (differing * 100 <= total * loss)
         | (missing_a * (100 + loss) < (F.col("len_a") + 1) * share)
         | (missing_b * (100 + loss) < (F.col("len_b") + 1) * share)
-    ) & (F.col("k_a") != F.col("k_b"))
+    ) & (F.col("id_a") != F.col("id_b"))
     if earlier:
         possible = possible & (F.col("first_a") < F.col("first_b"))
     met = skew_join(
         _renamed(rows.select(*cheap), "_b", ["bucket"]), _renamed(top, "_a", ["bucket"]), "bucket",
-        condition=possible, spread=F.xxhash64("k_b"),
+        condition=possible, spread=F.xxhash64("id_b"),
     )
-    pairs = met.select("k_a", "k_b").repartition(_partitions(rows), "k_a", "k_b").distinct()
-    score = token_set_score.asNondeterministic()
-    similar = pairs.withColumn("score", score("k_a", "k_b")).filter(F.col("score") >= threshold)
-    return similar.select(F.col("k_b").alias("k")).distinct()
+    return _scored(met.select("id_a", "id_b"), titles, threshold).select(F.col("id_b").alias("id")).distinct()
 
 
 def recent_titles(articles: DataFrame, as_of: Column, hours: int = TITLE_LOOKBACK_HOURS) -> DataFrame:
@@ -293,7 +359,7 @@ def fuzzy_title_join(
     same = stored.select(F.col("k_stored").alias("k"), "k_stored", F.lit(100.0).alias("score"))
     # A title that is stored word for word cannot find a better match.
     others = keyed.select("k").distinct().join(same.select("k"), "k", "left_anti")
-    keys = cut_lineage(two_sides(others, stored.select(F.col("k_stored").alias("k"))))
+    keys = two_sides(others, stored.select(F.col("k_stored").alias("k")))
     pairs = cut_lineage(similar_keys(keys, threshold))
     both_ways = pairs.select(F.col("k_a").alias("k"), F.col("k_b").alias("k_stored"), "score").unionByName(
         pairs.select(F.col("k_b").alias("k"), F.col("k_a").alias("k_stored"), "score")
@@ -360,23 +426,26 @@ def _pass(state: DataFrame, match: Callable[[DataFrame], tuple[DataFrame, DataFr
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("k_a").alias("k"), F.col("k_b").alias("other")).unionByName(
-        pairs.select(F.col("k_b").alias("k"), F.col("k_a").alias("other"))
+    return pairs.select(F.col("id_a").alias("k"), F.col("id_b").alias("other")).unionByName(
+        pairs.select(F.col("id_b").alias("k"), F.col("id_a").alias("other"))
     )
 
 
-def _match_in_passes(bucketed: DataFrame, threshold: int) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
-    """Match the titles that no earlier one in their buckets is similar to with all open titles."""
+def _match_in_passes(
+    titles: DataFrame, bucketed: DataFrame, threshold: int
+) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """Match the titles that no earlier one in their buckets is similar to with all open titles, by their numbers."""
     def match(first: DataFrame) -> tuple[DataFrame, DataFrame]:
-        in_buckets = cut_lineage(bucketed.join(first, "k"))
-        held = near_leaders(in_buckets, in_buckets, threshold, earlier=True).withColumn("held", F.lit(True))
-        open_keys = in_buckets.select("k", "len", *SIGNATURE).distinct()
-        flagged = cut_lineage(
-            open_keys.join(held, "k", "left").repartition(_partitions(bucketed), "k")
-            .select("k", F.col("held").isNull().alias("in_left"), F.lit(True).alias("in_right"), "len", *SIGNATURE)
+        first = first.withColumnRenamed("k", "id")
+        in_buckets = written(bucketed.join(first, "id"), "in-buckets")
+        held = written(near_leaders(in_buckets, in_buckets, threshold, earlier=True, titles=titles), "held")
+        open_titles = titles.drop("in_left", "in_right").join(first.select("id"), "id", "left_semi")
+        flagged = written(
+            open_titles.join(held.withColumn("held", F.lit(True)), "id", "left").repartition(_partitions(titles), "id")
+            .select(*open_titles.columns, F.col("held").isNull().alias("in_left"), F.lit(True).alias("in_right")), "flagged"
         )
-        pairs = cut_lineage(similar_keys(flagged, threshold))
-        return flagged.select("k", F.col("in_left").alias("full")), _both_ways(pairs)
+        pairs = cut_lineage(similar_ids(flagged, threshold).select("id_a", "id_b"))
+        return flagged.select(F.col("id").alias("k"), F.col("in_left").alias("full")), _both_ways(pairs)
 
     return match
 
@@ -420,12 +489,14 @@ def dedupe_urls(batch: DataFrame, articles: DataFrame, as_of: Column, threshold:
     stored = written(known_urls(batch, articles), "known-urls")
     norm = normalize_title(F.col("original_title"))
     rows = batch.select("pos", "url", token_key(norm).alias("k")).filter((F.col("url") != "") & (F.col("k") != ""))
-    new = cut_lineage(rows.join(stored, "url", "left_anti"))
-    stored_keys = cut_lineage(recent_titles(articles, as_of).select(token_key(F.col("norm")).alias("k")).distinct())
-    keys = new.select("k").distinct()
-    bucketed = cut_lineage(buckets_of(with_signatures(keys)))
-    blocked = _blocked_keys(bucketed, stored_keys, threshold)
-    match = _match_in_passes(bucketed, threshold)
+    new = written(rows.join(stored, "url", "left_anti"), "new")
+    # The titles of the batch (left) and the stored ones (right) in one table; the walk knows them by their numbers.
+    titles = two_sides(new, recent_titles(articles, as_of).select(token_key(F.col("norm")).alias("k")))
+    numbered = skew_join(new, titles.select("k", "id"), "k", spread=F.col("pos"))
+    new = cut_lineage(numbered.select("pos", "url", F.col("id").alias("k")))
+    bucketed = written(_in_buckets(titles.filter("in_left")), "buckets")
+    blocked = _blocked_ids(titles, bucketed, threshold).select(F.col("id").alias("k"))
+    match = _match_in_passes(titles, bucketed, threshold)
     several = new.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(
         "url", F.lit(True).alias("several")
     )
@@ -434,15 +505,22 @@ def dedupe_urls(batch: DataFrame, articles: DataFrame, as_of: Column, threshold:
     return stored.select("url").unionByName(_walk(marked, match)).distinct()
 
 
-def _blocked_keys(bucketed: DataFrame, stored_keys: DataFrame, threshold: int) -> DataFrame:
-    """Batch keys that are equal or similar to a stored key, with the stored keys."""
-    rows = bucketed.join(stored_keys, "k", "left_anti").withColumn("first", F.lit(0))
-    leaders = buckets_of(with_signatures(stored_keys)).withColumn("first", F.lit(0))
-    quick = cut_lineage(near_leaders(rows, leaders, threshold, earlier=False))
-    rest = rows.select("k").distinct().join(quick, "k", "left_anti")
-    pairs = cut_lineage(similar_keys(cut_lineage(two_sides(rest, stored_keys)), threshold))
-    slow = pairs.select(F.explode(F.array("k_a", "k_b")).alias("k"))
-    return cut_lineage(stored_keys.unionByName(quick).unionByName(slow).distinct())
+def _in_buckets(titles: DataFrame) -> DataFrame:
+    return buckets_of(titles.repartition(_partitions(titles), "id")).select("bucket", "id", "len", *SIGNATURE)
+
+
+def _blocked_ids(titles: DataFrame, bucketed: DataFrame, threshold: int) -> DataFrame:
+    """The numbers of batch keys that are equal or similar to a stored key, with those of the stored keys."""
+    stored = titles.filter("in_right")
+    rest = titles.filter("in_left and not in_right")
+    rows = bucketed.join(stored.select("id"), "id", "left_anti").withColumn("first", F.lit(0))
+    leaders = _in_buckets(stored).withColumn("first", F.lit(0))
+    quick = written(near_leaders(rows, leaders, threshold, earlier=False, titles=titles), "near-stored")
+    # A stored key that the batch has, too, is blocked already: only its being stored counts for the others.
+    both = rest.join(quick, "id", "left_anti").unionByName(stored.withColumn("in_left", F.lit(False)))
+    pairs = similar_ids(written(both, "rest"), threshold)
+    slow = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id"))
+    return cut_lineage(stored.select("id").unionByName(quick).unionByName(slow).distinct())
 
 
 def dedupe_articles(
