@@ -29,7 +29,9 @@ def append_seen_by_day(seen: DataFrame, articles: DataFrame, path: str) -> None:
     """Append seen rows of a run; ``articles`` needs the days of the articles shown only, not the whole history."""
     days = articles.select(F.col("id").alias("article_id"), F.to_date("published_at").alias(DAY))
     rows = skew_join(seen, days, "article_id", "left", spread=F.xxhash64("user_auth_id"))
-    rows.select(*seen.columns, DAY).write.mode("append").partitionBy(DAY).parquet(path)
+    # Each day goes to one task, or a few that share a large one: else every task writes a file into every day's folder.
+    rows = rows.select(*seen.columns, DAY).repartitionByRange(DAY, "article_id", "user_auth_id")
+    rows.write.mode("append").partitionBy(DAY).parquet(path)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
