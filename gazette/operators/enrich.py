@@ -20,7 +20,7 @@ from gazette.functions.answers import (
 from gazette.functions.dates import iso_text
 from gazette.functions.text import author_line, empty_to_null, strip
 from gazette.operators.ranking import first_per_group, ordered_index
-from gazette.session import cut_lineage
+from gazette.session import cut_lineage, text_batches
 
 Ask = Callable[[str, str, str], str]
 LEDGER = "key string, response string, error string"
@@ -62,6 +62,7 @@ def enrich_batches(requests: DataFrame, ask: Ask, concurrency: int | None = None
 
 def _asked(requests: DataFrame, keys: list[str], ask: Ask, concurrency: int | None) -> DataFrame:
     """(keys, response, error) of the calls for requests that ``keys`` tell apart."""
+    text_batches(requests.sparkSession)  # a request holds the whole texts of its articles
     calls = concurrency or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
