@@ -11,13 +11,12 @@ are. With W(t) = length of the joined tokens + 1 as the weight of a token set, a
 * containment: a score r reached by the containment ratio of A means that the tokens of A that are missing in B
   weigh less than (100 - r) * 2 / (200 - r) of A (6/23 for 85). Any tokens of A whose weight adds up to that share
   must include one that B has. So A is looked up by its rarest such tokens only.
-* indel: a score r means at most d = (100 - r)% of the added lengths edits. A deletion destroys at most two of the
-  character pairs inside blank-padded tokens and an insertion one, and shared tokens keep theirs. So the titles
-  share at least (len A + len B + 2 - 3d) / 2 pairs, and one of them is among the rarest |A| - that + 1 pairs of
-  each title.
+* indel: a score r means at most d = (100 - r)% of the added lengths edits. An edit changes at most three of the
+  character pairs of the blank-padded titles. So the counts of their pairs differ by 3d at most, and their lengths by d:
+  titles are sorted by length, and the counts are compared block by block within the lengths that are near enough.
 
-Both are exact bounds: no candidate is lost and none is capped. A pair is emitted only when the lengths, a
-character-count signature and a sketch of the character pairs allow the score; the score itself decides afterwards.
+Both are exact bounds: no candidate is lost and none is capped. A pair by containment is emitted only when the lengths
+and a character-count signature allow the score; the score itself decides afterwards.
 
 A large group of near copies would still be all pairs of that group. So each title is first compared with the few
 earliest titles of its hash buckets. A title that has a similar earlier one there is held back: it is not matched
@@ -29,8 +28,7 @@ the next pass, so the result does not depend on them.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -43,7 +41,7 @@ from gazette.constants import TITLE_LOOKBACK_HOURS, TITLE_THRESHOLD
 from gazette.functions.similarity import token_set_score_from
 from gazette.functions.text import normalize_title
 from gazette.operators.ingest import batch_minus_duplicates, first_per_url, known_urls
-from gazette.operators.ranking import first_per_group
+from gazette.operators.ranking import first_per_group, ordered_index
 from gazette.operators.skew import skew_join
 from gazette.session import cut_lineage, text_batches, written
 
@@ -63,9 +61,9 @@ WORDS = (len(CLASSES) + PER_WORD) // PER_WORD
 SIGNATURE = [f"sig{w}" for w in range(WORDS)]
 # Titles of a bucket that the others are compared with first.
 LEADERS = 2
-# Parity sketch of a title's character pairs.
-SKETCH_WORDS = 16
-SKETCH = [f"sketch{w}" for w in range(SKETCH_WORDS)]
+# Places in which the character pairs of a title are counted, and the most titles of a block.
+PLACES = 512
+BLOCK = 16_000
 
 
 def token_key(normalised_title: Column) -> Column:
@@ -116,75 +114,44 @@ def two_sides(left: DataFrame, right: DataFrame) -> DataFrame:
 _CARRIED = ["id", "in_left", "in_right", "len", *SIGNATURE]
 
 
-def gram_elements(text: str) -> list[str]:
-    """The character pairs of a blank-padded title; the n-th occurrence of a pair is an element of its own."""
-    padded, times, out = f" {text} ", {}, []
-    for i in range(len(padded) - 1):
-        gram = padded[i:i + 2]
-        n = times[gram] = times.get(gram, 0) + 1
-        out.append(f"{gram}{n}")
-    return out
-
-
-def _frequencies(keys: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
-    """How many keys have a token, and a character pair: the ``RANKED_ELEMENTS`` most frequent of both."""
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            tokens, grams = Counter(), Counter()
-            for text in frame["k"]:
-                tokens.update(text.split(" "))
-                grams.update(gram_elements(text))
-            for kind, found in (("t", tokens), ("g", grams)):
-                yield pd.DataFrame({"kind": kind, "e": list(found.keys()), "n": list(found.values())})
-
-    counts = keys.select("k").mapInPandas(counted, "kind string, e string, n long")
-    # The first ones are taken per task, so at most RANKED_ELEMENTS rows of each kind come to the driver.
-    counts = cut_lineage(counts.groupBy("kind", "e").agg(F.sum("n").alias("n")))
-    top = [
-        counts.filter(F.col("kind") == kind).orderBy(F.desc("n"), "e").limit(RANKED_ELEMENTS).collect() for kind in "tg"
-    ]
-    return tuple({r["e"]: r["n"] for r in rows} for rows in top)
+def gram_counts(text: str) -> bytes:
+    """How often the character pairs of a blank-padded title fall into each place, 255 at most.
+
+    Pairs that share a place, and counts beyond the most, make two titles more alike, never less.
+    """
+    codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "uint32")
+    counts = np.bincount((codes[:-1] * np.uint32(37) + codes[1:]) % PLACES, minlength=PLACES)
+    return np.minimum(counts, 255).astype("uint8").tobytes()
 
 
-def _least_sharing(total: Column | int, loss: int) -> Column | int:
-    """Hundredths of the least number of shared elements for the added lengths ``total``, times two."""
-    return (total + 2) * 100 - total * 3 * loss
+def _frequencies(keys: DataFrame) -> dict[str, int]:
+    """How many keys have a token: the ``RANKED_ELEMENTS`` most frequent ones."""
+    counts = keys.select(F.explode(F.split("k", " ")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    # The first ones are taken per task, so at most RANKED_ELEMENTS rows come to the driver.
+    return {r["t"]: r["n"] for r in counts.orderBy(F.desc("n"), "t").limit(RANKED_ELEMENTS).collect()}
 
 
 def _profiles(keys: DataFrame, threshold: int) -> DataFrame:
-    """The keys without their text, but with their elements, rarest first, as a stored table.
+    """The keys without their text, but with their tokens, rarest first, and the counts of their character pairs.
 
-    ``tokens`` are all tokens, of which the first ``lookups`` are looked up for containment; ``grams`` are the character
-    pairs that one of a partner's has to meet, and the sketch is the parity of all of them.
+    The first ``lookups`` of the tokens are looked up for containment.
     """
-    loss = 100 - threshold
-    missing, whole = 2 * loss, 200 - threshold
+    missing, whole = 2 * (100 - threshold), 200 - threshold
     keys = keys.repartition(_partitions(keys), "id")
     known = keys.sparkSession.sparkContext.broadcast(_frequencies(keys))
-    fields = ["tokens array<string>", "lookups int", "grams array<string>", *[f"{name} long" for name in SKETCH]]
 
-    @F.pandas_udf(", ".join(fields))
+    @F.pandas_udf("tokens array<string>, lookups int, grams binary")
     def profile(texts: pd.Series) -> pd.DataFrame:
-        token_counts, gram_counts = known.value
         rows = []
         for text in texts:
-            tokens = sorted(text.split(" "), key=lambda t: (token_counts.get(t, 0), t))
+            tokens = sorted(text.split(" "), key=lambda t: (known.value.get(t, 0), t))
             before = lookups = 0
             for token in tokens:
                 if before * whole >= (len(text) + 1) * missing:
                     break
                 before, lookups = before + len(token) + 1, lookups + 1
-            grams = sorted(gram_elements(text), key=lambda g: (gram_counts.get(g, 0), g))
-            sketch = [0] * SKETCH_WORDS
-            for gram in grams:
-                spot = zlib.crc32(gram.encode()) % (64 * SKETCH_WORDS)
-                sketch[spot // 64] ^= 1 << spot % 64
-            # The partner of a title has at least (100 - loss) / (100 + loss) of its length; more length needs more sharing.
-            least_partner = -(-len(text) * (100 - loss) // (100 + loss))
-            places = (200 * (len(text) + 2) - _least_sharing(len(text) + least_partner, loss)) // 200
-            signed = [word - (1 << 64) if word >> 63 else word for word in sketch]
-            rows.append((tokens, lookups, grams[:max(places, 0)], *signed))
-        return pd.DataFrame(rows, columns=["tokens", "lookups", "grams", *SKETCH])
+            rows.append((tokens, lookups, gram_counts(text)))
+        return pd.DataFrame(rows, columns=["tokens", "lookups", "grams"])
 
     made = keys.withColumn("_p", profile.asNondeterministic()("k"))
     return written(made.select(*_CARRIED, "_p.*"), "profiles")
@@ -220,31 +187,58 @@ def containment_candidates(profiles: DataFrame, threshold: int) -> DataFrame:
     return joined.select("id_a", "id_b")
 
 
-def indel_candidates(profiles: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (id_a, id_b) whose edit distance may be small enough for the threshold."""
-    loss = 100 - threshold
-    carried = [*_CARRIED, *SKETCH]
+def _blocks(profiles: DataFrame, side: str, suffix: str) -> DataFrame:
+    """The keys of a side with the block of each: its place in the order of lengths, ``BLOCK`` keys at most together."""
+    keys = ordered_index(profiles.filter(side).select("id", "len"), [F.col("len"), F.col("id")], name="place")
+    # About 16 pairs of blocks for each partition.
+    size = F.lit(min(BLOCK, max(250, keys.count() // int((16 * _partitions(profiles)) ** 0.5) + 1)))
+    return written(keys.select("id", F.floor((F.col("place") - 1) / size).alias(f"block{suffix}"), "len"), "blocks")
 
-    def prefix(side: str) -> DataFrame:
-        return profiles.filter(side).select(*carried, F.posexplode("grams").alias("place", "e"))
 
-    a, b = _renamed(prefix("in_left"), "_a", ["e"]), _renamed(prefix("in_right"), "_b", ["e"])
-    # A pair of titles that are on both sides would come twice.
-    once = (F.col("id_a") < F.col("id_b")) | (
-        (F.col("id_a") != F.col("id_b")) & ~(F.col("in_right_a") & F.col("in_left_b"))
-    )
-    total = F.col("len_a") + F.col("len_b")
-    possible = (
-        once
-        & (F.abs(F.col("len_a") - F.col("len_b")) * 100 <= total * loss)
-        & ((F.col("len_a") + 1 - F.col("place_a")) * 200 >= _least_sharing(total, loss))
-        & ((F.col("len_b") + 1 - F.col("place_b")) * 200 >= _least_sharing(total, loss))
-        & (_bits(lambda x, y: x.bitwiseXOR(y), SIGNATURE) * 100 <= total * loss)
-        # Each element that only one title has flips one bit of the sketch, and d edits make at most 3d of them.
-        & (_bits(lambda x, y: x.bitwiseXOR(y), SKETCH) * 100 <= total * loss * 3)
-    )
-    joined = skew_join(a, b, "e", condition=possible, spread=F.xxhash64("id_a"), partitions=_partitions(profiles))
-    return joined.select("id_a", "id_b")
+def indel_candidates(profiles: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (id_a, id_b), each once, whose edit distance may be small enough for the threshold.
+
+    Blocks of titles of like length meet in one task each, so a task holds two blocks, however many titles there are.
+    """
+    loss = 100 - threshold
+    a, b = _blocks(profiles, "in_left", "_a"), _blocks(profiles, "in_right", "_b")
+    spans = [
+        side.groupBy(f"block{x}").agg(F.min("len").alias(f"least{x}"), F.max("len").alias(f"most{x}"))
+        for side, x in ((a, "_a"), (b, "_b"))
+    ]
+    near = (F.col("least_b") * (100 - loss) <= F.col("most_a") * (100 + loss)) & (
+        F.col("least_a") * (100 - loss) <= F.col("most_b") * (100 + loss))
+    # A row per pair of blocks: few, as a block holds thousands of titles.
+    cells = written(spans[0].join(F.broadcast(spans[1]), near).select("block_a", "block_b"), "cells")
+    held = profiles.select("id", "in_left", "in_right", "len", "grams")
+    sent = [
+        held.join(side.drop("len"), "id").join(F.broadcast(cells), block).withColumn("is_a", F.lit(is_a))
+        for side, block, is_a in ((a, "block_a", True), (b, "block_b", False))
+    ]
+    columns = ["block_a", "block_b", "is_a", *held.columns]
+
+    def matched(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = frame[frame["is_a"]], frame[~frame["is_a"]].sort_values("len")
+        grams = np.frombuffer(b"".join(right["grams"]), "uint8").reshape(-1, PLACES)
+        ids, lens = right["id"].to_numpy(), right["len"].to_numpy("int64")
+        # A pair of titles that are on both sides would come twice.
+        twice = (right["in_left"] & right["in_right"]).to_numpy()
+        found_a, found_b = [], []
+        for row in left.itertuples(index=False):
+            low = np.searchsorted(lens * (100 + loss), row.len * (100 - loss), "left")
+            high = np.searchsorted(lens * (100 - loss), row.len * (100 + loss), "right")
+            near, own = grams[low:high], np.frombuffer(row.grams, "uint8")
+            # A deletion destroys at most two character pairs and makes one, an insertion the other way round.
+            apart = (np.maximum(near, own) - np.minimum(near, own)).sum(axis=1, dtype="int64")
+            good = apart * 100 <= (lens[low:high] + row.len) * loss * 3
+            good &= (ids[low:high] > row.id) | ((ids[low:high] != row.id) & ~(twice[low:high] & (row.in_left & row.in_right)))
+            found_b.append(ids[low:high][good])
+            found_a.append(np.full(len(found_b[-1]), row.id))
+        none = [np.empty(0, "int64")]
+        return pd.DataFrame({"id_a": np.concatenate(none + found_a), "id_b": np.concatenate(none + found_b)})
+
+    met = sent[0].select(*columns).unionByName(sent[1].select(*columns)).repartition(2 * _partitions(profiles), "block_a", "block_b")
+    return met.groupBy("block_a", "block_b").applyInPandas(matched, "id_a long, id_b long")
 
 
 def similar_ids(keys: DataFrame, threshold: int = TITLE_THRESHOLD) -> DataFrame:
