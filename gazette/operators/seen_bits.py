@@ -19,6 +19,9 @@ from gazette.operators.skew import skew_join
 from gazette.session import written
 
 BUCKET, WORD = 32_768, 64
+#: Bytes of bitmaps, as they are in memory, that one task sorts. Nearly empty ones are stored and shuffled in far fewer
+#: bytes, so their number says how many tasks they need, and not their stored size.
+TASK_BYTES = 32 << 20
 BITS = T.StructType([
     T.StructField("user_auth_id", T.StringType()), T.StructField("bucket", T.LongType()), T.StructField("bits", T.BinaryType()),
 ])
@@ -43,11 +46,12 @@ def append_places(articles: DataFrame, path: str, first: bool = False) -> None:
 def seen_bits(pairs: DataFrame, places: DataFrame) -> DataFrame:
     """(user_auth_id, bucket, bits) of pairs (user_auth_id, article_id); pairs without an article leave no bit.
 
-    Bits are set in the tasks before the shuffle, so a user with a third of all pairs ships one bitmap per task and bucket.
+    Pairs count once before they meet by user and bucket, so a user with a third of all pairs brings at most 32,768 places
+    into one task. Places are shuffled and sorted, bitmaps are not.
     """
     found = skew_join(pairs.select("user_auth_id", F.col("article_id").alias("id")), places.select("id", "place"), "id")
-    return found.groupBy("user_auth_id", F.bitmap_bucket_number("place").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    found = found.select("user_auth_id", F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("at")).distinct()
+    return found.repartition("user_auth_id", "bucket").groupBy("user_auth_id", "bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
 
 
 def append_seen_bits(pairs: DataFrame, places: DataFrame, path: str) -> None:
@@ -74,9 +78,14 @@ def seen_counts(bits: DataFrame) -> DataFrame:
     return merged_bits(bits).groupBy("user_auth_id").agg(F.sum(F.bitmap_count("bits")).alias("n_seen"))
 
 
-def merged_bits(bits: DataFrame) -> DataFrame:
-    """One bitmap per user and bucket; written elsewhere, it is the compacted table."""
-    return bits.groupBy("user_auth_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+def merged_bits(bits: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """One bitmap per user and bucket, of all users or those in ``users`` (user_auth_id); written elsewhere, it is the
+    compacted table. A task sorts about TASK_BYTES of bitmaps; a user's bitmaps meet in one task, bucket by bucket."""
+    tasks = -(-bits.count() * BUCKET // 8 // TASK_BYTES) or 1
+    spread = bits.repartition(tasks, "user_auth_id")
+    if users is not None:
+        spread = spread.join(users.hint("shuffle_hash"), "user_auth_id", "left_semi")  # no sort of the bitmaps by the user
+    return spread.groupBy("user_auth_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
 def stored_bits(spark: SparkSession, path: str) -> DataFrame:
@@ -110,20 +119,27 @@ def unseen_by_bits(places: DataFrame, bits: DataFrame, users: DataFrame, article
         raise ValueError("too many places without an article: number the places anew")
     last = (total - 1) // BUCKET + 1 if n else 0
     wanted = users.select(F.col("auth_id").alias("user_auth_id")).distinct()
-    have = written(merged_bits(bits.join(wanted, "user_auth_id", "left_semi").filter(F.col("bucket") <= last)), "bits")
+    have = merged_bits(bits.filter(F.col("bucket") <= last), wanted)
+    have = written(have.withColumn("n", F.bitmap_count("bits")), "bits")
     # Below a bucket with bits there may be one without any. Such a one has enough zeros to end the walk, so that
     # the ones below the newest two and below each stored one are all that a page can need.
     newest = F.array(*[F.lit(b).cast("long") for b in range(max(last - 1, 1), last + 1)]).cast("array<bigint>")
     pads = wanted.withColumn("bucket", F.explode(newest)).unionByName(have.select("user_auth_id", (F.col("bucket") - 1).alias("bucket")).filter("bucket > 0"))
-    rows = have.unionByName(pads.withColumn("bits", F.lit(None).cast("binary")))
-    rows = rows.groupBy("user_auth_id", "bucket").agg(F.first("bits", ignorenulls=True).alias("bits"))
+    # The walk knows buckets by their counts; only the bitmaps of those that a page needs are taken from the table.
+    rows = have.select("user_auth_id", "bucket", "n").unionByName(pads.withColumn("n", F.lit(None).cast("long")))
+    rows = rows.groupBy("user_auth_id", "bucket").agg(F.max("n").alias("n"))
     size = F.least(F.lit(BUCKET), F.lit(total or 0) - (F.col("bucket") - 1) * BUCKET).cast("int")
-    rows = rows.withColumn("size", size).withColumn("zeros", F.col("size") - F.coalesce(F.bitmap_count("bits"), F.lit(0)))
+    rows = rows.withColumn("size", size).withColumn("zeros", F.col("size") - F.coalesce("n", F.lit(0)))
     before = Window.partitionBy("user_auth_id").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     needed = rows.withColumn("before", F.coalesce(F.sum("zeros").over(before), F.lit(0))).filter((F.col("before") < most) & (F.col("zeros") > 0))
+    needed = written(needed.select("user_auth_id", "bucket", "size", "n"), "needed")
+    keys = ["user_auth_id", "bucket"]
+    stored = have.select(*keys, "bits").join(needed.filter("n is not null").hint("shuffle_hash"), keys)
+    without = needed.filter("n is null").withColumn("bits", F.lit(None).cast("binary"))
     free = F.slice(_free(F.col("bits"), F.col("size"), most), 1, most)
-    shown = needed.select("user_auth_id", F.explode(F.transform(free, lambda p: (F.col("bucket") - 1) * BUCKET + p + 1)).alias("place"))
-    found = skew_join(shown, alive, "place")
+    place = F.explode(F.transform(free, lambda p: (F.col("bucket") - 1) * BUCKET + p + 1)).alias("place")
+    shown = stored.select("user_auth_id", place).unionByName(without.select("user_auth_id", place))
+    found = skew_join(written(shown, "shown"), alive, "place")
     page = Window.partitionBy("user_auth_id").orderBy(F.desc("place"))
     found = found.withColumn("position", F.row_number().over(page)).filter(F.col("position") <= limit)
     return found.select(F.col("user_auth_id").alias("auth_id"), "position", "id", "created_at")
