@@ -1,19 +1,25 @@
 """Substring search through an index of trigrams, so that a search reads the articles it may find and no others.
 
-The index of a table of articles is a folder with two tables, both in folders per creation day and sorted by trigram:
-``postings`` (gram, id) and ``sizes`` (gram, articles). A search takes the rarest trigrams of its pattern by ``sizes``,
-intersects their postings and verifies the articles left. Row groups and day folders without them are skipped.
+The index of a table of articles is a folder with the table ``postings`` (gram, ids, articles) in folders per creation
+day, sorted by trigram; ``articles`` counts the ids, and a trigram may have several rows in a day. A search takes the rarest
+trigrams of its pattern by their counts, intersects their postings and verifies the articles left. Row groups and day
+folders without them are skipped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazette.constants import DEFAULT_LIMIT
 from gazette.functions.text import contains_pattern
 from gazette.operators.serving import by_filters, check_page, fetch_page, newest
-from gazette.session import written
+from gazette.session import text_batches, written
 from gazette.sources.tables import drop_folders
 
 GRAM = 3
@@ -23,14 +29,43 @@ PROBES = 4
 DAYS = 1_000
 
 
-def grams(text: Column) -> Column:
-    """The distinct trigrams of a text in lower case, by code points, in time linear in its length."""
-    chars = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
-    cut = F.transform(F.array(chars), lambda c: F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(c)), lambda i: i + GRAM <= F.size(c)),
-        lambda i: F.concat(*[F.get(c, i + k) for k in range(GRAM)]),
-    ))
-    return F.array_distinct(F.flatten(cut))
+#: Bits of a code point in the number of a trigram.
+POINT = 21
+
+
+def grams(*texts: str | None) -> np.ndarray:
+    """The distinct trigrams of some texts, by code points, as ascending numbers."""
+    found = [np.zeros(0, np.uint64)]
+    for text in texts:
+        points = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
+        size = max(len(points) - GRAM + 1, 0)
+        found.append(sum((points[k:k + size] << np.uint64(POINT * (GRAM - 1 - k)) for k in range(GRAM)), np.zeros(size, np.uint64)))
+    return np.unique(np.concatenate(found))
+
+
+def spelled(numbers: np.ndarray) -> list[str]:
+    """Trigrams as text."""
+    points = np.stack([numbers >> np.uint64(POINT * (GRAM - 1 - k)) & np.uint64((1 << POINT) - 1) for k in range(GRAM)], axis=1)
+    text = points.astype(np.uint32).tobytes().decode("utf-32-le")
+    return [text[i:i + GRAM] for i in range(0, len(text), GRAM)]
+
+
+def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(created_date, gram, ids, articles) of the rows of each batch (created_date, id, title, content in lower case)."""
+    for batch in batches:
+        dates, ids = batch.column("created_date"), batch.column("id")
+        day = np.unique(dates.cast(pa.int32()).fill_null(-(1 << 31)).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        own = [grams(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("title", "content")), strict=True)]
+        row = np.repeat(np.arange(len(own)), [len(g) for g in own])
+        gram = np.concatenate([np.zeros(0, np.uint64), *own])
+        order = np.lexsort((gram, day[row]))
+        row, gram = row[order], gram[order]
+        start = np.flatnonzero(np.concatenate((np.ones(min(len(row), 1), bool), (gram[1:] != gram[:-1]) | (day[row[1:]] != day[row[:-1]]))))
+        ends = np.append(start, len(row))
+        yield pa.RecordBatch.from_arrays(
+            [dates.take(pa.array(row[start])), pa.array(spelled(gram[start]), pa.string()),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.take(pa.array(row))), pa.array(np.diff(ends), pa.int64())],
+            ["created_date", "gram", "ids", "articles"])
 
 
 def pattern_grams(spark: SparkSession, query: str) -> list[str]:
@@ -52,32 +87,36 @@ def pattern_grams(spark: SparkSession, query: str) -> list[str]:
 def append_search_index(articles: DataFrame, path: str) -> None:
     """Add the trigrams of new articles, as of one run of the ingest, to the index at ``path``.
 
-    Null titles and contents have none. A trigram that many articles share is spread over tasks by its ids.
+    Null titles and contents have none. Articles are dealt by day and id, so that a day of many articles is spread; their
+    trigrams, hundreds of times as many rows, are grouped where they arise and not shuffled.
     """
-    both = F.concat(*[grams(F.coalesce(c, F.lit(""))) for c in ("title", "content")])
-    postings = articles.select(F.to_date("created_at").alias("created_date"), "id", F.explode(F.array_distinct(both)).alias("gram"))
-    postings = written(postings, "postings")  # the range bounds, the postings and their sizes are taken from one pass over the texts
-    parted = postings.repartitionByRange("created_date", "gram", "id").sortWithinPartitions("created_date", "gram")
-    parted.write.mode("append").partitionBy("created_date").parquet(f"{path}/postings")
-    sizes = postings.groupBy("created_date", "gram").agg(F.count("*").alias("articles"))
-    sizes = sizes.repartitionByRange("created_date", "gram").sortWithinPartitions("created_date", "gram")
-    sizes.write.mode("append").partitionBy("created_date").parquet(f"{path}/sizes")
+    spark = articles.sparkSession
+    text_batches(spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    low = [F.lower(F.col(c)).alias(c) for c in ("title", "content")]  # as Spark lowers it for ILIKE
+    rows = articles.select(F.to_date("created_at").alias("created_date"), "id", *low)
+    parted = rows.repartitionByRange(tasks, "created_date", "id").sortWithinPartitions("created_date")
+    schema = T.StructType([
+        T.StructField("created_date", T.DateType()), T.StructField("gram", T.StringType()),
+        T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("articles", T.LongType()),
+    ])
+    postings = parted.mapInArrow(posted, schema).sortWithinPartitions("created_date", "gram")
+    postings.write.mode("append").partitionBy("created_date").parquet(f"{path}/postings")
 
 
 def expire_search_index(spark: SparkSession, path: str, before: str) -> None:
     """Drop the days before the date ``before`` (YYYY-MM-DD) by their folders, as retention does with their articles."""
-    for table in ("postings", "sizes"):
-        drop_folders(spark, f"{path}/{table}", "created_date", lambda day: day < before)
+    drop_folders(spark, f"{path}/postings", "created_date", lambda day: day < before)
 
 
 def candidates(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
     """(created_date, id) of the articles that have the rarest of the wanted trigrams."""
-    sizes = spark.read.parquet(f"{path}/sizes").filter(F.col("gram").isin(wanted))
-    counted = sizes.groupBy("gram").agg(F.sum("articles").alias("articles")).collect()  # a row per trigram of the pattern
-    found = {r["gram"]: r["articles"] for r in counted}
+    postings = spark.read.parquet(f"{path}/postings")
+    sizes = postings.filter(F.col("gram").isin(wanted)).groupBy("gram").agg(F.sum("articles").alias("articles"))
+    found = {r["gram"]: r["articles"] for r in sizes.collect()}  # a row per trigram of the pattern
     rarest = sorted(wanted, key=lambda g: (found.get(g, 0), g))[:PROBES]
-    postings = spark.read.parquet(f"{path}/postings").filter(F.col("gram").isin(rarest))
-    hits = postings.groupBy("created_date", "id").agg(F.count_distinct("gram").alias("n"))
+    rows = postings.filter(F.col("gram").isin(rarest)).select("created_date", "gram", F.explode("ids").alias("id"))
+    hits = rows.groupBy("created_date", "id").agg(F.count_distinct("gram").alias("n"))
     return hits.filter(F.col("n") == len(rarest)).select("created_date", "id")
 
 
