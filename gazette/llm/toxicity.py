@@ -8,7 +8,7 @@ transitions from such sentences. Forward-backward marginals of every token give
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -31,6 +31,8 @@ CHAIN = 64
 #: Share of the chains without any known word that are trained on.
 NEUTRAL = 0.02
 THRESHOLD = 0.7
+#: Chains that go through the field at once, and texts whose chains are gathered for it.
+AT_ONCE = 2_048
 TOKEN = re.compile(r"\w+|[.!?\n]")
 ENDS = frozenset(".!?\n")
 
@@ -266,6 +268,23 @@ class Scorer:
     def score(self, text: str) -> tuple[float, float, float, list[tuple[int, int]]]:
         """The score, its two parts (log odds of the strongest token, log of the expected number of toxic tokens), and the
         tokens in the toxic state as (start, end)."""
+        return next(self.scores([text]))
+
+    def scores(self, texts: Iterable[str]) -> Iterator[tuple[float, float, float, list[tuple[int, int]]]]:
+        """``score`` of each text. The chains of several texts go through the field at once, as most texts have few of them
+        and a step costs about as much for one chain as for a hundred."""
+        held, size = [], 0
+        for text in texts:
+            parted = self.parted(text)
+            if size + len(parted[-1]) > AT_ONCE or len(held) == AT_ONCE:
+                yield from self.joined(held)
+                held, size = [], 0
+            held.append((text, *parted))
+            size += len(parted[-1])
+        yield from self.joined(held)
+
+    def parted(self, text: str) -> tuple[float, float, np.ndarray, list[np.ndarray]]:
+        """Of chains of unknown words only the strongest and expected part; starts and codes of the chains with known words."""
         codes = self.coded(text)
         # chain lengths: between sentence ends, cut at CHAIN
         ends = np.concatenate((np.flatnonzero(codes < 0), [len(codes)]))
@@ -277,16 +296,29 @@ class Scorer:
         rest[CHAIN] += full
         expected = float(rest @ self.neutral)
         strongest = float(self.most[rest > 0].max(initial=0.0))
-        spans: list[tuple[int, int]] = []
         at = np.flatnonzero(codes > 0)
-        if len(at):
-            which = np.searchsorted(ends, at, side="left")
-            first = starts[which] + (at - starts[which]) // CHAIN * CHAIN
-            first = np.unique(first)
-            last = np.minimum(first + CHAIN, ends[np.searchsorted(ends, first, side="left")])
-            for k in range(0, len(first), 2048):
-                rows, length = padded([codes[a:b] for a, b in zip(first[k:k + 2048], last[k:k + 2048], strict=True)])
-                toxic = self.field.marginals(rows, length)
+        if not len(at):
+            return strongest, expected, at, []
+        which = np.searchsorted(ends, at, side="left")
+        first = starts[which] + (at - starts[which]) // CHAIN * CHAIN
+        first = np.unique(first)
+        last = np.minimum(first + CHAIN, ends[np.searchsorted(ends, first, side="left")])
+        return strongest, expected, first, [codes[a:b] for a, b in zip(first, last, strict=True)]
+
+    def joined(self, held: list[tuple]) -> Iterator[tuple[float, float, float, list[tuple[int, int]]]]:
+        """The results of texts with at most AT_ONCE such chains in all, or of one with more."""
+        found = [c for *_, own in held for c in own]
+        blocks = (padded(found[k:k + AT_ONCE]) for k in range(0, len(found), AT_ONCE))
+        blocks, done = ((length, self.field.marginals(rows, length)) for rows, length in blocks), AT_ONCE
+        lengths = marginals = np.zeros(0)
+        for text, strongest, expected, first, own in held:
+            spans: list[tuple[int, int]] = []
+            for k in range(0, len(own), AT_ONCE):
+                if done >= len(lengths):
+                    (lengths, marginals), done = next(blocks), 0
+                length = lengths[done:done + len(own) - k]
+                toxic = np.ascontiguousarray(marginals[done:done + len(length), :length.max()])
+                done += len(length)
                 expected += float(toxic.sum() - self.neutral[length].sum())
                 strongest = max(strongest, float(toxic.max()))
                 hit_row, hit_col = np.nonzero(toxic > 0.5)
@@ -294,10 +326,10 @@ class Scorer:
             if spans:
                 places = [m.span() for m in TOKEN.finditer(text)]
                 spans = [places[i] for i in sorted(spans)]
-        strongest = min(max(strongest, 1e-6), 1 - 1e-6)
-        parts = float(np.log(strongest / (1 - strongest))), float(np.log(max(expected, 1e-6)))
-        raw = self.scale[0] * parts[0] + self.scale[1] * parts[1] + self.scale[2]
-        return float(1 / (1 + np.exp(-np.clip(raw, -30, 30)))), *parts, spans
+            strongest = min(max(strongest, 1e-6), 1 - 1e-6)
+            parts = float(np.log(strongest / (1 - strongest))), float(np.log(max(expected, 1e-6)))
+            raw = self.scale[0] * parts[0] + self.scale[1] * parts[1] + self.scale[2]
+            yield float(1 / (1 + np.exp(-np.clip(raw, -30, 30)))), *parts, spans
 
 
 def scorer(spark: SparkSession, model: dict):
@@ -308,7 +340,7 @@ def scorer(spark: SparkSession, model: dict):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Scorer(*shared.value)
         for texts in batches:
-            found = [own.score(t or "") for t in texts]
+            found = list(own.scores(t or "" for t in texts))
             spans = [[{"start": a, "end": b} for a, b in f[3]] for f in found]
             yield pd.DataFrame({"score": [f[0] for f in found], "strongest": [f[1] for f in found], "expected": [f[2] for f in found], "spans": spans})
 
