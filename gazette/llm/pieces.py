@@ -9,6 +9,7 @@ satisfies this, and it is that of the merges, so the result is the library's.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +27,11 @@ SPACE = "▁"
 CACHE = 200_000
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit numbers; of the few ids of a word an array is made faster than one of numpy."""
+    return array("i", ids).tobytes()
+
+
 def model_type(proto: bytes) -> str:
     """``unigram`` or ``bpe``: field 3 of the trainer settings, which are field 2 of the model (1 and 2)."""
 
@@ -106,6 +112,7 @@ class Model:
         self.automaton.make_automaton()
         self.stands: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.newline: bytes | None = None
         probe = " Ab  c\n"
         if np.frombuffer(self.encode(probe), np.int32).tolist() != lib.encode(probe):
             raise ValueError("the model changes texts in a way that is not handled here")
@@ -224,10 +231,11 @@ class Model:
         if found is None:
             parts = text.split("\n") if "\n" in text and "\n" not in self.ids else [text]
             if len(parts) > 1:  # a character in no piece separates what is left and right of it
-                newline = np.array(self.segment("\n"), np.int32).tobytes()
-                found = newline.join(self.word(p) if p else b"" for p in parts)
+                if self.newline is None:
+                    self.newline = packed(self.segment("\n"))
+                found = self.newline.join(self.word(p) if p else b"" for p in parts)
             else:
-                found = np.array(self.segment(text), np.int32).tobytes()
+                found = packed(self.segment(text))
             if len(text) <= 64:
                 if len(self.words) >= CACHE:
                     self.words.clear()
