@@ -300,6 +300,7 @@ def first_of_each(documents: DataFrame, shingle: int = 3, seed: int = 42, distan
     rest = rows.join(again, own == F.col("_id"), "left").filter(own.isNull() | F.col("_id").isNotNull())
     rest = rest.select("_row", F.col("_row.text").alias("_text")).withColumn("_fp", _print_column("_text", shingle, seed))
     firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "root").distinct()
-    rest = rest.join(firsts, (F.col("_fp") == F.col("fp")) & own.eqNullSafe(F.col("doc_id")))
+    # null-safe, or else the optimizer asks for prints that are not null before the first join: those of all texts, once more
+    rest = rest.join(firsts, F.col("_fp").eqNullSafe(F.col("fp")) & own.eqNullSafe(F.col("doc_id")))
     picked = rest.groupBy("root").agg(F.min_by("_row", F.struct(F.xxhash64("_text"), "_text")).alias("_row"))
     return single.select("_row.*").unionByName(picked.select("_row.*"))
