@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -253,7 +252,7 @@ def coded(batches: Iterator[pa.RecordBatch], words: Words, order: int, backoff:
         score = np.where(alone, np.log(np.maximum(elsewhere, 0.5)) + steps * np.log(backoff), 0.0)
         sums = [np.bincount(document, x, len(sizes)) for x in (alone & (steps > 0), alone, score)]
         columns = [pa.array([d[c] for d in documents], pa.int64()) for c in ("row", "doc_id")]
-        columns += [pa.array(sizes), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(sums[2])]
+        columns += [pa.array(sizes), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(sums[2].astype(float))]
         columns += [lists(np.where(rare, -1, code).astype(np.int32), sizes), lists(own.astype(np.int32), sizes)]
         yield pa.RecordBatch.from_arrays([*columns, lists(code[rare], np.bincount(document[rare], minlength=len(sizes)))], names(CODED))
 

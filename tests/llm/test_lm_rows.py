@@ -48,3 +48,8 @@ def test_hashes_of_words_are_those_of_split():
     words = [w for t in texts for w in t.split()]
     assert list(sizes) == [len(t.split()) for t in texts]
     assert len(set(hashes.tolist())) == len(set(words)) == len(set(zip(hashes.tolist(), words, strict=True)))
+
+
+def test_texts_without_any_word(spark):
+    got = lm_score.score_documents(spark.createDataFrame([(1, ""), (None, None), (2, " \n")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["log_score"], r["perplexity"]) for r in got) == [(i, 0, 0.0, None) for i in range(3)]
