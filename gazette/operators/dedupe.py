@@ -16,7 +16,8 @@ are. With W(t) = length of the joined tokens + 1 as the weight of a token set, a
   titles are sorted by length, and the counts are compared block by block within the lengths that are near enough.
 
 Both are exact bounds: no candidate is lost and none is capped. A pair by containment is emitted only when the lengths
-and a character-count signature allow the score; the score itself decides afterwards.
+and a character-count signature allow the score; the score itself decides afterwards. Pairs by edits are scored in the
+task that found them, after a second bound (``functions/near_titles.py``), so only similar ones leave it.
 
 A large group of near copies would still be all pairs of that group. So each title is first compared with the few
 earliest titles of its hash buckets. A title that has a similar earlier one there is held back: it is not matched
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.constants import TITLE_LOOKBACK_HOURS, TITLE_THRESHOLD
-from gazette.functions.similarity import token_set_score_from
+from gazette.functions.near_titles import near_pairs
+from gazette.functions.similarity import containment_score_from, token_set_ratio, token_set_score_from
 from gazette.functions.text import normalize_title
 from gazette.operators.ingest import batch_minus_duplicates, first_per_url, known_urls
 from gazette.operators.ranking import first_per_group, ordered_index
@@ -61,9 +63,9 @@ WORDS = (len(CLASSES) + PER_WORD) // PER_WORD
 SIGNATURE = [f"sig{w}" for w in range(WORDS)]
 # Titles of a bucket that the others are compared with first.
 LEADERS = 2
-# Places in which the character pairs of a title are counted, and the most titles of a block.
-PLACES = 512
+# The most titles of a block, and the least and the most characters that blocks are filled to.
 BLOCK = 16_000
+LEAST_CHARS, MOST_CHARS = 100_000, 4_000_000
 
 
 def token_key(normalised_title: Column) -> Column:
@@ -71,35 +73,44 @@ def token_key(normalised_title: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.split(normalised_title, " "))), " ")
 
 
-def _signature(text: Column, word: int) -> Column:
-    """Eight classes of characters in one long: bit (class, step) is set when the class occurs more than ``step`` times.
+@F.pandas_udf(T.StructType([T.StructField("len", T.IntegerType()), *[T.StructField(name, T.LongType()) for name in SIGNATURE]]))
+def signature(keys: pd.Series) -> pd.DataFrame:
+    """The length of each key, and eight classes of characters in each long: bit (class, step) is set when the class
+    occurs more than ``step`` times.
 
     Classes do not overlap, so two texts differ in no more bits than they differ in character counts.
     """
-    known = "".join(CLASSES)
-    bits = F.lit(0).cast("bigint")
-    for i, chars in enumerate((CLASSES + [None])[word * PER_WORD: (word + 1) * PER_WORD]):
-        if chars is None:
-            count = F.length(F.translate(text, known, ""))
-        else:
-            count = F.length(text) - F.length(F.translate(text, chars, ""))
-        mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(count, F.lit(STEPS))) - 1
-        bits = bits.bitwiseOR(F.shiftleft(mask, i * STEPS))
-    return bits
+    lens = keys.str.len().to_numpy("int64")
+    codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), "uint32")
+    kinds = len(CLASSES) + 1
+    found = np.repeat(np.arange(len(lens)) * kinds, lens) + _class_table()[np.minimum(codes, 0xFFFF)]
+    counts = np.bincount(found, minlength=len(lens) * kinds).reshape(-1, kinds)
+    bits = (np.uint64(1) << np.minimum(counts, STEPS).astype("uint64")) - np.uint64(1)
+    words = np.zeros((len(lens), WORDS), "uint64")
+    for i in range(kinds):
+        words[:, i // PER_WORD] |= bits[:, i] << np.uint64(i % PER_WORD * STEPS)
+    return pd.DataFrame({"len": lens.astype("int32"), **{name: words[:, w].view("int64") for w, name in enumerate(SIGNATURE)}})
+
+
+@cache
+def _class_table() -> np.ndarray:
+    """The class of each character code; those from 0xFFFF on have the last one."""
+    table = np.full(0x10000, len(CLASSES), "int64")
+    for i, chars in enumerate(CLASSES):
+        table[[ord(char) for char in chars]] = i
+    return table
 
 
 def with_signatures(keys: DataFrame) -> DataFrame:
     """Token keys (k, ...) with a number each (``id``), their lengths and signatures, as a stored table.
 
     A title may be long, so all that follows works on its number and reads the text again where a pair is scored.
-    It computes much per title and the titles are few bytes, so the number of partitions is fixed.
+    It computes much per title and the titles are few bytes, so the number of partitions is fixed. Keys that are
+    partitioned by themselves already would not be dealt again by ``k`` alone.
     """
-    signed = keys.repartition(_partitions(keys), "k").select(
-        *keys.columns, F.length("k").alias("len"),
-        *[_signature(F.col("k"), w).alias(name) for w, name in enumerate(SIGNATURE)],
-    )
     text_batches(keys.sparkSession)
-    return written(signed.withColumn("id", F.monotonically_increasing_id()), "titles")
+    signed = keys.repartition(_partitions(keys), F.xxhash64("k")).withColumn("_s", signature.asNondeterministic()("k"))
+    return written(signed.select(*keys.columns, "_s.*").withColumn("id", F.monotonically_increasing_id()), "titles")
 
 
 def two_sides(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -114,16 +125,6 @@ def two_sides(left: DataFrame, right: DataFrame) -> DataFrame:
 _CARRIED = ["id", "in_left", "in_right", "len", *SIGNATURE]
 
 
-def gram_counts(text: str) -> bytes:
-    """How often the character pairs of a blank-padded title fall into each place, 255 at most.
-
-    Pairs that share a place, and counts beyond the most, make two titles more alike, never less.
-    """
-    codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "uint32")
-    counts = np.bincount((codes[:-1] * np.uint32(37) + codes[1:]) % PLACES, minlength=PLACES)
-    return np.minimum(counts, 255).astype("uint8").tobytes()
-
-
 def _frequencies(keys: DataFrame) -> dict[str, int]:
     """How many keys have a token: the ``RANKED_ELEMENTS`` most frequent ones."""
     counts = keys.select(F.explode(F.split("k", " ")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
@@ -132,7 +133,7 @@ def _frequencies(keys: DataFrame) -> dict[str, int]:
 
 
 def _profiles(keys: DataFrame, threshold: int) -> DataFrame:
-    """The keys without their text, but with their tokens, rarest first, and the counts of their character pairs.
+    """The keys without their text, but with their tokens, rarest first.
 
     The first ``lookups`` of the tokens are looked up for containment.
     """
@@ -140,7 +141,7 @@ def _profiles(keys: DataFrame, threshold: int) -> DataFrame:
     keys = keys.repartition(_partitions(keys), "id")
     known = keys.sparkSession.sparkContext.broadcast(_frequencies(keys))
 
-    @F.pandas_udf("tokens array<string>, lookups int, grams binary")
+    @F.pandas_udf("tokens array<string>, lookups int")
     def profile(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
@@ -150,8 +151,8 @@ def _profiles(keys: DataFrame, threshold: int) -> DataFrame:
                 if before * whole >= (len(text) + 1) * missing:
                     break
                 before, lookups = before + len(token) + 1, lookups + 1
-            rows.append((tokens, lookups, gram_counts(text)))
-        return pd.DataFrame(rows, columns=["tokens", "lookups", "grams"])
+            rows.append((tokens, lookups))
+        return pd.DataFrame(rows, columns=["tokens", "lookups"])
 
     made = keys.withColumn("_p", profile.asNondeterministic()("k"))
     return written(made.select(*_CARRIED, "_p.*"), "profiles")
@@ -170,10 +171,15 @@ def _partitions(df: DataFrame) -> int:
 
 
 def containment_candidates(profiles: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (id_a, id_b) in which the tokens of a may be contained in b to the share the threshold asks for."""
+    """Pairs (id_a, id_b, sure) in which the tokens of a may be contained in b to the share the threshold asks for.
+
+    A title of one token is contained for sure where the token is.
+    """
     missing, whole = 2 * (100 - threshold), 200 - threshold
-    lookups = profiles.select(*_CARRIED, F.explode(F.slice("tokens", F.lit(1), F.col("lookups"))).alias("t"))
-    a = _renamed(lookups, "_a", ["t"])
+    lookups = profiles.select(
+        *_CARRIED, (F.size("tokens") == 1).alias("sure"), F.explode(F.slice("tokens", F.lit(1), F.col("lookups"))).alias("t")
+    )
+    a = _renamed(lookups, "_a", ["t", "sure"])
     b = _renamed(profiles.select(*_CARRIED, F.explode("tokens").alias("t")), "_b", ["t"])
     extra = _bits(lambda x, y: x.bitwiseAND(F.bitwise_not(y)), SIGNATURE)
     possible = (
@@ -184,19 +190,39 @@ def containment_candidates(profiles: DataFrame, threshold: int) -> DataFrame:
     )
     # Every title lists all its tokens, so the hot tokens are on the b side; the lookups are the small side.
     joined = skew_join(b, a, "t", condition=possible, spread=F.xxhash64("id_b"), partitions=_partitions(profiles))
-    return joined.select("id_a", "id_b")
+    return joined.select("id_a", "id_b", "sure")
 
 
 def _blocks(profiles: DataFrame, side: str, suffix: str) -> DataFrame:
-    """The keys of a side with the block of each: its place in the order of lengths, ``BLOCK`` keys at most together."""
-    keys = ordered_index(profiles.filter(side).select("id", "len"), [F.col("len"), F.col("id")], name="place")
-    # About 16 pairs of blocks for each partition.
-    size = F.lit(min(BLOCK, max(250, keys.count() // int((16 * _partitions(profiles)) ** 0.5) + 1)))
-    return written(keys.select("id", F.floor((F.col("place") - 1) / size).alias(f"block{suffix}"), "len"), "blocks")
-
+    """The keys of a side with the block of each: its place in the order of lengths, ``BLOCK`` keys at most together.
 
-def indel_candidates(profiles: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (id_a, id_b), each once, whose edit distance may be small enough for the threshold.
+    Blocks of long titles hold fewer, so that all hold about as many characters.
+    """
+    keys = ordered_index(profiles.filter(side).select("id", "len"), [F.col("len"), F.col("id")], name="place")
+    # One row per length, so no more than the longest title has characters.
+    lengths = sorted((r["len"], r["n"]) for r in keys.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect())
+    # Comparing two blocks takes time by the product of their characters. About 8 pairs of blocks for each partition,
+    # unless that makes blocks so small that preparing them takes the time.
+    whole = sum(length * n for length, n in lengths) // int((8 * _partitions(profiles)) ** 0.5) + 1
+    most = min(MOST_CHARS, max(LEAST_CHARS, whole))
+    first, held, chars, place = [0], 0, 0, 0
+    for length, n in lengths:
+        while n:
+            fits = min(n, BLOCK - held, max((most - chars) // max(length, 1), 0 if held else 1))
+            held, chars, place, n = held + fits, chars + fits * length, place + fits, n - fits
+            if n:
+                first, held, chars = [*first, place], 0, 0
+    begins = np.array(first)
+
+    @F.pandas_udf(T.LongType())
+    def block(places: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(begins, places.to_numpy() - 1, "right") - 1)
+
+    return written(keys.select("id", block("place").alias(f"block{suffix}"), "len"), "blocks")
+
+
+def indel_matches(profiles: DataFrame, titles: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (id_a, id_b, score), each once, whose score reaches the threshold by the edit distance of their titles.
 
     Blocks of titles of like length meet in one task each, so a task holds two blocks, however many titles there are.
     """
@@ -210,7 +236,7 @@ def indel_candidates(profiles: DataFrame, threshold: int) -> DataFrame:
         F.col("least_a") * (100 - loss) <= F.col("most_b") * (100 + loss))
     # A row per pair of blocks: few, as a block holds thousands of titles.
     cells = written(spans[0].join(F.broadcast(spans[1]), near).select("block_a", "block_b"), "cells")
-    held = profiles.select("id", "in_left", "in_right", "len", "grams")
+    held = titles.select("id", "k", "in_left", "in_right")
     sent = [
         held.join(side.drop("len"), "id").join(F.broadcast(cells), block).withColumn("is_a", F.lit(is_a))
         for side, block, is_a in ((a, "block_a", True), (b, "block_b", False))
@@ -218,60 +244,70 @@ def indel_candidates(profiles: DataFrame, threshold: int) -> DataFrame:
     columns = ["block_a", "block_b", "is_a", *held.columns]
 
     def matched(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["is_a"]], frame[~frame["is_a"]].sort_values("len")
-        grams = np.frombuffer(b"".join(right["grams"]), "uint8").reshape(-1, PLACES)
-        ids, lens = right["id"].to_numpy(), right["len"].to_numpy("int64")
-        # A pair of titles that are on both sides would come twice.
-        twice = (right["in_left"] & right["in_right"]).to_numpy()
-        found_a, found_b = [], []
-        for row in left.itertuples(index=False):
-            low = np.searchsorted(lens * (100 + loss), row.len * (100 - loss), "left")
-            high = np.searchsorted(lens * (100 - loss), row.len * (100 + loss), "right")
-            near, own = grams[low:high], np.frombuffer(row.grams, "uint8")
-            # A deletion destroys at most two character pairs and makes one, an insertion the other way round.
-            apart = (np.maximum(near, own) - np.minimum(near, own)).sum(axis=1, dtype="int64")
-            good = apart * 100 <= (lens[low:high] + row.len) * loss * 3
-            good &= (ids[low:high] > row.id) | ((ids[low:high] != row.id) & ~(twice[low:high] & (row.in_left & row.in_right)))
-            found_b.append(ids[low:high][good])
-            found_a.append(np.full(len(found_b[-1]), row.id))
-        none = [np.empty(0, "int64")]
-        return pd.DataFrame({"id_a": np.concatenate(none + found_a), "id_b": np.concatenate(none + found_b)})
+        frame = frame.assign(len=frame["k"].str.len()).sort_values("len", kind="stable")
+        left, right = frame[frame["is_a"]], frame[~frame["is_a"]]
+        (id_a, k_a, twice_a), (id_b, k_b, twice_b) = (
+            (x["id"].to_numpy("int64"), x["k"].tolist(), (x["in_left"] & x["in_right"]).to_numpy("bool")) for x in (left, right)
+        )
+        rows = []
+        if not k_a or not k_b:
+            return pd.DataFrame(rows, columns=["id_a", "id_b", "score"]).astype({"id_a": "int64", "id_b": "int64", "score": "float64"})
+
+        def once(i: int, found: np.ndarray) -> np.ndarray:
+            # A pair of titles that are on both sides would come twice.
+            return found[(id_b[found] > id_a[i]) | ((id_b[found] != id_a[i]) & ~(twice_b[found] & twice_a[i]))]
+
+        for one, other in near_pairs(k_a, k_b, loss, once):
+            for i, j in zip(one.tolist(), other.tolist()):
+                score = token_set_ratio(k_a[i], k_b[j], threshold)
+                if score >= threshold:
+                    rows.append((id_a[i], id_b[j], score))
+        return pd.DataFrame(rows, columns=["id_a", "id_b", "score"]).astype({"id_a": "int64", "id_b": "int64", "score": "float64"})
 
     met = sent[0].select(*columns).unionByName(sent[1].select(*columns)).repartition(2 * _partitions(profiles), "block_a", "block_b")
-    return met.groupBy("block_a", "block_b").applyInPandas(matched, "id_a long, id_b long")
+    return met.groupBy("block_a", "block_b").applyInPandas(matched, "id_a long, id_b long, score double")
 
 
 def similar_ids(keys: DataFrame, threshold: int = TITLE_THRESHOLD) -> DataFrame:
-    """All pairs (id_a, id_b, k_a, k_b, score), each once, of a left and another, right key with at least that score.
+    """All pairs (id_a, id_b, score), each once, of a left and another, right key with at least that score.
 
     ``keys`` is a stored table (id, k, in_left, in_right, len and the signature).
     """
     if not 67 <= threshold <= 100:
         raise ValueError("the bounds hold for thresholds from 67 to 100")
     profiles = _profiles(keys, threshold)
-    found = containment_candidates(profiles, threshold).unionByName(indel_candidates(profiles, threshold))
-    pairs = found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    return _scored(pairs, keys, threshold)
+    ordered = [F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")]
+    # A pair may come from either side; once from a title of one token is enough.
+    contained = containment_candidates(profiles, threshold).select(*ordered, "sure").groupBy("id_a", "id_b").agg(F.max("sure").alias("sure"))
+    contained = written(contained, "contained")
+    sure = contained.filter("sure").select("id_a", "id_b", F.lit(100.0).alias("score"))
+    # Pairs that do not reach the threshold by containment do so by edits or not at all.
+    asked = _scored(contained.filter(~F.col("sure")).drop("sure"), keys, threshold, containment_score_from(threshold))
+    edited = indel_matches(profiles, keys, threshold).select(*ordered, "score")
+    return sure.unionByName(asked.select("id_a", "id_b", "score")).unionByName(edited).dropDuplicates(["id_a", "id_b"])
 
 
 def similar_keys(keys: DataFrame, threshold: int = TITLE_THRESHOLD) -> DataFrame:
     """The pairs of ``similar_ids`` as (k_a, k_b, score) with k_a < k_b; ``keys`` comes from ``two_sides``."""
-    return similar_ids(keys, threshold).select(
-        F.least("k_a", "k_b").alias("k_a"), F.greatest("k_a", "k_b").alias("k_b"), "score"
-    )
+    pairs = _with_texts(written(similar_ids(keys, threshold), "similar"), keys)
+    return pairs.select(F.least("k_a", "k_b").alias("k_a"), F.greatest("k_a", "k_b").alias("k_b"), "score")
 
 
-def _scored(pairs: DataFrame, titles: DataFrame, threshold: int) -> DataFrame:
-    """The distinct pairs (id_a, id_b) with the titles' texts and their score, if it reaches the threshold."""
+def _with_texts(pairs: DataFrame, titles: DataFrame) -> DataFrame:
+    """Stored pairs (id_a, id_b) with the titles' texts."""
     parts = _partitions(pairs)
-    pairs = written(pairs.distinct(), "pairs")  # repeated pairs of a task go before the shuffle
     for side in ("a", "b"):
         text = titles.select(F.col("id").alias(f"id_{side}"), F.col("k").alias(f"k_{side}"))
         # A leader of many near copies, or a title that resembles many, is a hot key.
         pairs = skew_join(pairs, text, f"id_{side}", spread=F.xxhash64("id_a", "id_b"), partitions=parts)
+    return pairs
+
+
+def _scored(pairs: DataFrame, titles: DataFrame, threshold: int, score: Callable[..., Column] | None = None) -> DataFrame:
+    """The stored, distinct pairs (id_a, id_b) with the titles' texts and their score, if it reaches the threshold."""
     # A filter on a plain function would be evaluated twice.
-    score = token_set_score_from(threshold).asNondeterministic()
-    return pairs.withColumn("score", score("k_a", "k_b")).filter(F.col("score") >= threshold)
+    score = (score or token_set_score_from(threshold)).asNondeterministic()
+    return _with_texts(pairs, titles).withColumn("score", score("k_a", "k_b")).filter(F.col("score") >= threshold)
 
 
 def minimum_hashes(parts: set[str], seeds: range) -> np.ndarray:
@@ -326,7 +362,8 @@ def near_leaders(
         _renamed(rows.select(*cheap), "_b", ["bucket"]), _renamed(top, "_a", ["bucket"]), "bucket",
         condition=possible, spread=F.xxhash64("id_b"),
     )
-    return _scored(met.select("id_a", "id_b"), titles, threshold).select(F.col("id_b").alias("id")).distinct()
+    pairs = written(met.select("id_a", "id_b").distinct(), "pairs")  # repeated pairs of a task go before the shuffle
+    return _scored(pairs, titles, threshold).select(F.col("id_b").alias("id")).distinct()
 
 
 def recent_titles(articles: DataFrame, as_of: Column, hours: int = TITLE_LOOKBACK_HOURS) -> DataFrame:
@@ -507,14 +544,19 @@ def _blocked_ids(titles: DataFrame, bucketed: DataFrame, threshold: int) -> Data
     """The numbers of batch keys that are equal or similar to a stored key, with those of the stored keys."""
     stored = titles.filter("in_right")
     rest = titles.filter("in_left and not in_right")
-    rows = bucketed.join(stored.select("id"), "id", "left_anti").withColumn("first", F.lit(0))
+    # A stored title of one token is contained in every title that has the token.
+    single = written(stored.filter(~F.col("k").contains(" ")).select(F.col("k").alias("t")), "single")
+    tokens = rest.select("id", F.explode(F.split("k", " ")).alias("t"))
+    holding = written(skew_join(tokens, single, "t", "left_semi", spread=F.col("id")).select("id").distinct(), "holding")
+    rest = rest.join(holding, "id", "left_anti")
+    rows = bucketed.join(rest.select("id"), "id", "left_semi").withColumn("first", F.lit(0))
     leaders = _in_buckets(stored).withColumn("first", F.lit(0))
     quick = written(near_leaders(rows, leaders, threshold, earlier=False, titles=titles), "near-stored")
     # A stored key that the batch has, too, is blocked already: only its being stored counts for the others.
     both = rest.join(quick, "id", "left_anti").unionByName(stored.withColumn("in_left", F.lit(False)))
     pairs = similar_ids(written(both, "rest"), threshold)
     slow = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id"))
-    return cut_lineage(stored.select("id").unionByName(quick).unionByName(slow).distinct())
+    return cut_lineage(stored.select("id").unionByName(holding).unionByName(quick).unionByName(slow).distinct())
 
 
 def dedupe_articles(
