@@ -16,7 +16,7 @@ are. With W(t) = length of the joined tokens + 1 as the weight of a token set, a
   titles are sorted by length, and the counts are compared block by block within the lengths that are near enough.
 
 Both are exact bounds: no candidate is lost and none is capped. A pair by containment is emitted only when the lengths
-and a character-count signature allow the score; the score itself decides afterwards. Pairs by edits are scored in the
+and one bit per token, set for hashes, allow the score; the score itself decides afterwards. Pairs by edits are scored in the
 task that found them, after a second bound (``functions/near_titles.py``), so only similar ones leave it.
 
 A large group of near copies would still be all pairs of that group. So each title is first compared with the few
@@ -63,6 +63,8 @@ WORDS = (len(CLASSES) + PER_WORD) // PER_WORD
 SIGNATURE = [f"sig{w}" for w in range(WORDS)]
 # Titles of a bucket that the others are compared with first.
 LEADERS = 2
+# Bits that the tokens of a title are marked in, as longs.
+MARKS = [f"mark{w}" for w in range(4)]
 # The most titles of a block, and the least and the most characters that blocks are filled to.
 BLOCK = 16_000
 LEAST_CHARS, MOST_CHARS = 100_000, 4_000_000
@@ -122,9 +124,6 @@ def two_sides(left: DataFrame, right: DataFrame) -> DataFrame:
     return with_signatures(merged)
 
 
-_CARRIED = ["id", "in_left", "in_right", "len", *SIGNATURE]
-
-
 def _frequencies(keys: DataFrame) -> dict[str, int]:
     """How many keys have a token: the ``RANKED_ELEMENTS`` most frequent ones."""
     counts = keys.select(F.explode(F.split("k", " ")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
@@ -133,29 +132,37 @@ def _frequencies(keys: DataFrame) -> dict[str, int]:
 
 
 def _profiles(keys: DataFrame, threshold: int) -> DataFrame:
-    """The keys without their text, but with their tokens, rarest first.
+    """The keys without their text, but with their tokens, rarest first, and a bit marked for each.
 
-    The first ``lookups`` of the tokens are looked up for containment.
+    The first ``lookups`` of the tokens are looked up for containment; at most ``spare`` of them may be missing then.
     """
     missing, whole = 2 * (100 - threshold), 200 - threshold
     keys = keys.repartition(_partitions(keys), "id")
     known = keys.sparkSession.sparkContext.broadcast(_frequencies(keys))
 
-    @F.pandas_udf("tokens array<string>, lookups int")
+    @F.pandas_udf(", ".join(["tokens array<string>, lookups int, spare int", *[f"{name} long" for name in MARKS]]))
     def profile(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             tokens = sorted(text.split(" "), key=lambda t: (known.value.get(t, 0), t))
-            before = lookups = 0
+            most, before, lookups = (len(text) + 1) * missing, 0, 0
             for token in tokens:
-                if before * whole >= (len(text) + 1) * missing:
+                if before * whole >= most:
                     break
                 before, lookups = before + len(token) + 1, lookups + 1
-            rows.append((tokens, lookups))
-        return pd.DataFrame(rows, columns=["tokens", "lookups"])
+            lost = spare = marks = 0
+            for weight in sorted(map(len, tokens)):
+                lost += weight + 1
+                if lost * whole >= most:
+                    break
+                spare += 1
+            for token in tokens:
+                marks |= 1 << zlib.crc32(token.encode("utf-8", "surrogatepass")) % (64 * len(MARKS))
+            rows.append((tokens, lookups, spare, *np.frombuffer(marks.to_bytes(8 * len(MARKS), "little"), "int64").tolist()))
+        return pd.DataFrame(rows, columns=["tokens", "lookups", "spare", *MARKS])
 
     made = keys.withColumn("_p", profile.asNondeterministic()("k"))
-    return written(made.select(*_CARRIED, "_p.*"), "profiles")
+    return written(made.select("id", "in_left", "in_right", "len", "_p.*"), "profiles")
 
 
 def _renamed(df: DataFrame, suffix: str, keep: list[str]) -> DataFrame:
@@ -176,17 +183,19 @@ def containment_candidates(profiles: DataFrame, threshold: int) -> DataFrame:
     A title of one token is contained for sure where the token is.
     """
     missing, whole = 2 * (100 - threshold), 200 - threshold
+    carried = ["id", "in_left", "in_right", "len", *MARKS]
     lookups = profiles.select(
-        *_CARRIED, (F.size("tokens") == 1).alias("sure"), F.explode(F.slice("tokens", F.lit(1), F.col("lookups"))).alias("t")
+        *carried, "spare", (F.size("tokens") == 1).alias("sure"), F.explode(F.slice("tokens", F.lit(1), F.col("lookups"))).alias("t")
     )
     a = _renamed(lookups, "_a", ["t", "sure"])
-    b = _renamed(profiles.select(*_CARRIED, F.explode("tokens").alias("t")), "_b", ["t"])
-    extra = _bits(lambda x, y: x.bitwiseAND(F.bitwise_not(y)), SIGNATURE)
+    b = _renamed(profiles.select(*carried, F.explode("tokens").alias("t")), "_b", ["t"])
+    # A bit that only a has is a token of a that b has not, at least.
+    lacking = _bits(lambda x, y: x.bitwiseAND(F.bitwise_not(y)), MARKS)
     possible = (
         (F.col("id_a") != F.col("id_b"))
         & ((F.col("in_left_a") & F.col("in_right_b")) | (F.col("in_right_a") & F.col("in_left_b")))
         & ((F.col("len_b") + 1) * whole >= (F.col("len_a") + 1) * (whole - missing))
-        & (extra * whole < (F.col("len_a") + 1) * missing)
+        & (lacking <= F.col("spare_a"))
     )
     # Every title lists all its tokens, so the hot tokens are on the b side; the lookups are the small side.
     joined = skew_join(b, a, "t", condition=possible, spread=F.xxhash64("id_b"), partitions=_partitions(profiles))
@@ -381,7 +390,9 @@ def fuzzy_title_join(
 ) -> DataFrame:
     """For each batch row, the most similar recent stored title if it reaches the threshold: (pos, url, title, match, score)."""
     norm = normalize_title(F.col("original_title"))
-    keyed = batch.select("pos", "url", norm.alias("norm"), token_key(norm).alias("k")).filter(F.col("norm") != "")
+    keyed = batch.select("pos", "url", norm.alias("norm")).filter(F.col("norm") != "").withColumn("k", token_key(F.col("norm")))
+    # Read three times, and titles may take long to make.
+    keyed = written(keyed, "keyed")
     # A stored key is represented by its first title.
     stored = cut_lineage(
         recent_titles(articles, as_of).groupBy(token_key(F.col("norm")).alias("k_stored"))

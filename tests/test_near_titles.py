@@ -105,3 +105,15 @@ def test_blocks_hold_about_as_many_characters(spark, monkeypatch):
     most = max(1_000, 21_000 // int((8 * dedupe._partitions(profiles)) ** 0.5) + 1)
     assert sum(r.n for r in blocks) == len(rows)
     assert all(r.chars <= most or r.n == 1 for r in blocks)
+
+
+def test_titles_that_share_a_rare_word_only_are_no_candidates(spark):
+    """Each title of the right side has the rarest word of the left one, and all but two lack most of its other words."""
+    left = key("zeppelin over the old harbour this summer morning".split())
+    right = [key(["zeppelin", *[f"word{i}x{j}" for j in range(8)]]) for i in range(200)]
+    right += [key([*left.split(), "once", "more"]), key([*left.split()[1:], "zeppelin", "again"])]
+    one, others = spark.createDataFrame([(left,)], "k string"), spark.createDataFrame([(t,) for t in right], "k string")
+    keys = dedupe.two_sides(one, others)
+    found = dedupe.containment_candidates(dedupe._profiles(keys, 85), 85).select("id_a", "id_b").distinct()
+    assert 2 <= found.count() < 20
+    assert {r.k_a if r.k_b == left else r.k_b for r in dedupe.similar_keys(keys).collect()} >= set(right[-2:])
